@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from gritstone.llm import decontaminate
+from gritstone.llm import chat, decontaminate, simhash
 
 QUERIES = {
+    "op7_simhash": simhash.op7_simhash,
+    "op9_chat": chat.op9_chat,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL = {
+    "op9_chat": chat.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
