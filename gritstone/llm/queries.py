@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from gritstone.llm import chat, decontaminate, simhash
+from gritstone.llm import chat, decontaminate, mixing, simhash
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op7_simhash": simhash.op7_simhash,
     "op9_chat": chat.op9_chat,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL = {
+    "op3_mixing": mixing.OP3_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
