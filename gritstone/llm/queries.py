@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gritstone.llm import chat, decontaminate, mixing, simhash
+from gritstone.llm import chat, decontaminate, mixing, simhash, toxicity
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_simhash": simhash.op7_simhash,
     "op9_chat": chat.op9_chat,
     "op10_decontaminate": decontaminate.op10_decontaminate,
