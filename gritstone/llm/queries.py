@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gritstone.llm import chat, decontaminate, mixing, simhash, tokens, toxicity
+from gritstone.llm import chat, decontaminate, language, mixing, simhash, tokens, toxicity
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_language": language.op6_language,
     "op7_simhash": simhash.op7_simhash,
     "op8_tokens": tokens.op8_tokens,
     "op9_chat": chat.op9_chat,
