@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gritstone.llm import chat, decontaminate, language, mixing, simhash, tokens, toxicity
+from gritstone.llm import chat, decontaminate, language, mixing, simhash, tokens, toxicity, transport
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_transport": transport.op4_transport,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_language": language.op6_language,
     "op7_simhash": simhash.op7_simhash,
