@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gritstone.llm import chat, decontaminate, language, mixing, simhash, tokens, toxicity, transport
+from gritstone.llm import chat, decontaminate, language, mixing, secrets, simhash, tokens, toxicity, transport
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op3_mixing": mixing.op3_mixing,
     "op4_transport": transport.op4_transport,
     "op5_toxicity": toxicity.op5_toxicity,
