@@ -186,31 +186,45 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW, max_coverage: float = 0.5, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Documents without spans of ``max_words`` matching words or more.
+    """``docs`` without spans in which ``max_words`` words or more match an item (a shorter item: all its words).
 
-    A document of which hit words make up more than ``max_coverage`` is dropped as a whole; a
-    shorter span stays (an item shorter than ``window`` is held to its own length).
-    Columns: doc_id, text, n_removed.
+    A document of which hit words make up more than ``max_coverage`` is dropped as a whole. Cutting
+    goes on until what is left holds no such span. Columns stay; ``n_chars`` follows the text.
     """
-    found = find_contamination(docs, benchmark, window, block_chars)
-
-    def cut(rows: dict) -> dict:
-        out = {"doc_id": [], "text": [], "n_removed": []}
-        for doc, text, n, spans in zip(rows["doc_id"], rows["text"], rows["n_words"], rows["spans"]):
-            if spans:
-                hit = sum(x["end"] - x["first"] for x in spans)
-                if hit > max_coverage * n:
-                    continue
-                spans = [(x["first"], x["end"]) for x in spans if x["end"] - x["first"] >= min(max_words, window)]
-                text = _without(text, spans)
-                out["n_removed"].append(sum(b - a for a, b in spans))
-            else:
-                out["n_removed"].append(0)
-            out["doc_id"].append(doc)
-            out["text"].append(text)
-        return out
-
-    return map_rows(found, cut, "doc_id long, text string, n_removed long")
+    spark, columns = docs.sparkSession, docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    blocks = _blocks(benchmark, block_chars)
+    for k, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(SuffixAutomaton([(r.item, words_of(r.words)) for r in block.collect()], window))
+
+        def cut(rows: dict, shared=shared) -> dict:
+            made = [clean_text(t, shared.value, max_words, max_coverage) for t in rows["text"]]
+            keep = [i for i, (stays, _) in enumerate(made) if stays]
+            out = {c: [rows[c][i] for i in keep] for c in columns}
+            out["text"] = [made[i][1] for i in keep]
+            if "n_chars" in out:
+                out["n_chars"] = [n if t is None or t == old else len(t) for n, t, old in zip(out["n_chars"], out["text"], (rows["text"][i] for i in keep))]
+            return out
+
+        docs = map_rows(docs, cut, schema)
+        if k + 1 < len(blocks):
+            docs = materialize(docs, "decontaminate")
+    return docs
+
+
+def clean_text(text: str | None, automaton: SuffixAutomaton, max_words: int, max_coverage: float) -> tuple[bool, str | None]:
+    """Whether the document stays, and its text without contaminated spans."""
+    hit, total = 0, None
+    while True:
+        words = words_of(text)
+        total = len(words) if total is None else total
+        spans = union_spans([(a, b) for a, b, n in automaton.match(words)[0] if n >= min(max_words, b - a)])
+        if not spans:
+            return True, text
+        hit += sum(b - a for a, b in spans)
+        if hit > max_coverage * total:
+            return False, None
+        text = _without(text, spans)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
