@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gritstone.llm import chat, decontaminate, language, mixing, secrets, simhash, tokens, toxicity, transport
+from gritstone.llm import chat, decontaminate, language, mixing, runindex, secrets, simhash, tokens, toxicity, transport
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_runindex": runindex.op2_runindex,
     "op3_mixing": mixing.op3_mixing,
     "op4_transport": transport.op4_transport,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_runindex": runindex.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
