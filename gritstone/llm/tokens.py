@@ -20,11 +20,12 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +67,13 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: Iterable[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Ids of unseen pieces: made of the ids of their words where those are known."""
         known, older, parts_of, unseen = self.known, self.older, [], []
-        for p in pieces:
-            if p in older:
-                known[p] = older[p]
-            elif p[-1:] in _MARKS and p[-2:-1].isalpha() and "\n" not in p:
+        again = pieces.intersection(older)
+        known |= {x: older[x] for x in again}
+        for p in pieces.difference(again):
+            if p[-1:] in _MARKS and p[-2:-1].isalpha() and "\n" not in p:
                 parts_of.append((p, (p[:-1], p[-1])))
             elif "\n" in p:
                 parts_of.append((p, _PARTS.split(p)))
@@ -105,28 +106,50 @@ class Encoder:
                 at_byte = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {k: None for k, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [() if k in whole else self.pieces(t) for k, t in enumerate(texts)]
+        """Ids of each text: distinct pieces of all texts are looked up, then laid out in order."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
+            out[k] = ids
         if len(self.known) > self.memory:
             self.older, self.known = self.known, {}  # pieces in use come back from the older half
-        fresh = set(chain.from_iterable(split)).difference(self.known)
+        plain, odd = [], []
+        for k, t in enumerate(texts):
+            if out[k] is None:
+                (odd if not t or _FIRST in t or "  " in t or t[-1] == " " or _ODD.search(t) else plain).append(k)
+        split = [self.pieces(texts[k]) for k in odd]
+        parts = pc.split_pattern(pa.array([_FIRST + texts[k] for k in plain], pa.large_string()), " ")
+        coded = parts.values.dictionary_encode()
+        # between blanks a piece lacks its blank; the first of a text has its mark instead
+        distinct = [p[1:] if p[:1] == _FIRST else " " + p for p in coded.dictionary.to_pylist()]
+        fresh = set(chain(distinct, *split)).difference(self.known)
+        fresh.discard("")
+        self.known[""] = b""
         if fresh:
             self._learn(fresh)
-        if whole:
-            whole = dict(zip(whole, self._whole([texts[k] for k in whole])))
         get = self.known.__getitem__
-        return [whole[k] if k in whole else np.frombuffer(b"".join(map(get, s)), self.dtype) for k, s in enumerate(split)]
+        for k, s in zip(odd, split):
+            out[k] = np.frombuffer(b"".join(map(get, s)), self.dtype)
+        found = [get(p) for p in distinct]
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        n = size[index]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[index] - (ends - n), n) + np.arange(n.sum())]
+        cut = np.concatenate(([0], ends))[parts.offsets.to_numpy()]
+        for k, x, y in zip(plain, cut[:-1].tolist(), cut[1:].tolist()):
+            out[k] = ids[x:y]
+        return out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if "  " in text or text.endswith(" ") or _ODD.search(text):
-            return [p for p in _CUT.split(text) if p]
-        parts = text.split(" ")
-        out = [" " + p for p in parts]
-        out[0] = parts[0]
-        return out if out[0] else out[1:]
+        return [p for p in _CUT.split(text) if p]
 
 
+#: Marks the first piece of a text.
+_FIRST = "\x01"
 #: A blank before another kind of white space (or a blank line's end) is no place to cut.
 _ODD = re.compile(r" \s")
 
@@ -138,14 +161,15 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, max_rounds:
     frequent one wins and, of equals, the left one. Rounds end when no pair is frequent enough.
     """
     rules = np.zeros((0, 2), np.int64)
-    seq = symbols.astype(np.int64)
+    wide = np.int64 if first_rule + max_rounds * rules_a_round > 1 << 16 else np.uint32
+    seq = symbols.astype(wide)
     for _ in range(max_rounds):
         if len(seq) < 2:
             break
         base = first_rule + len(rules)
-        pair = seq[:-1] * base + seq[1:]
+        pair = seq[:-1] * wide(base) + seq[1:]
         inside = ~last[:-1]
-        seen = np.sort(pair[inside].astype(np.uint32) if base < 1 << 16 else pair[inside])
+        seen = np.sort(pair[inside])
         if not len(seen):
             break
         edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1], [True])))
@@ -154,12 +178,12 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, max_rounds:
         if not len(often):
             break
         order = often[np.argsort(-count[often], kind="stable")[:rules_a_round]]
-        chosen = seen[edge[order]].astype(np.int64)
+        chosen = seen[edge[order]]
         by_value = np.argsort(chosen)
         none = len(chosen)
         rank = np.full(len(pair), none, np.int32)
         starts = np.zeros(base, bool)
-        starts[chosen // base] = True
+        starts[chosen // wide(base)] = True
         maybe = np.flatnonzero(starts[seq[:-1]] & inside)
         place = np.searchsorted(chosen[by_value], pair[maybe])
         place[place == none] = 0
@@ -167,12 +191,12 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, max_rounds:
         rank[maybe[hit]] = by_value[place[hit]]
         before, after = np.append(np.int32(none), rank[:-1]), np.append(rank[1:], np.int32(none))
         at = np.flatnonzero((rank < none) & (rank < before) & (rank <= after))
-        seq[at] = base + rank[at]
+        seq[at] = (base + rank[at]).astype(wide)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         last[at] = last[at + 1]
         seq, last = seq[keep], last[keep]
-        rules = np.concatenate((rules, np.stack((chosen // base, chosen % base), axis=1)))
+        rules = np.concatenate((rules, np.stack((chosen // wide(base), chosen % wide(base)), axis=1).astype(np.int64)))
     return seq, last, rules
 
 
@@ -252,7 +276,7 @@ def write_blocks(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=["shard", "block", "doc_ids", "n_ids", "data"])
 
         for batch in batches:
-            for part in slices(batch, 512):
+            for part in slices(batch, 2048):
                 rows = part.to_pydict()
                 for doc, enc in zip(rows["doc_id"], encoder.encode([t or "" for t in rows["text"]])):
                     if kept and size + len(enc) >= block_ids:
