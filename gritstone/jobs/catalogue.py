@@ -1,4 +1,8 @@
-"""Registered queries of the reference's operators and their SQL."""
+"""Registered queries of the retrieval engine and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from gritstone.jobs import retrieve
+
+QUERIES = dict(retrieve.QUERIES)
+SQL = dict(retrieve.SQL)
