@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gritstone.jobs import retrieve
+from gritstone.jobs import evaluate, retrieve
 
-QUERIES = dict(retrieve.QUERIES)
-SQL = dict(retrieve.SQL)
+QUERIES = retrieve.QUERIES | evaluate.QUERIES
+SQL = retrieve.SQL | evaluate.SQL
