@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gritstone.jobs import evaluate, retrieve
+from gritstone.jobs import answer, evaluate, retrieve
 
-QUERIES = retrieve.QUERIES | evaluate.QUERIES
-SQL = retrieve.SQL | evaluate.SQL
+QUERIES = retrieve.QUERIES | evaluate.QUERIES | answer.QUERIES
+SQL = retrieve.SQL | evaluate.SQL | answer.SQL
