@@ -27,6 +27,8 @@ BITS = 16
 MAX_DOCS, EPOCHS, BATCH = 600, 3, 16
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.002, 0.002
 NONE = "und"
+#: Characters of a text scored at once.
+PART = 1 << 18
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,9 +57,8 @@ class Model:
 
     def logits(self, plain: str) -> np.ndarray:
         total, mass = np.zeros(len(self.langs)), 0.0
-        step = 1 << 18  # n-grams cut at a part's border are found by the overlap of two
-        for at in range(0, len(plain), step):
-            part = codes(plain[max(0, at - 2) : at + step]) if not at else _later(plain[at - 2 : at + step])
+        for at in range(0, len(plain), PART):  # n-grams over a part's border are found by the overlap of two
+            part = codes(plain[:PART]) if not at else _later(plain[at - 2 : at + PART])
             total += self.table[part].sum(axis=0, dtype=np.float64)
             mass += self.idf[part].sum(dtype=np.float64)
         return total / max(mass, 1e-9) + self.bias
