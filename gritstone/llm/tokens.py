@@ -21,7 +21,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,6 @@ BLOCK_IDS = 1 << 21
 MAX_ROUNDS, RULES_A_ROUND, MIN_COUNT = 3, 4096, 64
 MEMORY_PIECES = 600_000
 _CUT = re.compile(r"(?= [^ \s])")
-#: Pieces that may be encoded in a row, as each starts where the splitting pattern cuts anyway.
-_JOINS = re.compile(r" \S")
 _MARKS = frozenset(".,;:!?|")
 #: Borders of the splitting pattern within a piece: a letter before a mark or line end, and a line end before a letter.
 _PARTS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?|\n])|(?<=[.,;:!?|])(?=\n)|(?<=\n)(?=[^\W\d_])")
@@ -87,15 +84,17 @@ class Encoder:
             known[p] = b"".join([known[x] for x in parts])
 
     def _encode_unseen(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if not _JOINS.match(p)]
+        """Pieces of a blank and a visible character are encoded in a row: each starts where the pattern cuts."""
+        joins = [p[:1] == " " and p[1:2].strip() != "" for p in pieces]
+        alone = [p for p, j in zip(pieces, joins) if not j]
         self.known |= {p: ids.tobytes() for p, ids in zip(alone, self._whole(alone))}
-        pieces = [p for p in pieces if _JOINS.match(p)]
+        pieces = [p for p, j in zip(pieces, joins) if j]
         step = 20_000
         for at in range(0, len(pieces), step):
             part = pieces[at : at + step]
             ids = self._whole(["".join(part)])[0]
             ends = np.cumsum(self.bytes[ids])
-            want = np.cumsum(np.fromiter((len(p.encode()) for p in part), np.int64, len(part)))
+            want = np.cumsum(np.fromiter([len(p) if p.isascii() else len(p.encode()) for p in part], np.int64, len(part)))
             cut = np.searchsorted(ends, want) + 1
             if not np.array_equal(ends[cut - 1], want):
                 raise ValueError("a token crosses a piece's border: this vocabulary needs whole texts")
@@ -122,22 +121,24 @@ class Encoder:
         coded = parts.values.dictionary_encode()
         # between blanks a piece lacks its blank; the first of a text has its mark instead
         distinct = [p[1:] if p[:1] == _FIRST else " " + p for p in coded.dictionary.to_pylist()]
-        fresh = set(chain(distinct, *split)).difference(self.known)
-        fresh.discard("")
         self.known[""] = b""
-        if fresh:
-            self._learn(fresh)
+        found = list(map(self.known.get, distinct))
+        unseen = {p for p, ids in zip(distinct, found) if ids is None}.union(*split).difference(self.known if odd else ())
+        if unseen:
+            self._learn(unseen)
         get = self.known.__getitem__
         for k, s in zip(odd, split):
             out[k] = np.frombuffer(b"".join(map(get, s)), self.dtype)
-        found = [get(p) for p in distinct]
+        found = [get(p) if ids is None else ids for p, ids in zip(distinct, found)]
         flat = np.frombuffer(b"".join(found), self.dtype)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        begin = np.cumsum(size) - size
+        size = np.fromiter(map(len, found), np.int32, len(found)) // np.int32(self.dtype.itemsize)
+        begin = np.cumsum(size, dtype=np.int32) - size
         index = coded.indices.to_numpy()
         n = size[index]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[index] - (ends - n), n) + np.arange(n.sum())]
+        ends = np.cumsum(n, dtype=np.int32)  # a slice's ids are far below 2**31
+        place = np.repeat(begin[index] - (ends - n), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place]
         cut = np.concatenate(([0], ends))[parts.offsets.to_numpy()]
         for k, x, y in zip(plain, cut[:-1].tolist(), cut[1:].tolist()):
             out[k] = ids[x:y]
@@ -154,6 +155,13 @@ _FIRST = "\x01"
 _ODD = re.compile(r" \s")
 
 
+_SLOT_BITS = 18
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)
+
+
 def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, max_rounds: int = MAX_ROUNDS, rules_a_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, ``last`` flags of them, rules as pairs). ``last`` marks each document's end.
 
@@ -179,17 +187,16 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, max_rounds:
             break
         order = often[np.argsort(-count[often], kind="stable")[:rules_a_round]]
         chosen = seen[edge[order]]
-        by_value = np.argsort(chosen)
-        none = len(chosen)
-        rank = np.full(len(pair), none, np.int32)
-        starts = np.zeros(base, bool)
-        starts[chosen // wide(base)] = True
-        maybe = np.flatnonzero(starts[seq[:-1]] & inside)
-        place = np.searchsorted(chosen[by_value], pair[maybe])
-        place[place == none] = 0
-        hit = chosen[by_value][place] == pair[maybe]
-        rank[maybe[hit]] = by_value[place[hit]]
-        before, after = np.append(np.int32(none), rank[:-1]), np.append(rank[1:], np.int32(none))
+        slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+        slots[_slot(chosen[::-1])] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
+        kept = slots[_slot(chosen)] == np.arange(len(chosen))  # of pairs that share a slot the most frequent is chosen
+        chosen = chosen[kept]
+        none = np.int32(len(chosen))
+        slots[:] = none
+        slots[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        rank = slots[_slot(pair)]
+        rank[~inside | (np.append(chosen, chosen[:1])[rank] != pair)] = none
+        before, after = np.append(none, rank[:-1]), np.append(rank[1:], none)
         at = np.flatnonzero((rank < none) & (rank < before) & (rank <= after))
         seq[at] = (base + rank[at]).astype(wide)
         keep = np.ones(len(seq), bool)
