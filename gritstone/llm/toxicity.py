@@ -3,12 +3,13 @@
 Each word enters as its hashed word vector beside the mean of its hashed character n-gram
 vectors; a GRU reads every window of words from both ends, attention pools the states, and a
 linear layer gives the window's logit. A document's logit is the largest of all its overlapping
-windows, a logistic map fitted on the training documents turns it into the score.
+windows, a logistic map fitted on sampled documents kept apart turns it into the score.
 
 Training uses at most ``MAX_DOCS`` labelled documents of each class, those whose id hashes lowest.
 Labels are of whole documents, so windows are learned by multiple instances: the windows of a
 toxic document that score highest count as toxic (at first by n-gram log odds, then by the
-network), all kinds of windows of a clean document count as clean, the hardest ones included.
+network), all kinds of windows of a clean document count as clean, the hardest ones included, and
+so do clean windows in which one word is repeated over and over.
 
 Edge cases: null and empty texts are one empty window; a document of several labels takes the
 largest; null ids or labels aren't learned from; without labels of both classes every score is
@@ -261,23 +262,34 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
     opt = Adam(p, RATE)
     odds = np.concatenate((net.inputs(w)[:-1, DIM], [np.float32(-9)]))
     score = np.partition(odds[windows], WINDOW - 2, axis=1)[:, WINDOW - 2 :].mean(axis=1)
-    toxic = y[owner] == 1
+    # a fifth of the documents is kept apart for the logistic map, if there are enough of each class
+    apart = np.zeros(len(texts), bool)
+    if min(np.bincount(y)) >= 100:
+        for c in (0, 1):
+            apart[np.flatnonzero(y == c)[::5]] = True
+    own_windows, toxic = ~apart[owner], y[owner] == 1
     epoch = 0
     while epoch < EPOCHS or opt.t < STEPS:
         epoch += 1
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, owner, score)
-        best = np.flatnonzero(toxic & (score >= top[owner] - 1e-6))
+        best = np.flatnonzero(own_windows & toxic & (score >= top[owner] - 1e-6))
         best = best[np.unique(owner[best], return_index=True)[1]]
-        clean = np.flatnonzero(~toxic)
+        clean = np.flatnonzero(own_windows & ~toxic)
         hard = clean[np.argsort(-score[clean], kind="stable")[: 2 * len(best)]]
         easy = rng.choice(clean, min(len(clean), 3 * len(best)), replace=False)
         pick = np.concatenate((best, best, hard, easy))
-        rng.shuffle(pick)
-        for at in range(0, len(pick), BATCH):
-            own = pick[at : at + BATCH]
+        shown, label = windows[pick], toxic[pick].astype(np.float32)
+        # clean windows in which one word says itself over and over, as junk does
+        junk = windows[rng.choice(clean, len(best))].copy() if len(clean) else windows[:0].copy()
+        word = junk[np.arange(len(junk)), rng.integers(0, WINDOW, len(junk))]
+        junk = np.where(np.arange(WINDOW) >= rng.integers(0, WINDOW - 4, len(junk))[:, None], word[:, None], junk)
+        shown, label = np.concatenate((shown, junk)), np.concatenate((label, np.zeros(len(junk), np.float32)))
+        order = rng.permutation(len(shown))
+        for at in range(0, len(order), BATCH):
+            own = order[at : at + BATCH]
             net.x = net.inputs(w) if at % (8 * BATCH) == 0 else net.x
-            grads = _gradients(net, w, windows[own], toxic[own].astype(np.float32))
+            grads = _gradients(net, w, shown[own], label[own])
             used, dx = grads.pop("x")
             rows = {"word": np.unique(w.buckets[used])}
             place = np.searchsorted(rows["word"], w.buckets[used])
@@ -293,24 +305,35 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
         score = net.logits(w, windows)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, owner, score.astype(np.float64))
-    net.scale, net.shift = _platt(top, y)
+    held = apart if apart.any() else ~apart
+    net.scale, net.shift = _platt(top[held], y[held])
     net.x = None
     return net
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """A logistic fit with smoothed targets by Newton steps; the toxic class weighs a quarter."""
+def _platt(x: np.ndarray, y: np.ndarray, prior: float = 1e-3) -> tuple[float, float]:
+    """A logistic fit with smoothed targets, the toxic class weighing a quarter: Newton steps, halved until
+    the loss falls, on centred values; ``prior`` holds the slope down where classes are apart."""
+    mid, wide = float(np.median(x)), float(np.std(x)) or 1.0
+    x = (x - mid) / wide
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     weight = np.where(y == 1, 0.25 / n1, 0.75 / n0)
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g, h = weight * (q - target), weight * q * (1 - q) + 1e-9
-        m = np.array([[np.sum(h * x * x) + 1e-6, np.sum(h * x)], [np.sum(h * x), np.sum(h) + 1e-9]])
-        da, db = np.linalg.solve(m, [np.sum(g * x) + 1e-6 * a, np.sum(g)])
-        a, b = a - np.clip(da, -2, 2), b - np.clip(db, -5, 5)
-    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+    def loss(v: np.ndarray) -> float:
+        z = v[0] * x + v[1]
+        return float(np.sum(weight * (np.logaddexp(0, z) - target * z)) + prior * v[0] ** 2 / 2)
+
+    v = np.array([1.0, 0.0])
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(v[0] * x + v[1], -30, 30)))
+        g, h = weight * (q - target), weight * q * (1 - q)
+        m = np.array([[np.sum(h * x * x) + prior, np.sum(h * x)], [np.sum(h * x), np.sum(h) + 1e-6]])
+        step, size = np.linalg.solve(m, [np.sum(g * x) + prior * v[0], np.sum(g)]), 1.0
+        while size > 1e-6 and loss(v - size * step) > loss(v):
+            size /= 2
+        v = v - size * step
+    return (float(v[0] / wide), float(v[1] - v[0] * mid / wide)) if v[0] > 0 else (1.0, 0.0)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
