@@ -35,7 +35,7 @@ from gritstone.llm.common import doc_texts, map_rows, materialize, slices, vocab
 END_ID = 2
 BLOCK_IDS = 1 << 21
 MAX_ROUNDS, RULES_A_ROUND, MIN_COUNT = 3, 4096, 64
-MEMORY_PIECES = 600_000
+MEMORY_PIECES = 450_000
 _CUT = re.compile(r"(?= [^ \s])")
 _MARKS = frozenset(".,;:!?|")
 #: Borders of the splitting pattern within a piece: a letter before a mark or line end, and a line end before a letter.
@@ -149,6 +149,16 @@ class Encoder:
         return [p for p in _CUT.split(text) if p]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """This worker's encoder: its memory serves all tasks that the worker runs."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary_path(vocabulary))
+    return _encoders[vocabulary]
+
+
 #: Marks the first piece of a text.
 _FIRST = "\x01"
 #: A blank before another kind of white space (or a blank line's end) is no place to cut.
@@ -271,7 +281,7 @@ def write_blocks(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
     """Encode and compress; returns the written table of blocks in ascending doc_id order (BLOCKS)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_path(vocabulary))
+        encoder = encoder_of(vocabulary)
         first_rule = encoder.tokenizer.get_vocab_size()
         shard = TaskContext.get().partitionId()
         ids, kept, size, block = [], [], 0, 0
