@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from gritstone.llm import shingles
 from gritstone.llm.common import doc_texts, map_rows, materialize
 from gritstone.llm.components import connected_components
 
@@ -144,9 +145,13 @@ def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """The rows of ``docs`` that lead their group (smallest doc_id), once each; rows without an id stay."""
-    leads = near_duplicates(docs, max_bucket).where("doc_id = component_id").select("doc_id").distinct()
+def keep_one(docs: DataFrame, width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that lead their group (smallest doc_id), once each; rows without an id stay.
+
+    Groups are the components of pairs whose ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more: fingerprints within two bits are too narrow a net for a corpus.
+    """
+    leads = shingles.near_duplicates(docs, width, similarity).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(leads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
