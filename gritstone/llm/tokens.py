@@ -38,8 +38,9 @@ MAX_ROUNDS, RULES_A_ROUND, MIN_COUNT = 3, 4096, 64
 MEMORY_PIECES = 450_000
 _CUT = re.compile(r"(?= [^ \s])")
 _MARKS = frozenset(".,;:!?|")
-#: Borders of the splitting pattern within a piece: a letter before a mark or line end, and a line end before a letter.
-_PARTS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?|\n])|(?<=[.,;:!?|])(?=\n)|(?<=\n)(?=[^\W\d_])")
+#: Borders of the splitting pattern within a piece: a letter before a mark or line end, a line end before a
+#: letter, and the last line end of a run of white space, which the pattern sets apart from what it follows.
+_PARTS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?|\n])|(?<=[.,;:!?|])(?=\n)|(?<=\s)(?=\n[^\W\d_])|(?<=\n)(?=[^\W\d_])")
 
 
 class Encoder:

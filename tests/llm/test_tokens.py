@@ -1,15 +1,15 @@
+import random
 import zlib
 
 import numpy as np
 
 from gritstone.llm import tokens
+from gritstone.llm.common import vocabulary_path
 
 
 def brute(rows):
     from tokenizers import Tokenizer
 
-    from gritstone.llm.common import vocabulary_path
-
     t = Tokenizer.from_file(vocabulary_path())
     out, start = {}, 0
     for doc, text in sorted(rows, key=lambda r: r[0]):
@@ -19,7 +19,7 @@ def brute(rows):
     return out
 
 
-ODD = ["", " ", "  a", "a  b", "a \n b", "a\n\n b ", "　 x  y", "it's  \t we'll 'll", "x <|endoftext|> y", "a\x1c b", "  ", "é à  ", "a   b", "\n a", "a\x85 b \x85", "one.\nTwo, three|four", "x" * 5000]
+ODD = ["", " ", "  a", "a  b", "a \n b", "a\n\n b ", "　 x  y", "it's  \t we'll 'll", "x <|endoftext|> y", "a\x1c b", "  ", "é à  ", "a   b", "\n a", "a\x85 b \x85", "one.\nTwo, three|four", "x" * 5000, "a\n\nb", "one.\n\ntwo three", "abc\n\n\n\nd e", "a \n\nb", "a\t\nb", "1\n\n2", "\u3000\nb"]
 
 
 def test_blocks_match_the_tokenizer(spark):
@@ -29,6 +29,23 @@ def test_blocks_match_the_tokenizer(spark):
     assert got == brute(rows)
 
 
+def test_random_texts_match_the_tokenizer():
+    encoder = tokens.Encoder(vocabulary_path(), memory=5000)
+    rng = random.Random(8)
+    bits = ["\n", "\n\n", "\t", "\u3000", " ", " ", "  ", "\r\n", "7", "42", "a", "the", "Next", "é", "²", "_", ".", ",", "|", "'s", "'ll", "n't", "-", "\x1c", "\x85", "日", "́", "<|"]
+    for _ in range(50):
+        texts = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(1000)]
+        want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for text, ids, w in zip(texts, encoder.encode(texts), want):
+            assert ids.tolist() == w.ids, repr(text)
+
+
+def test_null_and_equal_ids(spark):
+    rows = [(None, "b"), (None, "a"), (3, "z"), (3, None), (3, "z")]
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokens.read_blocks(tokens.write_blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))).collect())
+    assert got == [(0, None, 2), (2, None, 2), (4, 3, 1), (5, 3, 2), (7, 3, 2)]
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
