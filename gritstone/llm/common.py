@@ -46,6 +46,14 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, tag: str, compression: str = "zstd") -> DataFrame:
+    """``materialize`` as a table of ``buckets`` by ``key``: joins on that key leave its rows where they are."""
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("compression", compression).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

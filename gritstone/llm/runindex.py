@@ -3,24 +3,31 @@
 A byte goes where a string of ``LENGTH`` bytes that covers it also starts in a document with a
 smaller id. The work is dealt out so that no task sees the corpus:
 
-1. Texts are packed into blocks. Every window of LENGTH bytes has an anchor, its K-byte gram of
-   least hash (leftmost of equals). Equal windows have equal anchors at equal places.
+1. Texts are packed into blocks, dealt once into buckets by block number. Every window of LENGTH
+   bytes has an anchor, its K-byte gram of least hash (leftmost of equals). Equal windows have equal
+   anchors at equal places.
 2. Anchors are counted by hash over all blocks; those of one place only are done with.
 3. A stretch of windows with one anchor is a context. The distinct contexts of each block go, by
    anchor, to a shard with the smallest and largest id that hold them there. An anchor found in
    more than ``HOT_BLOCKS`` blocks sends its windows one by one, dealt by their content instead.
-4. A shard indexes its contexts: suffix order, run-compressed BWT, the suffix samples at run ends,
-   and, along the suffix order, classes of suffixes that agree on LENGTH bytes with their smallest
-   id. All contexts are streamed backwards through the runs by LF steps, which yields for each of
-   their windows the class reached: a match of LENGTH bytes, and the smallest document with it.
+4. In a shard the contexts of an anchor are ordered by their smallest id and halved again and again:
+   each half of larger ids is streamed backwards against a run-length Burrows-Wheeler index of the
+   half of smaller ids. The index keeps runs and the suffix samples at both ends of each run; a
+   stream that leaves a run goes on at the end of the nearest run of its symbol, whose sample says
+   where that is and, compared with what has matched, how much still matches. The (length, sample)
+   pairs so kept are the matching statistics; a length of LENGTH or more marks the window, the
+   sample names a document that had it earlier. (A number in place of the anchor's first bytes,
+   which all windows of a context hold, keeps matches within their own two halves.)
 5. Windows that some document of a block has from an earlier one return to the block, where they
    are laid over the documents they concern.
 
 Steps 1 to 3 only find candidates (a hash collision adds work, never a removal); the comparison
 of step 4 is of bytes.
 
-Edge cases: a null text is empty; documents with equal ids don't remove from each other; a null
-id counts as larger than all; repeated rows of different ids lose all but the first.
+Edge cases: a null text is empty, an empty table gives no rows; texts of any length are whole;
+columns other than doc_id and text take no part, whatever their names; documents with equal ids
+don't remove from each other; a null id counts as larger than all; repeated rows of different ids
+lose all but the first.
 """
 
 from __future__ import annotations
@@ -35,13 +42,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import map_rows, materialize, shuffle_parts
+from gritstone.llm.common import bucketed, map_rows, materialize, shuffle_parts
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1
 BLOCK_BYTES = 2 << 20
 HOT_BLOCKS = 512
 SHARD_SYMBOLS = 3 << 19
+#: Bytes of all texts for each shard, and for each bucket of blocks.
+SHARD_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 _STEP = 1 << 20
 _POS = np.uint64((1 << 21) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -53,7 +62,7 @@ _LAST = np.iinfo(np.int64).max
 BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, data binary"
 
 
-def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, buckets: int = 8) -> DataFrame:
     """Whole texts side by side, compressed; a longer text has a block of its own."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -79,7 +88,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield done()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, BLOCKS), "runindex-blocks", "uncompressed")
+    return bucketed(rows.mapInArrow(run, BLOCKS), "block", buckets, "runindex_blocks", "uncompressed")
 
 
 class Block:
@@ -89,13 +98,12 @@ class Block:
         self.ids = np.array([_LAST if d is None else d for d in doc_ids], np.int64)
         self.ends = np.cumsum(np.array(sizes, np.int64))
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, windows, anchor hash, document number) of each stretch with one anchor."""
+    def contexts(self) -> tuple[np.ndarray, ...]:
+        """(first window, windows, anchor hash, document number, anchor's place in it) of each stretch with one anchor."""
         parts = [self._part(at) for at in range(0, max(0, len(self.bytes) - LENGTH + 1), _STEP)]
         if not parts:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        first, count, hashes, doc = (np.concatenate(x) for x in zip(*parts))
-        return first, count, hashes, doc
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _part(self, at: int):
         """Contexts that begin with one of ``_STEP`` windows; a stretch over the border gives two."""
@@ -119,7 +127,7 @@ class Block:
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~fits[:-1]
         edge = np.flatnonzero(fresh & fits)
         stop = np.minimum(np.append(edge[1:], len(anchor)), self.ends[doc[edge]] - LENGTH + 1 - at)
-        return start[edge], stop - edge, g[anchor[edge]], doc[edge]
+        return start[edge], stop - edge, g[anchor[edge]], doc[edge], anchor[edge] - edge
 
 
 def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +149,7 @@ def shared_anchors(blocks: DataFrame, parts: int, hot_blocks: int) -> DataFrame:
     def anchors(rows: dict) -> dict:
         out = {"part": [], "block": [], "twice": [], "once": []}
         for number, ids, sizes, data in zip(rows["block"], rows["doc_ids"], rows["sizes"], rows["data"]):
-            _, _, hashes, doc = Block(ids, sizes, data).contexts()
+            _, _, hashes, doc, _ = Block(ids, sizes, data).contexts()
             order = np.lexsort((doc, hashes))
             h, d = hashes[order], doc[order]
             edge, size = _runs(h)
@@ -197,7 +205,7 @@ class Entries:
     """The distinct shared contexts of a block, in an order that the block and its tables fix."""
 
     def __init__(self, block: Block, parts: int, shared: list[tuple[int, bytes, bytes]]):
-        first, count, hashes, doc = block.contexts()
+        first, count, hashes, doc, anchor = block.contexts()
         part, low = _dealt(hashes, parts)
         key = part.astype(np.uint64) << np.uint64(32) | low
         mine = lambda k: np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.uint64(s[0]) << np.uint64(32) | np.frombuffer(s[k], np.uint32).astype(np.uint64) for s in shared)]))
@@ -216,18 +224,21 @@ class Entries:
             [number.setdefault((p, h, raw[a : a + c + LENGTH - 1]), len(number)) for p, h, a, c in zip(dealt_part.tolist(), dealt_low.tolist(), self.first.tolist(), self.count.tolist())], np.int64
         )
         self.contexts = list(number)
+        self.anchor = np.zeros(len(number), np.uint8)
+        self.anchor[self.entry] = np.concatenate((anchor[cold], np.repeat(first[hot] + anchor[hot], n) - window))
         self.low_id = np.full(len(number), _LAST, np.int64)
         self.high_id = np.full(len(number), np.iinfo(np.int64).min, np.int64)
         np.minimum.at(self.low_id, self.entry, block.ids[self.doc])
         np.maximum.at(self.high_id, self.entry, block.ids[self.doc])
 
 
-ENTRIES = "part int, block long, numbers binary, lows binary, sizes binary, texts binary, low_ids binary, high_ids binary"
+ENTRIES = "part int, block long, numbers binary, lows binary, anchors binary, sizes binary, texts binary, low_ids binary, high_ids binary"
 
 
 def send_contexts(joined: DataFrame, parts: int) -> DataFrame:
     def run(rows: dict) -> dict:
-        out = {n: [] for n in ("part", "block", "numbers", "lows", "sizes", "texts", "low_ids", "high_ids")}
+        out = {n: [] for n in ("part", "block", "numbers", "lows", "anchors", "sizes", "texts", "low_ids", "high_ids")}
+        squeeze = zstandard.ZstdCompressor(level=3)
         for number, ids, sizes, data, shared in zip(rows["block"], rows["doc_ids"], rows["sizes"], rows["data"], rows["shared"]):
             e = Entries(Block(ids, sizes, data), parts, [(s["part"], s["shared"], s["hot"]) for s in shared])
             part = np.array([c[0] for c in e.contexts], np.int64)
@@ -236,7 +247,7 @@ def send_contexts(joined: DataFrame, parts: int) -> DataFrame:
             for a, n in zip(edge.tolist(), size.tolist()):
                 own = order[a : a + n]
                 texts = [e.contexts[k] for k in own.tolist()]
-                row = (int(part[own[0]]), number, own.astype(np.int32).tobytes(), np.array([t[1] for t in texts], np.uint32).tobytes(), np.array([len(t[2]) for t in texts], np.uint8).tobytes(), b"".join(t[2] for t in texts), e.low_id[own].tobytes(), e.high_id[own].tobytes())
+                row = (int(part[own[0]]), number, own.astype(np.int32).tobytes(), np.array([t[1] for t in texts], np.uint32).tobytes(), e.anchor[own].tobytes(), np.array([len(t[2]) for t in texts], np.uint8).tobytes(), squeeze.compress(b"".join(t[2] for t in texts)), e.low_id[own].tobytes(), e.high_id[own].tobytes())
                 for name, x in zip(out, row):
                     out[name].append(x)
         return out
@@ -255,67 +266,102 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
+class Texts:
+    """Byte strings side by side, each closed by a terminator: symbols (byte + 1, 0 the terminator) and 8-symbol words."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.ends = sizes, np.cumsum(sizes + 1) - 1
+        n = int(self.ends[-1]) + 1 if len(sizes) else 0
+        self.symbols = np.zeros(n, np.uint8)
+        closed = np.zeros(n, bool)
+        closed[self.ends] = True
+        self.symbols[~closed] = flat + np.uint8(1)  # UTF-8 has no byte 255
+        self.left = np.repeat(self.ends, sizes + 1) - np.arange(n)
+        word = np.concatenate((self.symbols, np.zeros(8, np.uint8))).astype(np.uint64)
+        for k in (1, 2, 4):
+            word = word[:-k] << np.uint64(8 * k) | word[k:]
+        word = word[:n]
+        short = self.left < 8  # nothing of the next text
+        word[short] &= ~(~np.uint64(0) >> (np.uint64(8) * self.left[short].astype(np.uint64)))
+        self.words = word
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, place)
+
+
 class RunLengthIndex:
-    """Run-compressed BWT of distinct texts of up to 128 bytes, each closed by a terminator.
+    """Run-compressed BWT of texts of up to 128 bytes, with the suffix samples at both ends of every run.
 
-    Suffixes are ordered by their bytes and then by text; kept are the runs (head symbol, start,
-    LF target), the suffix samples at run ends, and the classes along the suffix order.
+    Suffixes are ordered by their bytes and then by text; of that order only what stands at run ends is kept.
     """
 
-    def __init__(self, texts: list[bytes], low_ids: np.ndarray, length: int = LENGTH):
-        self.length, self.sizes = length, np.fromiter(map(len, texts), np.int64, len(texts))
-        self.ends = np.cumsum(self.sizes + 1) - 1
-        n = int(self.ends[-1]) + 1
-        t = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
-        t[self.ends] = 0
-        owner = np.repeat(np.arange(len(texts)), self.sizes + 1)
-        left = self.ends[owner] - np.arange(n)
-        key = np.concatenate((t, np.zeros(8, np.uint8))).astype(np.uint64)
-        for k in (1, 2, 4):
-            key = key[:-k] << np.uint64(8 * k) | key[k:]
-        key = key[:n]
-        short = left < 8
-        key[short] &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64))) if short.any() else np.uint64(0)
-        key[left == 0] = 0
-        rank, agreed = _dense(key), None
+    def __init__(self, texts: Texts):
+        self.texts, t, left = texts, texts.symbols, texts.left
+        rank = _dense(texts.words)
         for k in (8, 16, 32):
             rank = _dense(rank << 32 | _shifted(rank, k, left))
-            if k == 16:
-                agreed = rank  # equal iff the next 32 bytes are
         order = np.argsort(rank << 32 | _shifted(rank, 64, left), kind="stable")
         before = t[order - 1]
-        edge, self.run_size = _runs(before)
-        self.run_start, self.run_symbol = edge, before[edge]
-        self.run_end_sample = order[edge + self.run_size - 1]
-        by_symbol = np.argsort(self.run_symbol, kind="stable")
-        self.run_target = np.empty(len(edge), np.int64)
-        self.run_target[by_symbol] = np.cumsum(self.run_size[by_symbol]) - self.run_size[by_symbol]
-        window = agreed << 32 | _shifted(agreed, length - 32, left)
-        long = left >= length
-        w, ok = window[order], long[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = (w[1:] != w[:-1]) | ~ok[1:] | ~ok[:-1]
-        first = np.flatnonzero(fresh)
-        self.of_class = np.minimum.reduceat(low_ids[owner[order]], first)
-        self.suffix_class = np.cumsum(fresh) - 1
-
-    def step(self, at: np.ndarray) -> np.ndarray:
-        """LF: from a suffix's place to that of the suffix one symbol longer."""
-        run = np.searchsorted(self.run_start, at, side="right") - 1
-        return self.run_target[run] + at - self.run_start[run]
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest id for each window of each text, text after text, and where each text's begin."""
-        windows = np.maximum(self.sizes - self.length + 1, 0)
-        begin = np.cumsum(windows) - windows
-        found = np.empty(int(windows.sum()), np.int64)
-        at, text = np.arange(len(self.sizes)), np.arange(len(self.sizes))  # terminators come first, by text
-        for matched in range(1, int(self.sizes.max(initial=0)) + 1):
-            alive = self.sizes[text] >= matched
-            at, text = self.step(at[alive]), text[alive]
-            if matched >= self.length:
-                found[begin[text] + self.sizes[text] - matched] = self.of_class[self.suffix_class[at]]
-        return found, begin
+        self.run_start, self.run_size = _runs(before)
+        self.run_symbol = before[self.run_start].astype(np.int64)
+        self.first_sample, self.last_sample = order[self.run_start], order[self.run_start + self.run_size - 1]
+        self.by_symbol = np.argsort(self.run_symbol, kind="stable")
+        self.run_target = np.empty(len(self.run_start), np.int64)
+        self.run_target[self.by_symbol] = np.cumsum(self.run_size[self.by_symbol]) - self.run_size[self.by_symbol]
+        self.symbol_start = self.run_symbol[self.by_symbol] << 40 | self.run_start[self.by_symbol]
+
+    def matching_statistics(self, queries: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the queries the length of the longest match that begins there and where it is in the texts."""
+        lengths, samples = np.zeros(len(queries.symbols), np.int64), np.zeros(len(queries.symbols), np.int64)
+        order = np.argsort(-queries.sizes, kind="stable")  # those still alive at a step come first
+        ends, sizes = queries.ends[order], queries.sizes[order]
+        alive = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
+        home = int(self.texts.ends[0])  # the first text's terminator is the first suffix
+        at, sample, length = np.zeros(len(order), np.int64), np.full(len(order), home), np.zeros(len(order), np.int64)
+        for step, n in enumerate(alive.tolist(), 1):
+            place = ends[:n] - step
+            symbol = queries.symbols[place].astype(np.int64)
+            a = at[:n]
+            run = np.searchsorted(self.run_start, a, side="right") - 1
+            miss = np.flatnonzero(self.run_symbol[run] != symbol)
+            lost = self._jump(miss, symbol[miss], place[miss] + 1, queries, run, a, sample, length) if len(miss) else miss
+            moved = self.run_target[run] + a - self.run_start[run]
+            at[:n], sample[:n], length[:n] = moved, sample[:n] - 1, length[:n] + 1
+            if len(lost):
+                at[lost], sample[lost], length[lost] = 0, home, 0
+            lengths[place], samples[place] = length[:n], sample[:n]
+        return lengths, samples
+
+    def _jump(self, miss, symbol, place, queries: Texts, run, at, sample, length) -> np.ndarray:
+        """Moves streams to the run end, of the two nearest ones of their symbol, that shares most with what has matched;
+        returns the streams that have none."""
+        below = np.searchsorted(self.symbol_start, symbol << 40 | at[miss])
+        limit = length[miss]
+        best, found = np.full(len(miss), -1, np.int64), np.zeros(len(miss), np.int64)
+        for k, samples, offset in ((below - 1, self.last_sample, self.run_size - 1), (below, self.first_sample, np.zeros_like(self.run_size))):
+            inside = (k >= 0) & (k < len(self.by_symbol))
+            to = self.by_symbol[np.where(inside, k, 0)]
+            ok = np.flatnonzero(inside & (self.run_symbol[to] == symbol))
+            shared = self._common(samples[to[ok]], queries, place[ok], limit[ok])
+            better = shared > best[ok]
+            ok, to = ok[better], to[ok[better]]
+            best[ok], found[ok] = shared[better], 1
+            run[miss[ok]], at[miss[ok]], sample[miss[ok]] = to, self.run_start[to] + offset[to], samples[to]
+        length[miss] = np.maximum(best, 0)
+        return miss[found == 0]
+
+    def _common(self, own: np.ndarray, queries: Texts, place: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """How many symbols, ``limit`` at most, agree from a place of the texts and a place of the queries on."""
+        out, live, k = limit.copy(), np.flatnonzero(limit > 0), 0
+        while len(live):
+            x = self.texts.words[own[live] + k] ^ queries.words[place[live] + k]
+            off = x != 0
+            y = x[off]
+            out[live[off]] = np.minimum(k + sum((y < np.uint64(1 << 8 * i)).astype(np.int64) for i in range(1, 8)), limit[live[off]])
+            k += 8
+            live = live[~off]
+            live = live[limit[live] > k]
+        return out
 
 
 def _shifted(rank: np.ndarray, by: int, left: np.ndarray) -> np.ndarray:
@@ -325,23 +371,71 @@ def _shifted(rank: np.ndarray, by: int, left: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each stretch of ``sizes``."""
+    return np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
+
+
+def earlier_ids(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of distinct texts the id of a text of its group that has it too, a smaller one than the text's
+    own if any has; and where each text's windows begin."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    windows = sizes - length + 1
+    first = np.cumsum(windows) - windows
+    found = np.repeat(ids, windows)
+    order = np.lexsort((ids, groups))
+    g, i = groups[order], ids[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = g[1:] != g[:-1]
+    step = np.cumsum(fresh | np.append(True, i[1:] != i[:-1]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = step - np.maximum.accumulate(np.where(fresh, step, 0))
+    open_ = np.ones(len(texts), bool)
+
+    def taken(which: np.ndarray, node: np.ndarray) -> Texts:
+        own = flat[_spread(begin[which], sizes[which])]
+        at = np.cumsum(sizes[which]) - sizes[which] + anchors[which]
+        for k in range(4):
+            own[at + k] = node[which] >> 7 * k & 127
+        return Texts(own, sizes[which])
+
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        upper = rank >> bit & 1 == 1
+        asks = np.flatnonzero(upper & open_)
+        if not len(asks):
+            continue
+        _, node = np.unique(groups << 32 | rank >> bit + 1, return_inverse=True)
+        has = np.zeros(int(node.max()) + 1, bool)
+        has[node[asks]] = True
+        tells = np.flatnonzero(~upper & has[node])
+        index, queries = RunLengthIndex(taken(tells, node)), taken(asks, node)
+        lengths, samples = index.matching_statistics(queries)
+        w = windows[asks]
+        places = _spread(queries.ends - queries.sizes, w)
+        hit = np.flatnonzero(lengths[places] >= length)
+        out = _spread(first[asks], w)
+        found[out[hit]] = ids[tells[index.texts.text_of(samples[places[hit]])]]
+        open_[asks] = np.maximum.reduceat((found[out] == np.repeat(ids[asks], w)).astype(np.int8), np.cumsum(w) - w) > 0
+    return found, first
+
+
 MARKS = "block long, numbers binary, sizes binary, ids binary"
 
 
 def match_shard(table: pa.Table) -> pa.Table:
-    """For entries of each block: the smallest ids of their windows, where an entry has use for them."""
-    rows = table.select(["block", "numbers", "lows", "sizes", "texts", "low_ids", "high_ids"]).to_pydict()
-    blocks, number, low, low_id, high_id, texts, of = rows["block"], [], [], [], [], [], []
-    for k, raw in enumerate(rows["texts"]):
-        size = np.frombuffer(rows["sizes"][k], np.uint8).astype(np.int64)
+    """For entries of each block: ids of earlier documents with their windows, where an entry has use for them."""
+    rows = table.select(["block", "numbers", "lows", "anchors", "sizes", "texts", "low_ids", "high_ids"]).to_pydict()
+    blocks, texts = rows["block"], []
+    wide = zstandard.ZstdDecompressor()
+    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
+    for size, raw in zip(rows["sizes"], rows["texts"]):
+        size, raw = np.frombuffer(size, np.uint8).astype(np.int64), wide.decompress(raw)
         ends = np.cumsum(size)
         texts += [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())]
-        number.append(np.frombuffer(rows["numbers"][k], np.int32))
-        low.append(np.frombuffer(rows["lows"][k], np.uint32))
-        low_id.append(np.frombuffer(rows["low_ids"][k], np.int64))
-        high_id.append(np.frombuffer(rows["high_ids"][k], np.int64))
-        of.append(np.full(len(size), k))
-    number, low, low_id, high_id, of = map(np.concatenate, (number, low, low_id, high_id, of))
+    number, low, anchor, low_id, high_id = read("numbers", np.int32), read("lows", np.uint32), read("anchors", np.uint8), read("low_ids", np.int64), read("high_ids", np.int64)
+    of = np.repeat(np.arange(len(blocks)), [len(x) for x in rows["sizes"]])
     order = np.argsort(low, kind="stable")
     symbols = np.cumsum(np.array([len(texts[k]) + 1 for k in order.tolist()]))
     edge, size = _runs(low[order])
@@ -353,7 +447,7 @@ def match_shard(table: pa.Table) -> pa.Table:
         base = symbols[edge[a] - 1] if edge[a] else 0
         b = max(a + 1, int(np.searchsorted(symbols[edge + size - 1], base + SHARD_SYMBOLS, side="right")))
         own = order[edge[a] : edge[b - 1] + size[b - 1]]
-        _match(own, texts, number, low_id, high_id, of, kept)
+        _match(own, texts, low, anchor, number, low_id, high_id, of, kept)
         a = b
     for k, (n, s, i) in enumerate(kept):
         if n:
@@ -362,14 +456,17 @@ def match_shard(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(out["block"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("numbers", "sizes", "ids")}})
 
 
-def _match(own: np.ndarray, texts, number, low_id, high_id, of, kept) -> None:
+def _match(own: np.ndarray, texts, low, anchor, number, low_id, high_id, of, kept) -> None:
     distinct: dict[bytes, int] = {}
     text_of = np.array([distinct.setdefault(texts[k], len(distinct)) for k in own.tolist()], np.int64)
     least = np.full(len(distinct), _LAST, np.int64)
     np.minimum.at(least, text_of, low_id[own])
-    index = RunLengthIndex(list(distinct), least)
-    found, begin = index.stream()
-    windows = index.sizes - LENGTH + 1
+    a, lows = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    a[text_of], lows[text_of] = anchor[own], low[own]
+    named: dict[tuple[int, bytes], int] = {}
+    groups = np.array([named.setdefault((h, t[x : x + K]), len(named)) for t, x, h in zip(distinct, a.tolist(), lows.tolist())], np.int64)
+    found, begin = earlier_ids(list(distinct), a, groups, least)
+    windows = np.fromiter(map(len, distinct), np.int64, len(distinct)) - LENGTH + 1
     earliest = np.minimum.reduceat(found, begin)
     useful = np.flatnonzero(earliest[text_of] < high_id[own])
     which = own[useful]
@@ -378,12 +475,10 @@ def _match(own: np.ndarray, texts, number, low_id, high_id, of, kept) -> None:
     edge, size = _runs(of[which])
     for a, n in zip(edge.tolist(), size.tolist()):
         e, t = which[a : a + n], text_of[useful[a : a + n]]
-        w = windows[t]
-        place = np.repeat(begin[t] - np.concatenate(([0], np.cumsum(w)[:-1])), w) + np.arange(w.sum())
         k = int(of[e[0]])
         kept[k][0].append(number[e])
-        kept[k][1].append(w)
-        kept[k][2].append(found[place])
+        kept[k][1].append(windows[t])
+        kept[k][2].append(found[_spread(begin[t], windows[t])])
 
 
 # ---- back in the blocks ------------------------------------------------------------------------
@@ -435,11 +530,15 @@ def _gone(block: Block, parts: int, shared, marks) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS, parts: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, removed spans and kept bytes of every document (columns RESULT)."""
-    parts = parts or 4 * shuffle_parts(docs.sparkSession)
-    blocks = pack_blocks(docs, block_bytes)
-    shared = materialize(shared_anchors(blocks, parts, hot_blocks), "runindex-shared")
-    of_block = shared.groupBy("block").agg(F.collect_list(F.struct("part", "shared", "hot")).alias("shared"))
+    """doc_id, n_bytes, removed spans and kept bytes of every document (columns RESULT).
+
+    Shards and buckets are as many as the bytes of all texts ask for, so that each stays of one size.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts, buckets = parts or 1 + size // SHARD_BYTES, max(shuffle_parts(docs.sparkSession), size // BUCKET_BYTES)
+    blocks = pack_blocks(docs, block_bytes, buckets)
+    shared = shared_anchors(blocks, parts, hot_blocks)
+    of_block = bucketed(shared.groupBy("block").agg(F.collect_list(F.struct("part", "shared", "hot")).alias("shared")), "block", buckets, "runindex_shared")
     entries = send_contexts(blocks.join(of_block, "block"), parts)
     marks = materialize(entries.groupBy("part").applyInArrow(match_shard, MARKS), "runindex-marks")
     found = marks.groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("marks"))

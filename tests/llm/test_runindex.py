@@ -60,21 +60,65 @@ def test_long_text_over_several_parts(monkeypatch):
     import zstandard
 
     block = ri.Block([1, 2], [2000, 1000], zstandard.ZstdCompressor().compress(raw))
-    first, count, hashes, doc = block.contexts()
+    first, count, hashes, doc, anchor = block.contexts()
+    assert (anchor >= count - 1).all() and (anchor + ri.K <= 50).all()
     assert count.sum() == 2000 - 49 + 1000 - 49
     seen = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count)])
     assert len(set(seen.tolist())) == len(seen)
 
 
-def test_index_is_a_suffix_order():
-    texts = sorted({bytes(random.Random(k).choices(b"ab", k=random.Random(k).randint(50, 79))) for k in range(200)})
-    ids = np.arange(len(texts))[::-1].copy()
-    index = ri.RunLengthIndex(texts, ids)
-    assert len(index.run_start) < sum(len(t) + 1 for t in texts) and int(index.run_size.sum()) == sum(len(t) + 1 for t in texts)
-    found, begin = index.stream()
-    for k, t in enumerate(texts):
-        for i in range(len(t) - 49):
-            assert found[begin[k] + i] == min(ids[j] for j, u in enumerate(texts) if t[i : i + 50] in u)
+def texts_of(rows):
+    return ri.Texts(np.frombuffer(b"".join(rows), np.uint8), np.array([len(r) for r in rows], np.int64))
+
+
+def test_matching_statistics():
+    rng = random.Random(4)
+    say = lambda k: bytes(rng.choices(b"ab", k=k))
+    own = [say(rng.randint(1, 79)) for _ in range(60)]
+    asked = [say(rng.randint(1, 79)) for _ in range(40)] + [own[3][2:60], own[5], b"xyz", own[7] + b"x" + own[8][:20]]
+    index, queries = ri.RunLengthIndex(texts_of(own)), texts_of(asked)
+    assert len(index.run_start) < len(index.texts.symbols) == int(index.run_size.sum())
+    lengths, samples = index.matching_statistics(queries)
+    text = index.texts.symbols.tobytes()
+    for q, end in zip(asked, queries.ends.tolist()):
+        coded = bytes(x + 1 for x in q)
+        for i in range(len(q)):
+            place = end - len(q) + i
+            want = max(n for n in range(len(q) - i + 1) if any(q[i : i + n] in o for o in own))
+            assert lengths[place] == want
+            assert text[samples[place] : samples[place] + want] == coded[i : i + want]
+
+
+def windows_case():
+    rng = random.Random(2)
+    texts = sorted({b"y" * rng.randint(0, 3) + bytes(rng.choices(b"ab", k=3)) + b"-the-anchor-of-all!!" + bytes(rng.choices(b"ab", k=4)) * 9 for _ in range(300)})
+    texts = sorted({t[: t.index(b"-the") + 50] for t in texts if len(t) >= 50})  # every window holds the anchor
+    anchors = np.array([t.index(b"-the") for t in texts])
+    return texts, anchors, np.zeros(len(texts), np.int64), np.array([rng.randint(0, 90) for _ in texts])
+
+
+def earlier_by_brute_force(texts, ids):
+    return [min([int(ids[j]) for j, u in enumerate(texts) if t[i : i + 50] in u]) < ids[k] for k, t in enumerate(texts) for i in range(len(t) - 49)]
+
+
+def test_windows_of_earlier_texts():
+    texts, anchors, groups, ids = windows_case()
+    found, first = ri.earlier_ids(texts, anchors, groups, ids)
+    own = np.repeat(ids, [len(t) - 49 for t in texts])
+    assert (found < own).tolist() == earlier_by_brute_force(texts, ids) and (found <= own).all() and (found < own).any()
+
+
+def test_wrong_samples_give_wrong_marks(monkeypatch):
+    texts, anchors, groups, ids = windows_case()
+    build = ri.RunLengthIndex.__init__
+
+    def wrong(self, of):
+        build(self, of)
+        self.first_sample, self.last_sample = np.roll(self.first_sample, 1), np.roll(self.last_sample, 1)
+
+    monkeypatch.setattr(ri.RunLengthIndex, "__init__", wrong)
+    found, _ = ri.earlier_ids(texts, anchors, groups, ids)
+    assert (found < np.repeat(ids, [len(t) - 49 for t in texts])).tolist() != earlier_by_brute_force(texts, ids)
 
 
 def test_empty_table(spark):
