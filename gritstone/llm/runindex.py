@@ -300,7 +300,11 @@ class RunLengthIndex:
         rank = _dense(texts.words)
         for k in (8, 16, 32):
             rank = _dense(rank << 32 | _shifted(rank, k, left))
-        order = np.argsort(rank << 32 | _shifted(rank, 64, left), kind="stable")
+        bits = len(t).bit_length()
+        if 3 * bits <= 63:  # the place breaks ties
+            order = np.argsort(rank << 2 * bits | _shifted(rank, 64, left) << bits | np.arange(len(t)))
+        else:
+            order = np.argsort(rank << 32 | _shifted(rank, 64, left), kind="stable")
         before = t[order - 1]
         self.run_start, self.run_size = _runs(before)
         self.run_symbol = before[self.run_start].astype(np.int64)
@@ -335,32 +339,36 @@ class RunLengthIndex:
     def _jump(self, miss, symbol, place, queries: Texts, run, at, sample, length) -> np.ndarray:
         """Moves streams to the run end, of the two nearest ones of their symbol, that shares most with what has matched;
         returns the streams that have none."""
-        below = np.searchsorted(self.symbol_start, symbol << 40 | at[miss])
-        limit = length[miss]
-        best, found = np.full(len(miss), -1, np.int64), np.zeros(len(miss), np.int64)
-        for k, samples, offset in ((below - 1, self.last_sample, self.run_size - 1), (below, self.first_sample, np.zeros_like(self.run_size))):
-            inside = (k >= 0) & (k < len(self.by_symbol))
-            to = self.by_symbol[np.where(inside, k, 0)]
-            ok = np.flatnonzero(inside & (self.run_symbol[to] == symbol))
-            shared = self._common(samples[to[ok]], queries, place[ok], limit[ok])
-            better = shared > best[ok]
-            ok, to = ok[better], to[ok[better]]
-            best[ok], found[ok] = shared[better], 1
-            run[miss[ok]], at[miss[ok]], sample[miss[ok]] = to, self.run_start[to] + offset[to], samples[to]
-        length[miss] = np.maximum(best, 0)
-        return miss[found == 0]
+        n, below = len(miss), np.searchsorted(self.symbol_start, symbol << 40 | at[miss])
+        near = np.concatenate((below - 1, below))  # the run above, then the run below
+        inside = (near >= 0) & (near < len(self.by_symbol))
+        to = self.by_symbol[np.where(inside, near, 0)]
+        inside &= self.run_symbol[to] == np.concatenate((symbol, symbol))
+        above = np.arange(2 * n) < n
+        samples = np.where(above, self.last_sample[to], self.first_sample[to])
+        shared = np.full(2 * n, -1, np.int64)
+        ok = np.flatnonzero(inside)
+        which = ok % n
+        shared[ok] = self._common(samples[ok], queries, place[which], length[miss[which]])
+        best = np.arange(n) + n * (shared[n:] > shared[:n])
+        found = shared[best] >= 0
+        kept, best = miss[found], best[found]
+        run[kept], sample[kept], length[kept] = to[best], samples[best], shared[best]
+        at[kept] = self.run_start[to[best]] + np.where(above[best], self.run_size[to[best]] - 1, 0)
+        length[miss[~found]] = 0
+        return miss[~found]
 
     def _common(self, own: np.ndarray, queries: Texts, place: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """How many symbols, ``limit`` at most, agree from a place of the texts and a place of the queries on."""
         out, live, k = limit.copy(), np.flatnonzero(limit > 0), 0
         while len(live):
             x = self.texts.words[own[live] + k] ^ queries.words[place[live] + k]
-            off = x != 0
+            off = np.flatnonzero(x)
             y = x[off]
-            out[live[off]] = np.minimum(k + sum((y < np.uint64(1 << 8 * i)).astype(np.int64) for i in range(1, 8)), limit[live[off]])
+            bits = np.frexp((y & ~(y >> np.uint64(1))).astype(np.float64))[1]  # no rounding can lift the highest bit
+            out[live[off]] = np.minimum(k + (64 - bits) // 8, limit[live[off]])
             k += 8
-            live = live[~off]
-            live = live[limit[live] > k]
+            live = live[(x == 0) & (limit[live] > k)]
         return out
 
 
@@ -392,25 +400,21 @@ def earlier_ids(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, ids
     step = np.cumsum(fresh | np.append(True, i[1:] != i[:-1]))
     rank = np.empty(len(order), np.int64)
     rank[order] = step - np.maximum.accumulate(np.where(fresh, step, 0))
+    highest = np.zeros(int(groups.max(initial=0)) + 1, np.int64)
+    np.maximum.at(highest, groups, rank)
+    highest = highest[groups]
     open_ = np.ones(len(texts), bool)
 
     def taken(which: np.ndarray, node: np.ndarray) -> Texts:
         own = flat[_spread(begin[which], sizes[which])]
         at = np.cumsum(sizes[which]) - sizes[which] + anchors[which]
         for k in range(4):
-            own[at + k] = node[which] >> 7 * k & 127
+            own[at + k] = node >> 7 * k & 127
         return Texts(own, sizes[which])
 
-    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
-        upper = rank >> bit & 1 == 1
-        asks = np.flatnonzero(upper & open_)
-        if not len(asks):
-            continue
-        _, node = np.unique(groups << 32 | rank >> bit + 1, return_inverse=True)
-        has = np.zeros(int(node.max()) + 1, bool)
-        has[node[asks]] = True
-        tells = np.flatnonzero(~upper & has[node])
-        index, queries = RunLengthIndex(taken(tells, node)), taken(asks, node)
+    def ask(told: list[tuple[np.ndarray, np.ndarray]], asked: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        (tells, of_tells), (asks, of_asks) = (tuple(map(np.concatenate, zip(*x))) for x in (told, asked))
+        index, queries = RunLengthIndex(taken(tells, of_tells)), taken(asks, of_asks)
         lengths, samples = index.matching_statistics(queries)
         w = windows[asks]
         places = _spread(queries.ends - queries.sizes, w)
@@ -418,6 +422,23 @@ def earlier_ids(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, ids
         out = _spread(first[asks], w)
         found[out[hit]] = ids[tells[index.texts.text_of(samples[places[hit]])]]
         open_[asks] = np.maximum.reduceat((found[out] == np.repeat(ids[asks], w)).astype(np.int8), np.cumsum(w) - w) > 0
+
+    told, asked, nodes, symbols = [], [], 0, 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        near = np.flatnonzero(highest >> bit > 0)
+        upper = rank[near] >> bit & 1 == 1
+        node = np.unique(groups[near] << 32 | rank[near] >> bit + 1, return_inverse=True)[1]
+        asks = np.flatnonzero(upper & open_[near])
+        has = np.zeros(len(near), bool)
+        has[node[asks]] = True
+        tells = np.flatnonzero(~upper & has[node])
+        if len(asks):
+            told.append((near[tells], node[tells] + nodes))
+            asked.append((near[asks], node[asks] + nodes))
+            nodes, symbols = nodes + len(near), symbols + int(sizes[near].sum())
+        if told and (symbols > SHARD_SYMBOLS or not bit):  # several halvings share an index, up to a size
+            ask(told, asked)
+            told, asked, nodes, symbols = [], [], 0, 0
     return found, first
 
 
