@@ -2,18 +2,23 @@
 
 Three base patterns label credentials (kinds ``assign``, ``access``, ``hex``). For each kind the
 labelled values form a prefix tree of symbols; states whose outgoing frequencies are compatible
-by the Hoeffding bound are merged (red-blue order), which gives a deterministic probabilistic
-automaton. Symbols are characters up to their class, so a format rather than a key is learned.
-A candidate (a run of credential characters of ``MIN_CANDIDATE`` or more) is scored by its log
-likelihood per symbol under each automaton, less that of a background model of all candidates'
-symbol pairs; a candidate above the ``threshold`` that no base span covers becomes a span of
-kind ``learned``.
+by the Hoeffding bound, as are the lengths still to come, are merged (red-blue order, the likest
+pair first), which gives a deterministic probabilistic automaton. Symbols are characters up to their class, so a format rather than a key is learned.
+
+Candidates are all runs of credential characters outside base spans, of the ``ASSIGN_VALUE``
+characters or more that a base value has: each run without separators before and dots after it, what
+follows its first and its last equals sign, and its pieces between separators. A candidate's score is its log
+likelihood under the best automaton, less that under a background model of all runs' symbol pairs.
+Candidates above ``threshold`` become spans of kind ``learned``; of overlapping ones the best stays.
 
 Learning uses at most ``MAX_VALUES`` distinct labelled values of each kind, those that hash
-lowest. Every text is scanned once, whole, and every candidate is scored.
+lowest and are no longer than ``MAX_VALUE``; the background counts every run of every text. Texts
+are read twice, whole: to learn and to score.
 
-Edge cases: a null text is empty; equal spans of different kinds are all listed; a kind without
-``MIN_VALUES`` labelled values learns nothing; repeated documents each keep their row.
+Edge cases: a null text is empty, an empty table gives no rows; texts and runs of any length are
+scored whole; equal spans of different kinds are all listed; a kind without ``MIN_VALUES`` labelled
+values learns nothing; repeated documents and null ids each keep their row; other columns take no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,21 +40,26 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 or more, as a longest run is fo
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN_VALUE, ACCESS_MATCH = 6, 20
 
-MIN_CANDIDATE, MAX_CANDIDATE = 16, 512
-MAX_VALUES, MIN_VALUES = 2000, 20
-ALPHA = 0.01
-THRESHOLD = 0.5
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
-_HAS_DIGIT = re.compile(r"[0-9]")
+MAX_VALUE = 512
+MAX_VALUES, MIN_VALUES = 2000, 40
+ALPHA = 0.1
+#: Log likelihood ratio of a credential: odds of one in 665 runs before it is seen.
+THRESHOLD = 6.5
+#: Log likelihood of a symbol that an automaton doesn't know.
+FLOOR = -14.0
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_VALUE)
+_PIECE = re.compile(r"[A-Za-z0-9]{%d,}" % ASSIGN_VALUE)
+#: Verdicts on runs that a worker remembers.
+_MEMORY = 1 << 18
 _END = "$"
 
 
 def symbols(value: str) -> str:
-    """Classes of a value's characters: h a hex digit 0-9a-f, l g-z, F A-F, U G-Z; others stand for themselves."""
+    """Classes of a value's characters: d a digit, h a-f, l g-z, F A-F, U G-Z; others stand for themselves."""
     return value.translate(_CLASSES)
 
 
-_CLASSES = {ord(c): s for s, cs in (("h", "0123456789abcdef"), ("l", "ghijklmnopqrstuvwxyz"), ("F", "ABCDEF"), ("U", "GHIJKLMNOPQRSTUVWXYZ")) for c in cs}
+_CLASSES = {ord(c): s for s, cs in (("d", "0123456789"), ("h", "abcdef"), ("l", "ghijklmnopqrstuvwxyz"), ("F", "ABCDEF"), ("U", "GHIJKLMNOPQRSTUVWXYZ")) for c in cs}
 
 
 class Automaton:
@@ -58,24 +68,39 @@ class Automaton:
     def __init__(self, values: Counter, alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, float]] = [{}]
+        #: by state: how many values end how many symbols later
+        self.tail: list[Counter] = [Counter()]
         for value, n in sorted(values.items()):
             s = 0
-            for c in value:
+            for k, c in enumerate(value):
+                self.tail[s][len(value) - k] += n
                 if c not in self.next[s]:
                     self.next[s][c] = len(self.next)
                     self.next.append({})
                     self.count.append({})
+                    self.tail.append(Counter())
                 self.count[s][c] = self.count[s].get(c, 0) + n
                 s = self.next[s][c]
             self.count[s][_END] = self.count[s].get(_END, 0) + n
+            self.tail[s][0] += n
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
 
     def _arrivals(self, s: int) -> float:
         return sum(self.count[s].values())
 
-    def _alike(self, a: int, b: int) -> bool:
-        """Whether all continuations of two states have frequencies within the Hoeffding bound."""
+    def _apart(self, a: int, b: int) -> float:
+        """The largest difference between the shares of values of two states that end within so many symbols."""
+        na, nb, x, y, out = self._arrivals(a), self._arrivals(b), 0.0, 0.0, 0.0
+        for k in sorted(self.tail[a].keys() | self.tail[b].keys()):
+            x, y = x + self.tail[a][k] / na, y + self.tail[b][k] / nb
+            out = max(out, abs(x - y))
+        return out
+
+    def _alike(self, a: int, b: int, apart: float) -> bool:
+        """Whether lengths to come, and frequencies of all continuations, of two states are within the Hoeffding bound."""
+        if apart > self.bound * (1 / math.sqrt(self._arrivals(a)) + 1 / math.sqrt(self._arrivals(b))):
+            return False
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
@@ -94,6 +119,7 @@ class Automaton:
         todo = [(into, tree)]
         while todo:
             into, tree = todo.pop()
+            self.tail[into].update(self.tail[tree])
             for c, n in self.count[tree].items():
                 self.count[into][c] = self.count[into].get(c, 0) + n
             for c, t in self.next[tree].items():
@@ -111,8 +137,8 @@ class Automaton:
                 break
             _, t, s, c = max(blue)
             t = -t
-            for r in red:
-                if self._alike(r, t):
+            for apart, _, r in sorted((self._apart(r, t), -self._arrivals(r), r) for r in red):  # the likest first
+                if self._alike(r, t, apart):
                     self.next[s][c] = r
                     self._fold(r, t)
                     break
@@ -120,22 +146,25 @@ class Automaton:
                 red.append(t)
         place = {s: k for k, s in enumerate(red)}
         self.edges: list[dict[str, tuple[float, int]]] = []
+        alphabet = {c for s in red for c in self.count[s]}
         for s in red:
-            n = self._arrivals(s)
-            self.edges.append({c: (math.log(x / n), place[self.next[s][c]] if c != _END else -1) for c, x in self.count[s].items()})
-        del self.next, self.count
-
-    def score(self, value: str, floor: float = -8.0) -> float:
-        """Log likelihood of the symbols and the end; an unknown symbol or end costs ``floor``."""
+            n = self._arrivals(s) + 0.5 * len(alphabet)
+            # a symbol not seen here but elsewhere goes where most go; half a count for each smooths the shares
+            most = max(((x, self.next[s][c]) for c, x in self.count[s].items() if c != _END), default=(0, s))[1]
+            self.edges.append({c: (math.log((self.count[s].get(c, 0) + 0.5) / n), place[self.next[s].get(c, most)] if c != _END else -1) for c in sorted(alphabet)})
+        del self.next, self.count, self.tail
+
+    def score(self, value: str, floor: float = FLOOR) -> float:
+        """Log likelihood of the symbols and the end; each symbol that the automaton doesn't know costs ``floor``."""
         s, total = 0, 0.0
         for c in value:
             edge = self.edges[s].get(c)
             if edge is None:
-                return total + floor * (len(value) + 1)
-            total += edge[0]
-            s = edge[1]
-        end = self.edges[s].get(_END)
-        return total + (end[0] if end else floor)
+                total += floor
+            else:
+                total += edge[0]
+                s = edge[1]
+        return total + self.edges[s][_END][0]
 
 
 class Background:
@@ -164,56 +193,104 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-SCAN = "doc_id long, base array<struct<start:int,kind:int,end:int,value:string>>, candidates array<struct<start:int,end:int,value:string>>"
+def free_runs(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """Runs of candidate characters as (start, end), with what base spans cover cut out."""
+    out, k, reach = [], 0, 0
+    for m in _RUN.finditer(text):
+        at = max(m.start(), min(reach, m.end()))
+        while k < len(base) and base[k][0] < m.end():
+            if base[k][0] - at >= ASSIGN_VALUE:
+                out.append((at, base[k][0]))
+            at, k = max(at, base[k][2]), k + 1
+        reach = max(reach, at)
+        if m.end() - at >= ASSIGN_VALUE:
+            out.append((at, m.end()))
+    return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans, and the candidates that no base span overlaps, of every document (columns SCAN)."""
+def candidates(run: str) -> list[tuple[int, int]]:
+    """Parts of a run that are scored, as (start, end)."""
+    end = len(run.rstrip("."))
+    start = len(run) - len(run.lstrip("+/_.=-"))
+    found = {(start, end), (run.find("=", start) + 1, end), (run.rfind("=", start, end) + 1, end)}
+    found |= {m.span() for m in _PIECE.finditer(run)}
+    return sorted((a, b) for a, b in found if b - a >= ASSIGN_VALUE)
 
-    def run(rows: dict) -> dict:
-        out = {"doc_id": rows["doc_id"], "base": [], "candidates": []}
-        for text in rows["text"]:
-            text = text or ""
-            base = base_spans(text)
-            free, k, reach = [], 0, 0  # reach: the furthest end of the base spans that begin before a candidate's end
-            for m in _CANDIDATE.finditer(text):
-                while k < len(base) and base[k][0] < m.end():
-                    reach, k = max(reach, base[k][2]), k + 1
-                if reach <= m.start() and _HAS_DIGIT.search(m[0]):
-                    free.append({"start": m.start(), "end": m.end(), "value": m[0]})
-            out["base"].append([dict(zip(("start", "kind", "end", "value"), b)) for b in base])
-            out["candidates"].append(free)
-        return out
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCAN)
+LEARNING = "kind int, value string, a string, b string, n long"
+
 
+def evidence(docs: DataFrame) -> DataFrame:
+    """What there is to learn from: labelled values by kind, and counts of the symbol pairs of runs (columns LEARNING)."""
 
-def infer(scanned: DataFrame, max_values: int = MAX_VALUES) -> tuple[dict[int, Automaton], Background]:
+    def run(rows: dict) -> dict:
+        values, forms = set(), Counter()
+        for text in rows["text"]:
+            if text:
+                values.update((k, v) for _, k, _, v in base_spans(text) if len(v) <= MAX_VALUE)
+                forms.update(_RUN.findall(text))
+        coded: Counter = Counter()
+        for form, n in forms.items():
+            coded[symbols(form)] += n
+        pairs: Counter = Counter()
+        for form, n in coded.items():
+            for pair in zip("^" + form, form + _END):
+                pairs[pair] += n
+        own, none = sorted(values), [None] * len(values)
+        return {
+            "kind": [k for k, _ in own] + [None] * len(pairs), "value": [v for _, v in own] + [None] * len(pairs),
+            "a": none + [a for a, _ in pairs], "b": none + [b for _, b in pairs], "n": none + list(pairs.values()),
+        }
+
+    return map_rows(docs.select(F.col("text").cast("string").alias("text")), run, LEARNING)
+
+
+def infer(learning: DataFrame, max_values: int = MAX_VALUES) -> tuple[dict[int, Automaton], Background]:
     """An automaton for each kind with enough labelled values, and the background model."""
-    labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").where(F.length("value") <= MAX_CANDIDATE).distinct()
+    labelled = learning.where("value is not null").select("kind", "value").distinct()
     found: dict[int, Automaton] = {}
     for kind in range(3):
         rows = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(max_values).collect()
         if len(rows) >= MIN_VALUES:
             found[kind] = Automaton(Counter(symbols(r.value) for r in rows))
-
-    def pairs(rows: dict) -> dict:
-        n: Counter = Counter()
-        for own in rows["candidates"]:
-            for x in own:
-                s = "^" + symbols(x["value"]) + _END
-                n.update(zip(s, s[1:]))
-        return {"a": [a for a, _ in n], "b": [b for _, b in n], "n": list(n.values())}
-
-    # sums by pair of symbols: their number is bounded by the candidates' alphabet
-    counts = map_rows(scanned.select("candidates"), pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    # sums by pair of symbols: their number is bounded by the runs' alphabet
+    counts = learning.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
     return found, Background({(r.a, r.b): r.n for r in counts})
 
 
-def likelihood(value: str, automata: dict[int, Automaton], background: Background) -> float:
-    """The best automaton's log likelihood per symbol above the background's."""
-    s = symbols(value)
-    return max((a.score(s) for a in automata.values()), default=-math.inf) / (len(s) + 1) - background.score(s) / (len(s) + 1)
+class Scorer:
+    """Scores of candidates by the models; verdicts on runs are remembered by their symbols."""
+
+    def __init__(self, automata: dict[int, Automaton], background: Background, threshold: float):
+        self.automata, self.background, self.threshold = automata, background, threshold
+        self.known: dict[str, tuple[tuple[int, int, float], ...]] = {}
+
+    def ratio(self, form: str) -> float:
+        """The best automaton's log likelihood above the background's."""
+        return max((a.score(form) for a in self.automata.values()), default=-math.inf) - self.background.score(form)
+
+    def learned(self, run: str) -> tuple[tuple[int, int, float], ...]:
+        """The spans of a run that are credentials, with their scores; the best of those that overlap."""
+        form = symbols(run)
+        if form in self.known:
+            return self.known[form]
+        scored = sorted((-self.ratio(form[a:b]), a - b, a, b) for a, b in candidates(form))
+        out: list[tuple[int, int, float]] = []
+        for minus, _, a, b in scored:
+            if -minus > self.threshold and all(b <= x or y <= a for x, y, _ in out):
+                out.append((a, b, -minus))
+        if len(self.known) >= _MEMORY:
+            self.known.clear()
+        self.known[form] = tuple(sorted(out))
+        return self.known[form]
+
+    def spans(self, text: str) -> list[tuple[int, int, int, float | None]]:
+        base = base_spans(text)
+        out: list[tuple[int, int, int, float | None]] = [(s, k, e, None) for s, k, e, _ in base]
+        if any(map(self.learned, set(_RUN.findall(text)))) or base:
+            for at, end in free_runs(text, base):
+                out += [(at + a, 3, at + b, score) for a, b, score in self.learned(text[at:end])]
+        return sorted(out, key=lambda x: x[:3])
 
 
 SPANS = "doc_id long, spans array<struct<start:int,kind:int,end:int,score:double>>"
@@ -221,22 +298,15 @@ SPANS = "doc_id long, spans array<struct<start:int,kind:int,end:int,score:double
 
 def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, max_values: int = MAX_VALUES) -> DataFrame:
     """All spans of every document by start, then kind; base spans have no score (columns SPANS)."""
-    scanned = materialize(scan(docs), "secrets-scan")
-    models = docs.sparkSession.sparkContext.broadcast(infer(scanned, max_values))
+    models = docs.sparkSession.sparkContext.broadcast(infer(materialize(evidence(docs), "secrets-learning"), max_values))
+    made: list[Scorer] = []
 
     def run(rows: dict) -> dict:
-        automata, background = models.value
-        out = []
-        for base, candidates in zip(rows["base"], rows["candidates"]):
-            spans = [(b["start"], b["kind"], b["end"], None) for b in base]
-            for c in candidates:
-                score = likelihood(c["value"], automata, background)
-                if score > threshold:
-                    spans.append((c["start"], 3, c["end"], score))
-            out.append([dict(zip(("start", "kind", "end", "score"), s)) for s in sorted(spans, key=lambda s: s[:3])])
-        return {"doc_id": rows["doc_id"], "spans": out}
-
-    return map_rows(scanned, run, SPANS)
+        if not made:
+            made.append(Scorer(*models.value, threshold))
+        return {"doc_id": rows["doc_id"], "spans": [[dict(zip(("start", "kind", "end", "score"), s)) for s in made[0].spans(text or "")] for text in rows["text"]]}
+
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SPANS)
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
