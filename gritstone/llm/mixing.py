@@ -1,15 +1,24 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
-Token counts are summed into cells (source, language, topic); the cells are raked in turn to the
-token marginals wanted for each axis, and a document is kept with probability
-``keep * raked tokens / tokens`` of its cell (1 at most), decided by a hash of its id.
+Token counts are summed into cells (source, language, topic). Every cell has a probability, first
+``reach``; the axes in turn multiply the probabilities of each value by what the value's kept tokens
+lack of its target, 1 at most, so that the cells that cannot give more leave the rest to the others.
+A document is kept with its cell's probability, decided by a hash of its id: the tokens expected of
+the sample have the wanted shares on each axis. ``reach`` is ``keep`` of the largest sample that the
+scarcest value of any axis allows.
 
 Default targets temper the corpus's own shares: share ** ``temper``, normalised. Explicit ones
-are given per axis as {value: share}; a value without a share gets none, shares are normalised.
+are given per axis as {value: share}; a value without a share gets none, shares are normalised over
+the values that the corpus has.
+
+The topic is the form that a text's markers show, the first of ``topics`` of which one occurs, else
+``prose``. (Topics named by the corpus's own words were tried: words belong to one language, so that
+their shares and the languages' cannot be had together.)
 
 Edge cases: a null source or language is the value ``(none)``; null and empty texts weigh no
-tokens and, like documents of a cell without a target, get weight 0; a null id hashes as an
-empty string; repeated documents are decided alike; an empty table gives an empty result.
+tokens and share their cell's probability; cells without tokens or without a target get 0; a null id hashes as an
+empty string; repeated documents are decided alike; an empty table gives an empty result; other
+columns stay and, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -21,13 +30,12 @@ from pyspark.sql import Window
 from gritstone.llm.common import materialize
 
 AXES = ("source", "lang", "topic")
-#: The first topic of which a marker occurs in the text holds; else prose.
 TOPICS = (("licence", ("Licensed under", "Copyright", "All rights reserved")), ("table", (" | ",)), ("contact", ("@", "http")))
-ROUNDS, TEMPER, KEEP, SEED = 12, 0.7, 1.0, "mix-1"
-#: Cells are raked in one partition up to this many, in shuffled windows beyond it.
+ROUNDS, TEMPER, KEEP, SEED = 12, 0.7, 0.9, "mix-1"
+#: Cells are raked in one partition up to this many, by shuffled sums beyond it.
 ONE_PARTITION = 200_000
 #: Rounds between two written tables, so that plans stay short.
-_ROUNDS_A_PLAN = 6
+_ROUNDS_A_PLAN = 4
 
 
 def topic_of(text: Column, topics=TOPICS) -> Column:
@@ -51,35 +59,46 @@ def _measures(docs: DataFrame, topics=TOPICS) -> dict[str, Column]:
     return named | {"topic": topic_of(text, topics), "n_tokens": tokens_of(text)}
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """source, lang, topic, tokens -> the same with ``weight``, the raked tokens over the tokens."""
-    spark = cells.sparkSession
-    cells = materialize(cells, "mixing-cells")
-    small = cells.count() <= ONE_PARTITION
-    if small:
-        cells = cells.coalesce(1)
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    now = cells.withColumn("total", total.cast("double"))
+def _wanted(cells: DataFrame, total: int, targets, temper: float) -> tuple[DataFrame, float]:
+    """Cells with the share wanted for their value on each axis, and the largest share of all tokens that a
+    sample with these shares can hold when each axis is looked at alone."""
+    largest = 1.0
     for axis in AXES:
-        of = F.sum("tokens").over(Window.partitionBy(axis)).cast("double")
+        shares = cells.groupBy(axis).agg((F.sum("tokens") / F.lit(float(total or 1))).alias("share"))
         if targets and axis in targets:
-            given = spark.createDataFrame(sorted(targets[axis].items()), f"{axis} string, want double")
-            now = now.join(F.broadcast(given), axis, "left").withColumn("want", F.coalesce("want", F.lit(0.0)))
+            given = cells.sparkSession.createDataFrame(sorted(targets[axis].items()), f"{axis} string, raw double")
+            shares = shares.join(F.broadcast(given), axis, "left").withColumn("raw", F.when(F.col("share") > 0, F.coalesce("raw", F.lit(0.0))).otherwise(0.0))
         else:
-            now = now.withColumn("want", F.when(of > 0, F.pow(of / F.col("total"), F.lit(temper))).otherwise(0.0))
-        one = F.when(F.row_number().over(Window.partitionBy(axis).orderBy(*AXES)) == 1, F.col("want")).otherwise(0.0)
-        now = now.withColumn("one", one).withColumn("all", F.sum("one").over(Window.partitionBy(F.lit(0))))
-        now = now.withColumn(f"want_{axis}", F.when(F.col("all") > 0, F.col("total") * F.col("want") / F.col("all")).otherwise(0.0)).drop("want", "one", "all")
-    now = now.withColumn("w", F.col("tokens").cast("double"))
+            shares = shares.withColumn("raw", F.when(F.col("share") > 0, F.pow("share", F.lit(temper))).otherwise(0.0))
+        raw, scarcest = shares.agg(F.sum("raw"), F.min(F.when(F.col("raw") > 0, F.col("share") / F.col("raw")))).first()
+        largest = min(largest, scarcest * raw if raw else 1.0)
+        cells = cells.join(shares.select(axis, (F.col("raw") / F.lit(raw or 1.0)).alias(f"want_{axis}")), axis)
+    return cells, largest
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
+    """source, lang, topic, tokens -> the same with the ``probability`` of the cell's documents."""
+    cells = materialize(cells, "mixing-cells")
+    all_tokens, n = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    small = n <= ONE_PARTITION
+    now, largest = _wanted(cells, all_tokens, targets, temper)
+    reach = keep * largest
+    whole = now.where(" and ".join(f"want_{a} > 0" for a in AXES) + " and tokens > 0")
+    now = materialize(whole.withColumn("p", F.lit(reach)), "mixing-rake")
     for k in range(rounds):
         for axis in AXES:
-            has = F.sum("w").over(Window.partitionBy(axis))
-            now = now.withColumn("has", has).withColumn("w", F.when(F.col("has") > 0, F.col("w") * F.col(f"want_{axis}") / F.col("has")).otherwise(0.0)).drop("has")
-        if (k + 1) % _ROUNDS_A_PLAN == 0 and k + 1 < rounds:
-            now = materialize(now, "mixing-rake")
-            if small:
+            kept = F.sum(F.col("tokens") * F.col("p"))
+            if small:  # windows over one partition: nothing is shuffled
+                has = kept.over(Window.partitionBy(axis))
                 now = now.coalesce(1)
-    return now.select(*AXES, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0).alias("weight"))
+            else:
+                has = F.col("has")
+                now = now.join(now.groupBy(axis).agg(kept.alias("has")), axis)
+            p = F.least(F.lit(1.0), F.col("p") * (F.col(f"want_{axis}") * F.lit(reach * all_tokens) / has))
+            now = now.select(*AXES, "tokens", *(f"want_{a}" for a in AXES), p.alias("p"))
+            if not small or (axis == AXES[-1] and (k + 1) % _ROUNDS_A_PLAN == 0):
+                now = materialize(now, "mixing-rake")
+    return cells.join(now.select(*AXES, "p"), list(AXES), "left").select(*AXES, "tokens", F.coalesce("p", F.lit(0.0)).alias("probability"))
 
 
 def chance(doc_id: Column, seed: str = SEED) -> Column:
@@ -89,12 +108,11 @@ def chance(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def calibrate(docs: DataFrame, targets=None, keep: float = KEEP, rounds: int = ROUNDS, temper: float = TEMPER, seed: str = SEED, topics=TOPICS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability and selected of every document."""
+    """doc_id, source, lang, topic, n_tokens, probability and selected of every document."""
     slim = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), *(c.alias(n) for n, c in _measures(docs, topics).items())), "mixing-docs")
-    cells = rake(slim.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), targets, rounds, temper)
+    cells = rake(slim.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), targets, rounds, temper, keep)
     weighed = slim.join(materialize(cells, "mixing-weights").drop("tokens"), list(AXES))
-    p = F.least(F.lit(1.0), F.lit(float(keep)) * F.col("weight"))
-    return weighed.select("doc_id", *AXES, "n_tokens", "weight", p.alias("probability"), (chance(F.col("doc_id"), seed) < p).alias("selected"))
+    return weighed.select("doc_id", *AXES, "n_tokens", "probability", (chance(F.col("doc_id"), seed) < F.col("probability")).alias("selected"))
 
 
 def sample(docs: DataFrame, targets=None, keep: float = KEEP, rounds: int = ROUNDS, temper: float = TEMPER, seed: str = SEED, topics=TOPICS) -> DataFrame:
@@ -102,39 +120,39 @@ def sample(docs: DataFrame, targets=None, keep: float = KEEP, rounds: int = ROUN
     names = {n: f"__mix_{n}" for n in (*AXES, "n_tokens")}
     marked = docs.select("*", *(c.alias(names[n]) for n, c in _measures(docs, topics).items()))
     cells = marked.groupBy(*(F.col(names[a]).alias(a) for a in AXES)).agg(F.sum(names["n_tokens"]).alias("tokens"))
-    weights = materialize(rake(cells, targets, rounds, temper), "mixing-weights")
-    weights = weights.select(*(F.col(a).alias(names[a]) for a in AXES), F.col("weight").alias("__mix_weight"))
-    p = F.least(F.lit(1.0), F.lit(float(keep)) * F.col("__mix_weight"))
-    return marked.join(weights, [names[a] for a in AXES]).where(chance(F.col("doc_id"), seed) < p).select(*docs.columns)
+    weights = materialize(rake(cells, targets, rounds, temper, keep), "mixing-weights")
+    weights = weights.select(*(F.col(a).alias(names[a]) for a in AXES), F.col("probability").alias("__mix_p"))
+    return marked.join(weights, [names[a] for a in AXES]).where(chance(F.col("doc_id"), seed) < F.col("__mix_p")).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     found = calibrate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", *AXES, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
+    return found.select("doc_id", *AXES, "n_tokens", F.round("probability", 6).alias("probability"), "selected")
 
 
 def _op3_sql() -> str:
     text = "coalesce(text, '')"
     topic = "CASE " + " ".join("WHEN " + " OR ".join(f"contains({text}, '{m}')" for m in ms) + f" THEN '{n}'" for n, ms in TOPICS) + " ELSE 'prose' END"
-    steps, now = [], "w0"
+    steps, now = [], "p0"
     for k in range(ROUNDS * 3):
         axis = AXES[k % 3]
-        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {axis}) > 0 THEN w * want_{axis} / sum(w) OVER (PARTITION BY {axis}) ELSE 0 END AS w) FROM {now})")
-        now = f"w{k + 1}"
-    wants = ", ".join(f"want_{a} AS (SELECT {a}, (SELECT sum(n_tokens) FROM d) * pow(share, {TEMPER}) / sum(pow(share, {TEMPER})) OVER () AS want_{a} FROM (SELECT {a}, sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM d) AS share FROM d GROUP BY {a}) WHERE share > 0)" for a in AXES)
+        steps.append(f"p{k + 1} AS MATERIALIZED (SELECT * REPLACE (least(1.0, p * want_{axis} * reach * total / sum(tokens * p) OVER (PARTITION BY {axis})) AS p) FROM {now})")
+        now = f"p{k + 1}"
+    wants = ", ".join(
+        f"w_{a} AS MATERIALIZED (SELECT {a}, share, pow(share, {TEMPER}) / sum(pow(share, {TEMPER})) OVER () AS want_{a} FROM (SELECT {a}, sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM d) AS share FROM d GROUP BY {a}) WHERE share > 0)" for a in AXES
+    )
+    least = ", ".join(f"(SELECT min(share / want_{a}) FROM w_{a})" for a in AXES)
     return f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, {topic} AS topic,
          CASE WHEN length({text}) > 0 THEN greatest(1, length({text}) // 4) ELSE 0 END::BIGINT AS n_tokens FROM documents
-), {wants}, w0 AS MATERIALIZED (
-  SELECT source, lang, topic, tokens, tokens::DOUBLE AS w, coalesce(want_source, 0) AS want_source, coalesce(want_lang, 0) AS want_lang, coalesce(want_topic, 0) AS want_topic
-  FROM (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL) LEFT JOIN want_source USING (source) LEFT JOIN want_lang USING (lang) LEFT JOIN want_topic USING (topic)
-), {", ".join(steps)}, r AS (
-  SELECT d.*, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS raw FROM d JOIN {now} USING (source, lang, topic)
-)
-SELECT doc_id, source, lang, topic, n_tokens, round(raw, 6) AS weight, round(least(1.0, {KEEP} * raw), 6) AS probability,
-       CAST('0x' || left(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) / 4294967296.0 < least(1.0, {KEEP} * raw) AS selected
-FROM r
+), {wants}, p0 AS MATERIALIZED (
+  SELECT source, lang, topic, tokens, want_source, want_lang, want_topic, (SELECT sum(n_tokens) FROM d)::DOUBLE AS total, {KEEP} * least(1.0, {least}) AS reach, {KEEP} * least(1.0, {least}) AS p
+  FROM (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0) JOIN w_source USING (source) JOIN w_lang USING (lang) JOIN w_topic USING (topic)
+), {", ".join(steps)}
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(p, 0.0), 6) AS probability,
+       CAST('0x' || left(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) / 4294967296.0 < coalesce(p, 0.0) AS selected
+FROM d LEFT JOIN {now} USING (source, lang, topic)
 """
 
 

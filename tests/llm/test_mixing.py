@@ -11,15 +11,44 @@ def rows(n=400):
     return out + [(None, "text", None, None, "a", "b", "c"), (900, None, "en", "s1", "a", "b", "c"), (901, "", "fr", "s9", "a", "b", "c"), (5, out[5][1], "en", "s3", "a", "b", "c")]
 
 
+def expected(got, axis, by="probability"):
+    """Share of the expected (or selected) tokens by value of an axis."""
+    total, out = sum(r.n_tokens * getattr(r, by) for r in got), {}
+    for r in got:
+        out[r[axis]] = out.get(r[axis], 0) + r.n_tokens * getattr(r, by) / total
+    return out
+
+
+def wanted(got, axis, temper=mixing.TEMPER):
+    tokens = {}
+    for r in got:
+        tokens[r[axis]] = tokens.get(r[axis], 0) + r.n_tokens
+    raw = {v: (n / sum(tokens.values())) ** temper for v, n in tokens.items() if n}
+    return {v: x / sum(raw.values()) for v, x in raw.items()}
+
+
 def test_margins_reach_their_targets(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    targets = {"source": {"s0": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0, "(none)": 0.1}, "lang": {"en": 0.5, "de": 0.5}}
-    got = [r for r in mixing.calibrate(df, targets, rounds=40).collect() if r.source != "(none)"]
-    total = sum(r.n_tokens * r.weight for r in got)
+    targets = {"source": {"s0": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0, "absent": 5.0}, "lang": {"en": 0.5, "de": 0.5}}
+    got = mixing.calibrate(df, targets, rounds=48).collect()
+    assert all(0 <= r.probability <= 1 for r in got)
+    shares = expected(got, "source")
     for s in ("s0", "s1", "s2", "s3"):
-        assert sum(r.n_tokens * r.weight for r in got if r.source == s) / total == pytest.approx(0.25, abs=0.02)
-    assert sum(r.n_tokens * r.weight for r in got if r.lang == "de") / total == pytest.approx(0.5, abs=0.02)
-    assert all(r.probability == min(1.0, r.weight) for r in got)
+        assert shares[s] == pytest.approx(0.25, abs=0.005)
+    assert expected(got, "lang")["de"] == pytest.approx(0.5, abs=0.005)
+
+
+def test_sampled_shares_of_a_corpus(spark):
+    """Of the documents that are really kept, every axis has its shares."""
+    got = mixing.calibrate(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()
+    for axis in mixing.AXES:
+        want, said, kept = wanted(got, axis), expected(got, axis), expected(got, axis, "selected")
+        assert max(abs(want[v] - said.get(v, 0)) for v in want) < 0.001
+        total = sum(r.n_tokens * r.probability for r in got)
+        for v in want:  # a few texts are a thousand times the others: four deviations of the draw beside the 0.01
+            draw = sum(r.n_tokens**2 * r.probability * (1 - r.probability) * ((r[axis] == v) - want[v]) ** 2 for r in got) ** 0.5 / total
+            assert abs(want[v] - kept.get(v, 0)) < max(0.01, 4 * draw)
+    assert sum(r.n_tokens for r in got if r.selected) > 0.25 * sum(r.n_tokens for r in got)
 
 
 def test_sample_keeps_columns_and_follows_probabilities(spark):
@@ -32,11 +61,11 @@ def test_sample_keeps_columns_and_follows_probabilities(spark):
     assert zero.n_tokens == 0 and zero.source == "s1"
 
 
-def test_shuffled_windows_give_the_same(spark, monkeypatch):
+def test_shuffled_sums_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame(rows(), SCHEMA)
-    want = sorted((r.doc_id or -1, round(r.weight, 9)) for r in mixing.calibrate(df).collect())
+    want = sorted((r.doc_id or -1, round(r.probability, 9)) for r in mixing.calibrate(df, rounds=6).collect())
     monkeypatch.setattr(mixing, "ONE_PARTITION", 0)
-    assert sorted((r.doc_id or -1, round(r.weight, 9)) for r in mixing.calibrate(df).collect()) == want
+    assert sorted((r.doc_id or -1, round(r.probability, 9)) for r in mixing.calibrate(df, rounds=6).collect()) == want
 
 
 def test_sql_agrees_on_nulls_and_empty_texts(spark, tmp_path):
