@@ -28,10 +28,36 @@ def test_faults_are_seen():
     media = ts.write_stream(ts.payload_of("some text " * 600)[1])
     lost = media[: 188 * 5] + media[188 * 6 :]
     assert ts.read_stream(lost).counter_errors == 1 and not ts.read_stream(lost).whole
-    damaged = bytearray(media)
-    damaged[15] ^= 1
-    assert ts.read_stream(bytes(damaged)).crc_errors == 1
-    assert not ts.read_stream(media[:-1]).whole
+    assert not ts.read_stream(media[:-1]).whole and not ts.read_stream(b"").whole
+    twice = media[: 188 * 6] + media[188 * 5 :]
+    assert ts.read_stream(twice).whole and ts.read_stream(twice).duplicates == 1
+
+
+def test_no_damaged_byte_passes_or_raises():
+    """Any byte changed: the payload is right, or the stream isn't whole (stuffing, clocks and reserved bits mean nothing)."""
+    payload = ts.payload_of("some téxt " * 700)[1]
+    media = ts.write_stream(payload)
+    for at in range(len(media)):
+        for flip in (1, 0x80, 0xFF):
+            damaged = bytearray(media)
+            damaged[at] ^= flip
+            got = ts.read_stream(bytes(damaged))
+            assert got.payload == payload or not got.whole, (at, flip)
+
+
+def test_reading_from_an_access_point():
+    payload = ts.payload_of("".join(f"line {i}\n" for i in range(20_000)))[1]
+    media = ts.write_stream(payload)
+    whole = ts.read_stream(media)
+    assert len(whole.access_packets) == len(whole.access_points) > 4
+    for point, packet in zip(whole.access_points, whole.access_packets):
+        got = ts.read_from(media, packet)
+        assert got.whole and got.payload == payload[point * ts.PES_BYTES :] and got.timestamps == whole.timestamps[point:]
+
+
+def test_features_tell_contents_apart():
+    assert ts.content_features(b"ab" * 64) != ts.content_features(b"ac" * 64)
+    assert "entropy=1.0000" in ts.content_features(b"ab" * 64) and "entropy=0.0000" in ts.content_features(bytes(64))
 
 
 def test_crc_is_the_standard_one():
@@ -46,7 +72,7 @@ def test_query(spark):
         n, payload = ts.payload_of(d.text)
         r = rows[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), ts.tail_crc(payload))
-        assert "whole=true" in r.feature
+        assert r.whole and r.feature == ts.content_features(payload) and len(r.timestamps) == -(-len(payload) // ts.PES_BYTES)
 
 
 def test_nulls_and_clashing_columns(spark):
