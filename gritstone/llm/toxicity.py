@@ -2,7 +2,8 @@
 
 Each word enters as its hashed word vector beside the mean of its hashed character n-gram
 vectors; a GRU reads every window of words from both ends, attention pools the states, and a
-linear layer gives the window's logit. A document's logit is the largest of all its overlapping
+linear layer gives the window's logit. Windows begin at every ``STRIDE``-th word, half a window, so that
+each passage of half a window's words lies whole in one. A document's logit is the largest of all its overlapping
 windows, a logistic map fitted on sampled documents kept apart turns it into the score.
 
 Training uses at most ``MAX_DOCS`` labelled documents of each class, those whose id hashes lowest.
@@ -13,7 +14,8 @@ so do clean windows in which one word is repeated over and over.
 
 Edge cases: null and empty texts are one empty window; a document of several labels takes the
 largest; null ids or labels aren't learned from; without labels of both classes every score is
-the share of toxic labels (0 if there are none). Repeated documents each keep their row.
+the share of toxic labels (0 if there are none). Repeated documents each keep their row; texts of any
+length are scored whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.common import map_rows
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 DIM, HIDDEN = 8, 8
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
@@ -352,21 +354,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Network
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity_score``."""
+def score(docs: DataFrame, network: Network, name: str = "toxicity_score") -> DataFrame:
+    """All columns of ``docs`` and the score in column ``name``, which ``docs`` must not have."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    fields = [f for f in docs.schema.fields if f.name != "toxicity_score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", toxicity_score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double"
 
     def run(rows: dict) -> dict:
-        return rows | {"toxicity_score": shared.value.scores(rows["text"])}
+        return rows | {name: shared.value.scores(rows["text"])}
 
-    return map_rows(docs.select(*(f"`{f.name}`" for f in fields)), run, schema)
+    return map_rows(docs, run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` scored below ``threshold``."""
-    return score(docs, fit(docs, labels)).where(F.col("toxicity_score") < threshold).select(*docs.columns)
+    """The rows of ``docs`` scored below ``threshold``, with their own columns, whatever their names."""
+    name = "toxicity_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,26 @@ def test_one_passage_in_a_long_text_counts(network):
     assert network.scores([long + " grumpfara grumpfeti grumpfilo " + long])[0] > network.scores([long + long])[0] + 0.5
 
 
+def test_a_passage_counts_wherever_it_stands(network):
+    lead = [r[1].split() for r in corpus(400, 3) if not r[2] and len(r[1].split()) == 200][0]
+    texts = [" ".join(lead[:k] + "grumpfara grumpfeti grumpfilo".split() + lead) for k in range(tx.WINDOW)]
+    assert (network.scores(texts) >= tx.THRESHOLD).all()
+
+
+def test_query_by_brute_force(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = tx.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in tx.op5_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r, p in zip(rows, net.scores([r.text for r in rows])):
+        g = got[r.doc_id]
+        assert abs(g.score - p) < 1e-5 and g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and g.predicted == (g.score >= 0.7)
+
+
 def test_every_word_is_in_a_window():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         w = tx.Words([" ".join(f"w{i}" for i in range(n))])
@@ -80,12 +100,14 @@ def test_query_columns_and_edge_cases(spark):
     rows = [(i, t, lab) for i, t, lab in corpus(120, 5)]
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(None, "a b", "x"), (500, None, "x"), (501, "", "x"), (501, "", "x"), (502, "w " * 40_000, "x")], "doc_id long, text string, toxicity_score string")
     labels = spark.createDataFrame([(i, lab) for i, _, lab in rows] + [(None, 1), (3, None), (0, 0), (999, 1)], "doc_id long, toxic int")
-    got = tx.score(docs, tx.fit(docs, labels)).collect()
+    got = tx.score(docs.drop("toxicity_score"), tx.fit(docs, labels)).collect()
     assert len(got) == 125 and all(0 <= r.toxicity_score <= 1 for r in got)
     assert len({r.toxicity_score for r in got if r.doc_id in (500, 501)}) == 1
     none = tx.fit(docs, labels.limit(0))
-    assert {r.toxicity_score for r in tx.score(docs, none).collect()} == {0.0}
-    assert tx.score(docs.limit(0), none).collect() == []
+    kept = tx.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.toxicity_score for r in kept.collect()} == {"x"}
+    assert {r.toxicity_score for r in tx.score(docs.drop("toxicity_score"), none).collect()} == {0.0}
+    assert tx.score(docs.drop("toxicity_score").limit(0), none).collect() == []
 
 
 def test_held_out_rows_teach_nothing(spark):
