@@ -3,33 +3,39 @@
 Texts are lower-cased, everything but letters becomes one blank, and the 1- to 3-grams of code
 points are hashed. Document frequencies are counted over every document that may be learned
 from. The weights are fitted by follow-the-regularised-leader with elastic-net penalties, on at
-most ``MAX_DOCS`` documents of each language (those whose id hashes lowest), and a temperature is
-fitted on a part of that sample kept apart. The weights that the l1 penalty leaves are few, and
+most ``MAX_DOCS`` documents of each language and some ``MAX_SAMPLE`` in all, one of each language
+at least (those whose id hashes lowest), and a temperature is fitted on a part of that sample kept
+apart. Only the n-gram counts of the sample reach the driver, 2 ** ``BITS`` a document at most. The weights that the l1 penalty leaves are few, and
 scoring is a sum over a text's n-grams, whatever its length.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; null languages or ids
 aren't learned from; with nothing to learn from every text is ``und``; ties go to the
-alphabetically first language; repeated documents each keep their row.
+alphabetically first language; repeated documents each keep their row; texts of any length are read
+whole; an empty table gives no rows; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from gritstone.llm.common import map_rows
 
 BITS = 16
-MAX_DOCS, EPOCHS, BATCH = 600, 3, 16
+MAX_DOCS, MAX_SAMPLE, EPOCHS, BATCH = 600, 60_000, 3, 16
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.002, 0.002
 NONE = "und"
 #: Characters of a text scored at once.
 PART = 1 << 18
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers other than digits pass for word characters, though they are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_NO_LETTERS = re.compile(r"[\W\d_%s]+" % re.escape(_NUMBERS))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,24 +87,26 @@ def _later(plain: str) -> np.ndarray:
     return (np.concatenate((c[2:], two[1:], three)) * _MIX >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _features(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and TF-IDF values of each text; the values of a text sum to one."""
-    out = []
-    for t in texts:
-        b, n = np.unique(codes(normalize(t)), return_counts=True)
-        v = n * idf[b]
-        out.append((b, v / max(v.sum(), 1e-9)))
-    return out
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams and how often each occurs."""
+    plain = normalize(text)
+    return np.unique(codes(plain), return_counts=True) if plain else (np.zeros(0, np.int64),) * 2
 
 
-def train(texts: list[str], langs: list[str], df: np.ndarray, n_docs: int, seed: int = 3) -> Model:
+def _weighed(buckets: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and TF-IDF values of a text; the values sum to one."""
+    v = n * idf[buckets]
+    return buckets, v / max(v.sum(), 1e-9)
+
+
+def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], df: np.ndarray, n_docs: int, seed: int = 3) -> Model:
     """FTRL-proximal over mini-batches; one document in eight is kept for the temperature."""
     names = sorted(set(langs))
     idf = np.log((1 + n_docs) / (1.0 + df)) + 1.0
     shape = (1 << BITS, len(names))
     z, n, w = np.zeros(shape), np.zeros(shape), np.zeros(shape)
     zb, nb, bias = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
-    x, y = _features(texts, idf), np.array([names.index(v) for v in langs], np.int64)
+    x, y = [_weighed(b, n_, idf) for b, n_ in counts], np.array([names.index(v) for v in langs], np.int64)
     order = np.arange(len(x))
     rng = np.random.default_rng(seed)
     rng.shuffle(order)
@@ -175,20 +183,24 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return df, int(n[bucket < 0].sum())
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_sample: int = MAX_SAMPLE) -> Model:
     rows = learnable(docs)
-    ids = rows.select("doc_id", "lang").withColumn("at", F.xxhash64("doc_id", "lang"))
-    names = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()]
-    if not names:
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("at"))
+    n_langs = ids.select("lang").distinct().count()
+    if not n_langs:
         return Model([], np.zeros((1, 0)), np.zeros(1), np.zeros(0))
-    chosen = None
-    for name in names:
-        part = ids.where(F.col("lang") == name).orderBy("at", "doc_id").limit(max_docs)
-        chosen = part if chosen is None else chosen.union(part)
-    kept = F.broadcast(chosen.select("doc_id").distinct())  # 500 * max_docs ids at most
-    got = sorted((r.doc_id, r.lang, r.text) for r in rows.join(kept, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).collect())
+    each = max(1, min(max_docs, max_sample // n_langs))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))  # tasks keep their first ``each`` before the shuffle
+    chosen = ids.withColumn("place", place).where(F.col("place") <= each).select("doc_id").distinct()
+    texts = rows.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("doc_id", "one.lang", "one.text")
+
+    def count(rows: dict) -> dict:
+        made = [counts_of(t) for t in rows["text"]]
+        return {"doc_id": rows["doc_id"], "lang": rows["lang"], "buckets": [b for b, _ in made], "n": [n for _, n in made]}
+
+    got = sorted((r.doc_id, r.lang, r.buckets, r.n) for r in map_rows(texts, count, "doc_id long, lang string, buckets array<bigint>, n array<bigint>").collect())
     df, n_docs = document_frequencies(rows)
-    return train([r[2] for r in got], [r[1] for r in got], df, n_docs)
+    return train([(np.array(b, np.int64), np.array(n, np.int64)) for _, _, b, n in got], [r[1] for r in got], df, n_docs)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

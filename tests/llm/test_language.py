@@ -55,9 +55,33 @@ def rng_table(seed):
 
 
 def test_edge_cases(spark):
-    docs = spark.createDataFrame([(1, None, "aa"), (2, "", "aa"), (3, "12 !? _", "aa"), (None, "kra", None), (5, "É", "bb"), (5, "É", "bb")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, None, "aa"), (2, "", "aa"), (3, "12 !? _ ² ½ ①", "aa"), (None, "kra", None), (5, "É", "bb"), (5, "É", "bb")], "doc_id long, text string, lang string")
     model = la.fit(docs)
     got = la.identify(docs, model).collect()
     assert len(got) == 6 and all(r.lang_pred == "und" and r.lang_score == 0 for r in got if r.doc_id in (1, 2, 3))
     assert la.fit(docs.limit(0)).predict("text") == ("und", 0.0)
     assert la.identify(docs.limit(0), model).collect() == []
+
+
+def test_query_by_brute_force(spark):
+    """Every row of the query is the fitted model's word on its text; held-out rows are told apart and mostly right."""
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    model = la.fit(docs)
+    got = {r.doc_id: r for r in la.op6_language(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, score = model.predict(r.text)
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (lang, zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and abs(got[r.doc_id].score - score) < 1e-9
+        assert (lang == "und") == (not any(c.isalpha() for c in r.text or ""))
+    held = [r for r in rows if got[r.doc_id].held_out and got[r.doc_id].lang_pred != "und" and r.lang]
+    assert sum(got[r.doc_id].lang_pred == r.lang for r in held) > 0.9 * len(held)
+
+
+def test_many_languages_are_all_learned(spark):
+    rng = random.Random(6)
+    rows = [(k * 40 + i, f"{chr(0x4E00 + k)} " * rng.randint(3, 9), f"l{k}") for k in range(600) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(la.fit(docs, max_sample=1200).langs) > 595
