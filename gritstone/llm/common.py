@@ -54,6 +54,14 @@ def bucketed(df: DataFrame, key: str, buckets: int, tag: str, compression: str =
     return df.sparkSession.table(name)
 
 
+def spread_join(rows: DataFrame, named: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """``rows`` (with doc_id) joined to ``named`` (one row a key): a key's rows are dealt by (key, salt of doc_id) and
+    its name is sent once to each salt in use, so that a key of many rows does not lie in one task."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    in_use = salted.select(key, "__salt").distinct()
+    return salted.join(in_use.join(named, key), [key, "__salt"]).drop("__salt")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ paired off: those fingerprints are linked through the 65 words within one bit of
 that meet in a word are within two bits of each other, which finds the same links in linear work.
 
 Edge cases: null, empty and blank texts have no words and get fingerprint zero, which links like
-any other; documents with equal texts or repeated ids each keep their row; a null doc_id keeps
+any other; texts of any length count with all their shingles; an empty table gives no rows; documents with equal texts or repeated ids each keep their row; a null doc_id keeps
 its row and is never a component's id unless nothing else is in it (then null).
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gritstone.llm import shingles
-from gritstone.llm.common import doc_texts, map_rows, materialize
+from gritstone.llm.common import doc_texts, map_rows, materialize, spread_join
 from gritstone.llm.components import connected_components
 
 MAX_BUCKET = 256
@@ -142,18 +142,20 @@ def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     named = first.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(marked, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that lead their group (smallest doc_id), once each; rows without an id stay.
+    """One row of ``docs`` of each group, that of the smallest doc_id; rows without an id stay.
 
     Groups are the components of pairs whose ``width``-word shingles have a Jaccard similarity of
-    ``similarity`` or more: fingerprints within two bits are too narrow a net for a corpus.
+    ``similarity`` or more: fingerprints within two bits are too narrow a net for a corpus. Rows that
+    share an id but not a group are all kept; of equal rows of one id and text one stays.
     """
-    leads = shingles.near_duplicates(docs, width, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(leads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    leads = shingles.near_duplicates(docs, width, similarity).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("lead"))
+    named = docs.where("doc_id is not null").withColumn("__text_hash", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
+    kept = named.join(leads.select(F.col("lead.doc_id").alias("__id"), F.col("lead.text_hash").alias("__text_hash")).distinct(), ["__id", "__text_hash"], "left_semi")
+    return kept.dropDuplicates(["__id", "__text_hash"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

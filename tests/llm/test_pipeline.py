@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline
 from gritstone.llm import common, decontaminate, mixing, simhash, toxicity
 from tests.llm.test_decontaminate import brute_hits
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_shingles import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,8 +23,7 @@ def test_stages_against_brute_force(spark):
     assert now.columns == columns and {r.doc_id for r in now.collect()} == want
     state = [r for r in state if r["doc_id"] in want]
 
-    of = brute_components([(r["doc_id"], r["text"]) for r in state])
-    want = {d for d, (_, c) in of.items() if d == c}
+    want = set(brute_groups([(r["doc_id"], r["text"]) for r in state]).values())
     now = common.materialize(corpus_pipeline.keep_one_of_near_duplicates(spark, now, SF), "t")
     assert now.columns == columns and sorted(r.doc_id for r in now.collect()) == sorted(want)
 
@@ -56,6 +55,29 @@ def test_one_stays_of_repeated_rows(spark):
     assert sorted((r.doc_id or -1, r.fp) for r in got) == [(-1, "z"), (1, "x")]
 
 
+def test_rows_of_one_id_and_other_texts_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "g h i j k l", "y"), (2, "G h i j k l", "z"), (1, None, "n")], "doc_id long, text string, node string")
+    assert sorted(r.node for r in simhash.keep_one(df).collect()) == ["n", "x", "y"]
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity_score string, spans string, `key` string"
+    rows = [(None, None, None, None, None, "a", "b", "c"), (1, "", "en", "s", 0, "a", "b", "c"), (2, "some plain words here", None, None, 21, "a", "b", "c"), (2, "some plain words here", None, None, 21, "a", "b", "c")]
+    for n, name in ((4, "rows"), (0, "none")):
+        sf = tmp_path / name
+        docs = spark.createDataFrame(rows, schema).limit(n)
+        docs.write.parquet(str(sf / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
+        spark.createDataFrame([(None, "x")] * (n // 4), "item_id long, text string").write.parquet(str(sf / "benchmark.parquet"))
+        now = spark.read.parquet(str(sf / "documents.parquet"))
+        for stage, fn in corpus_pipeline.STAGES[:3]:
+            now = common.materialize(fn(spark, now, str(sf)), "t")
+            assert now.columns == docs.columns
+        assert now.count() == (3 if n else 0)
+        got = corpus_pipeline.run(spark, str(sf)).collect()
+        assert len(got) <= n and all(r.n_tokens >= 1 for r in got)
+
+
 def test_digest_helpers():
     assert decontaminate.items_digest(["2", "10"]) == decontaminate.items_digest(["10", "2"])
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0")
