@@ -84,10 +84,17 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns and masked text recovered from ``formatted`` alone (columns turns, learned)."""
-    parsed = formatted.withColumn("turns", parse(F.col("formatted")))
-    masked = F.filter("turns", lambda t: t["role"] == LEARNED)
-    return parsed.withColumn("learned", F.array_join(F.transform(masked, lambda t: t["text"]), ""))
+    """Turns recovered from ``formatted`` alone and the text under the mask ``loss_spans`` (columns turns, learned).
+
+    Masked text is cut out of ``formatted`` by the spans; a header before it that ends in " esc" says to unescape it.
+    """
+
+    def learned(span: Column) -> Column:
+        text = F.substr(F.col("formatted"), span["start"].cast("int") + 1, span["chars"].cast("int"))
+        head = F.substr(F.col("formatted"), span["start"].cast("int") - 4, F.lit(5))
+        return F.when(head == " esc\n", _unescape(text)).otherwise(text)
+
+    return formatted.withColumn("turns", parse(F.col("formatted"))).withColumn("learned", F.array_join(F.transform("loss_spans", learned), ""))
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,15 @@ def test_hard_texts_round_trip(spark):
         assert r.formatted.count(chat.START) == r.formatted.count(chat.END) == len(r.turns)
 
 
+def test_a_shifted_mask_shows(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "first"), (1, 2, "user", "b"), (1, 3, "assistant", HARD), (1, 4, "assistant", "")]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(made).first().learned == "first" + HARD
+    for by in (-1, 1):
+        shifted = made.withColumn("loss_spans", chat.F.transform("loss_spans", lambda s: chat.F.struct((s["start"] + by).alias("start"), s["chars"].alias("chars"))))
+        assert chat.read_back(shifted).first().learned != "first" + HARD
+
+
 def test_query_and_sql_agree_on_nulls(spark, tmp_path):
     rows = [(1, 0, "user", None), (1, 1, "assistant", HARD), (2, 0, None, "x")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
