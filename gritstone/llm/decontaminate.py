@@ -164,8 +164,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     state = doc_texts(docs).selectExpr("doc_id", "text", "0L as n_words", "cast(array() as array<struct<first:int,end:int>>) as spans", "0 as longest", "cast(array() as array<string>) as items")
     blocks = _blocks(benchmark, block_chars)
     for k, block in enumerate(blocks):
-        automaton = SuffixAutomaton([(r.item, words_of(r.words)) for r in block.collect()], window)
-        shared = spark.sparkContext.broadcast(automaton)
+        shared = _shared(spark, block, window)
 
         def stream(rows: dict, shared=shared) -> dict:
             aut = shared.value
@@ -188,43 +187,73 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW, max_coverage: float = 0.5, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without spans in which ``max_words`` words or more match an item (a shorter item: all its words).
 
-    A document of which hit words make up more than ``max_coverage`` is dropped as a whole. Cutting
-    goes on until what is left holds no such span. Columns stay; ``n_chars`` follows the text.
+    A round finds the spans of all benchmark blocks in a text and cuts their union out; rounds go on until
+    no text holds such a span, so that the result is the same for every ``block_chars``. A document is
+    dropped as a whole once the words cut are more than ``max_coverage`` of those it came with. Columns
+    stay, whatever their names; ``n_chars`` follows the text. Null and empty texts stay as they are,
+    repeated rows are judged one by one, and an empty benchmark removes nothing.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    spark, fields = docs.sparkSession, docs.schema.fields
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     blocks = _blocks(benchmark, block_chars)
-    for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton([(r.item, words_of(r.words)) for r in block.collect()], window))
-
-        def cut(rows: dict, shared=shared) -> dict:
-            made = [clean_text(t, shared.value, max_words, max_coverage) for t in rows["text"]]
-            keep = [i for i, (stays, _) in enumerate(made) if stays]
-            out = {c: [rows[c][i] for i in keep] for c in columns}
-            out["text"] = [made[i][1] for i in keep]
-            if "n_chars" in out:
-                out["n_chars"] = [n if t is None or t == old else len(t) for n, t, old in zip(out["n_chars"], out["text"], (rows["text"][i] for i in keep))]
-            return out
-
-        docs = map_rows(docs, cut, schema)
-        if k + 1 < len(blocks):
-            docs = materialize(docs, "decontaminate")
-    return docs
-
-
-def clean_text(text: str | None, automaton: SuffixAutomaton, max_words: int, max_coverage: float) -> tuple[bool, str | None]:
-    """Whether the document stays, and its text without contaminated spans."""
-    hit, total = 0, None
-    while True:
-        words = words_of(text)
-        total = len(words) if total is None else total
-        spans = union_spans([(a, b) for a, b, n in automaton.match(words)[0] if n >= min(max_words, b - a)])
-        if not spans:
-            return True, text
-        hit += sum(b - a for a, b in spans)
-        if hit > max_coverage * total:
-            return False, None
-        text = _without(text, spans)
+    names = [f.name for f in fields]
+    total, cut, spans, open_ = (_free(n, names) for n in ("total", "cut", "spans", "open"))
+    schema = own + f"`{total}` long, `{cut}` long, `{spans}` array<struct<first:int,end:int>>, `{open_}` boolean"
+    now = docs.select("*", F.lit(None).cast("long").alias(total), F.lit(0).cast("long").alias(cut), F.array().cast("array<struct<first:int,end:int>>").alias(spans), F.lit(True).alias(open_))
+
+    def find(rows: dict, shared) -> dict:
+        for i, (text, known) in enumerate(zip(rows["text"], rows[open_])):
+            if known:
+                found = [(a, b) for a, b, n in shared.value.match(words_of(text))[0] if n >= min(max_words, b - a)]
+                rows[spans][i] = [{"first": a, "end": b} for a, b in union_spans(found + [(x["first"], x["end"]) for x in rows[spans][i]])]
+        return rows
+
+    def remove(rows: dict) -> dict:
+        keep = []
+        for i, found in enumerate(rows[spans]):
+            if rows[total][i] is None:
+                rows[total][i] = len(words_of(rows["text"][i]))
+            rows[cut][i] += sum(x["end"] - x["first"] for x in found)
+            if rows[cut][i] <= max_coverage * rows[total][i]:
+                keep.append(i)
+                rows[open_][i], rows[spans][i] = bool(found), []
+                if found:
+                    rows["text"][i] = _without(rows["text"][i], [(x["first"], x["end"]) for x in found])
+                    if "n_chars" in rows:
+                        rows["n_chars"][i] = len(rows["text"][i])
+        return {c: [v[i] for i in keep] for c, v in rows.items()}
+
+    if len(blocks) == 1:  # all spans of a text are known at once: its rounds need no pass over the others
+
+        shared = _shared(spark, blocks[0], window)
+
+        def rounds(rows: dict) -> dict:
+            while any(rows[open_]):
+                rows = remove(find(rows, shared))
+            return rows
+
+        now = map_rows(now, rounds, schema)
+    else:
+        while True:
+            for block in blocks:
+                shared = _shared(spark, block, window)
+                now = materialize(map_rows(now, lambda rows, shared=shared: find(rows, shared), schema), "decontaminate")
+                shared.destroy()  # one block at a time is in memory
+            now = materialize(map_rows(now, remove, schema), "decontaminate")
+            if now.where(F.col(open_)).isEmpty():
+                break
+    return now.select(*(F.col(f"`{n}`") for n in names))
+
+
+def _shared(spark, block: DataFrame, window: int):
+    """The automaton of a block of items, whose characters are bounded, on all executors."""
+    return spark.sparkContext.broadcast(SuffixAutomaton([(r.item, words_of(r.words)) for r in block.collect()], window))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in map(str.lower, taken):
+        name += "_"
+    return name
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

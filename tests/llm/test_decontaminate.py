@@ -51,6 +51,25 @@ def test_cleaning(spark):
     assert got[1].text == "before " * 60 + "! after " * 60 and got[1].n_chars == len(got[1].text)
 
 
+def test_cleaning_is_the_same_for_every_block_size(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["a", "b", "É", "c9"]) for _ in range(n))
+    bench = [(i, say(rng.randint(3, 14))) for i in range(9)] + [(50, None), (None, "b b b")]
+    docs = [(i, " ".join(x for _ in range(6) for x in (say(rng.randint(0, 9)), rng.choice([t for _, t in bench if t]))), 0, "x") for i in range(40)]
+    halves = " ".join(f"p{i}" for i in range(20)) + " and more " + " ".join(f"q{i}" for i in range(20))  # two items of a third of the words each
+    bench += [(60, " ".join(f"p{i}" for i in range(20))), (61, " ".join(f"q{i}" for i in range(20)))]
+    docs += [(100, halves + " tail" * 20, 0, "x"), (101, halves + " tail" * 50, 0, "x"), (102, None, None, "x"), (103, "", 0, "x"), (101, halves + " tail" * 50, 0, "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, spans string").repartition(3)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    key = lambda r: tuple(map(str, r))
+    want = sorted(map(tuple, dc.remove_contamination(d, b).collect()), key=key)
+    assert sorted(map(tuple, dc.remove_contamination(d, b, block_chars=60).collect()), key=key) == want
+    left = {r[0]: r[1] for r in want}
+    assert 100 not in left and left[101].count("tail") == 50 and "p1" not in left[101] and sum(r[0] == 101 for r in want) == 2
+    assert all(not brute_hits(t, bench)[0] for t in left.values())
+    assert sorted(map(tuple, dc.remove_contamination(d, b.limit(0)).collect()), key=key) == sorted(docs, key=key)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
