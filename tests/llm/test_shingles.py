@@ -57,6 +57,14 @@ def test_stage_against_brute_force_jaccard(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_chunks_of_large_buckets_find_the_same(spark, monkeypatch):
+    rows = edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(shingles, "PAIRED", 1)
+    monkeypatch.setattr(shingles, "CHUNK_SHINGLES", 250)
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()} == brute_groups(rows)
+
+
 def test_table_against_brute_force_jaccard(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
