@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The function words that keyword search leaves out.
@@ -32,17 +32,27 @@ def words(items: list[str]) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Lower-case tokens without stopwords; a compound is followed by its parts of two characters or more."""
-    stop = words(STOPWORDS)
-    kept = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda x: ~F.array_contains(stop, x))
+    """Lower-case tokens without stopwords; a compound is followed by its parts of two characters or more.
+
+    Stopwords are looked up in a hash set, which Spark makes of a long list of literals.
+    """
+    kept = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda x: ~x.isin(STOPWORDS))
 
     def with_parts(x: Column) -> Column:
-        parts = F.filter(F.regexp_extract_all(x, F.lit(PART), F.lit(0)), lambda p: ~F.array_contains(stop, p) & (F.length(p) > 1))
-        return F.concat(F.array(x), F.when(x.rlike("[-._]"), parts).otherwise(F.array().cast("array<string>")))
+        parts = F.filter(F.split(x, "[-._]"), lambda p: ~p.isin(STOPWORDS) & (F.length(p) > 1))
+        return F.when(F.translate(x, "-._", "") != x, F.concat(F.array(x), parts)).otherwise(F.array(x))
 
     return F.flatten(F.transform(kept, with_parts))
 
 
+def explode_tokens(rows: DataFrame, text: str) -> DataFrame:
+    """A row with ``term`` for each token that ``tokenize`` gives: exploded first, filtered in generated code after."""
+    found = rows.withColumn("term", F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))).drop(text).where(~F.col("term").isin(STOPWORDS))
+    parts = F.filter(F.split("term", "[-._]"), lambda p: ~p.isin(STOPWORDS) & (F.length(p) > 1))
+    compound = F.translate("term", "-._", "") != F.col("term")
+    return found.withColumn("term", F.explode(F.when(compound, F.concat(F.array("term"), parts)).otherwise(F.array("term"))))
+
+
 def token_set(text: Column) -> Column:
     """Distinct runs of letters a-z and digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(PART), F.lit(0)))
@@ -50,8 +60,7 @@ def token_set(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct ASCII words of three letters or more that aren't function words."""
-    stop = words(CLAIM_STOPWORDS)
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z'-]*"), F.lit(0)), lambda w: ~F.array_contains(stop, w) & (F.length(w) > 2)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z'-]*"), F.lit(0)), lambda w: ~w.isin(CLAIM_STOPWORDS) & (F.length(w) > 2)))
 
 
 def count_tokens(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gritstone.jobs import answer, evaluate, ingest, retrieve
+from gritstone.jobs import answer, curate, evaluate, ingest, retrieve
 
-QUERIES = retrieve.QUERIES | evaluate.QUERIES | answer.QUERIES | ingest.QUERIES
-SQL = retrieve.SQL | evaluate.SQL | answer.SQL | ingest.SQL
+QUERIES = retrieve.QUERIES | evaluate.QUERIES | answer.QUERIES | ingest.QUERIES | curate.QUERIES
+SQL = retrieve.SQL | evaluate.SQL | answer.SQL | ingest.SQL | curate.SQL

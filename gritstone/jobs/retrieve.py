@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gritstone.functions import text as T
 from gritstone.functions import vectors as V
 from gritstone.operators import retrieval as R
+from gritstone.sources import keyword_index as X
 from gritstone.sources import table
 
 K, SHORTLIST = 5, 30
@@ -33,16 +34,26 @@ def doc_ids(spark, sf):
     return docs.select("doc_id", key.alias("key"), T.chunk_key(key, F.lit(0)).alias("chunk_id"), T.count_tokens(F.coalesce("text", F.lit(""))).alias("token_count"))
 
 
+def keyword_index(spark, sf, group=None):
+    return X.build(X.corpus(documents(spark, sf), "id", "text", group))
+
+
 def index_stats(spark, sf):
-    tokens = R.corpus(documents(spark, sf), "id", "text")
-    sizes = tokens.agg(F.count("*").alias("documents"), F.round(F.avg("dl"), 6).alias("avg_length"))
-    terms = tokens.select(F.explode("tokens").alias("term")).agg(F.countDistinct("term").alias("vocabulary"))
-    return sizes.crossJoin(terms).withColumns({"k1": F.lit(R.K1), "b": F.lit(R.B)})
+    index = keyword_index(spark, sf)
+    sizes = index.postings.where("term = ''").agg(F.count("*").alias("documents"), F.round(F.avg("dl"), 6).alias("avg_length"))
+    return sizes.crossJoin(index.terms.agg(F.count("*").alias("vocabulary"))).withColumns({"k1": F.lit(R.K1), "b": F.lit(R.B)})
+
+
+def sparse_hits(spark, sf, group=None):
+    return R.bm25(keyword_index(spark, sf, group), questions(spark, sf))
 
 
-def sparse_hits(spark, sf, k=K, docs=None, group=None):
-    docs = documents(spark, sf) if docs is None else docs
-    return R.bm25(R.corpus(docs, "id", "text", group), questions(spark, sf))
+def index_delta(spark, sf):
+    """Nine tenths of the documents are indexed first, with old texts of some of the rest; the rest follows."""
+    docs = X.corpus(documents(spark, sf), "id", "text")
+    old = docs.where("id % 10 <> 0").unionByName(docs.where("id % 50 = 0").withColumn("text", F.reverse("text")))
+    index = X.extend(X.build(old), docs.where("id % 10 = 0"))
+    return R.ranked(R.bm25(index, questions(spark, sf)), K).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark, sf):
@@ -136,7 +147,7 @@ post AS MATERIALIZED (SELECT grp, id, term, count(*)::DOUBLE AS f FROM (SELECT g
 stats AS (SELECT grp, count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM toks GROUP BY grp),
 dfs AS (SELECT grp, term, count(*)::DOUBLE AS df FROM post GROUP BY ALL),
 raws AS (SELECT grp, term, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs JOIN stats USING (grp)),
-idfs AS (SELECT grp, term, avgdl, CASE WHEN raw < 0 THEN {R.EPSILON} * avg(raw) OVER (PARTITION BY grp) ELSE raw END AS idf FROM raws),
+idfs AS (SELECT grp, term, avgdl, CASE WHEN raw < 0 THEN {X.EPSILON} * avg(raw) OVER (PARTITION BY grp) ELSE raw END AS idf FROM raws),
 hits AS MATERIALIZED (
   SELECT qid, p.grp, p.id, sum(times * idf * f * {R.K1 + 1} / (f + {R.K1} * (1 - {R.B} + {R.B} * len(t) / avgdl))) AS score
   FROM post p JOIN asked USING (term) JOIN idfs i ON i.grp = p.grp AND i.term = p.term JOIN toks ON toks.id = p.id AND toks.grp = p.grp GROUP BY ALL HAVING score > 0
@@ -169,7 +180,7 @@ f1s AS (SELECT qid, id, before, CASE WHEN len(list_intersect(a, c)) > 0 THEN 2.0
 QUERIES = {
     "q_tokens_top": tokens_top, "q_doc_ids": doc_ids, "q_index_stats": index_stats, "q_bm25_topk": bm25_topk, "q_bm25_filtered": bm25_filtered, "q_bm25_within_group": bm25_within_group,
     "q_knn_cosine": knn("cosine"), "q_knn_l2": knn("l2"), "q_knn_where_label": knn("cosine", "label = 3"), "q_rrf": fusion("rrf"), "q_weighted_sum": fusion("weighted"), "q_fuse_single": fusion("fuse"),
-    "q_rerank_f1": rerank_f1(), "q_rerank_threshold": rerank_f1(0.2), "q_hybrid": hybrid, "q_request_order_get": request_order,
+    "q_rerank_f1": rerank_f1(), "q_rerank_threshold": rerank_f1(0.2), "q_hybrid": hybrid, "q_request_order_get": request_order, "q_index_delta": index_delta,
 }
 
 SQL = {
@@ -186,5 +197,6 @@ SQL = {
     "q_rerank_f1": f"WITH {bm25_sql()}, short AS ({top_sql('hits', SHORTLIST)}), {F1_SQL} SELECT qid, id, rank, round(score, 6) AS score FROM ({top_sql('f1s', K, 'qid', 'before')})",
     "q_rerank_threshold": f"WITH {bm25_sql()}, short AS ({top_sql('hits', SHORTLIST)}), {F1_SQL} SELECT qid, id, rank, round(score, 6) AS score FROM ({top_sql('f1s', K, 'qid', 'before')}) WHERE score >= 0.2 OR rank = 1",
     "q_hybrid": f"WITH {lists_sql()}, f AS (SELECT qid, id, {RRF} AS rrf, max(score) AS own, count(DISTINCT source) AS k FROM lists GROUP BY ALL), n AS (SELECT qid, count(DISTINCT source) AS n FROM lists GROUP BY qid), fs AS (SELECT qid, id, CASE WHEN n = 1 THEN own ELSE rrf END AS score FROM f JOIN n USING (qid)), short AS ({top_sql('fs', SHORTLIST)}), {F1_SQL} SELECT qid, id, rank, round(score, 6) AS score FROM ({top_sql('f1s', K, 'qid', 'before')})",
+    "q_index_delta": f"WITH {bm25_sql()} SELECT qid, id, rank, round(score, 6) AS score FROM ({top_sql('hits', K)})",
     "q_request_order_get": "SELECT rid, pos, doc_id AS id, length(text)::BIGINT AS chars FROM (SELECT rid, unnest([0, 1, 2])::BIGINT AS pos, unnest([rid * 7 + 3, rid, rid * 1000]) AS id FROM (SELECT DISTINCT conv_id AS rid FROM conversations)) JOIN documents ON doc_id = id",
 }

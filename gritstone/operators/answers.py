@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gritstone.functions import text as T
+from gritstone.operators.claims import judge
 
 BUDGET = 1200
 LEAST, KEEP, SCAN = 0.12, 3, 9
@@ -37,11 +38,11 @@ def pack_context(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def extract_answers(context: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, marker, text) -> qid, answer: up to KEEP sentences that share words with the question, each
-    with its marker. None scores LEAST: the answer is null (a refusal)."""
+    with its marker. None scores LEAST, or the question has no word: the answer is null (a refusal)."""
     asked = queries.select("qid", T.token_set("question").alias("want"))
     said = context.select("qid", "marker", F.posexplode(T.sentences("text")).alias("at", "sentence")).join(asked, "qid").withColumn("have", T.token_set("sentence")).where(F.size("have") > 0)
     both = F.size(F.array_intersect("want", "have")).cast("double")
-    scored = said.withColumn("score", F.round(both / F.size("want") + 0.15 * both / F.sqrt(F.size("have").cast("double")), 6))
+    scored = said.withColumn("score", F.round(F.try_divide(both, F.size("want")) + 0.15 * both / F.sqrt(F.size("have").cast("double")), 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "marker", "at")
     best = F.max("score").over(Window.partitionBy("qid"))
     short = scored.withColumn("best", best).withColumn("n", F.row_number().over(w)).where((F.col("n") <= SCAN) & (F.col("score") >= F.greatest(F.lit(LEAST), F.col("best") / 2)))
@@ -61,11 +62,5 @@ def claims(answers: DataFrame) -> DataFrame:
 
 
 def check_claims(cited: DataFrame, least: float = COVERAGE) -> DataFrame:
-    """(…, claim, evidence) -> coverage of the claim's content words by the evidence, whether all its
-    numbers are there, and supported."""
-    want, have = T.content_words("claim"), T.content_words(F.coalesce("evidence", F.lit("")))
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
-    coverage = F.when(F.size(want) > 0, F.size(F.array_intersect(want, have)).cast("double") / F.size(want)).otherwise(F.lit(0.0))
-    missing = F.size(F.array_except(numbers(F.col("claim")), numbers(F.coalesce("evidence", F.lit("")))))
-    out = cited.withColumn("coverage", F.round(coverage, 6)).withColumn("numbers_ok", missing == 0)
-    return out.withColumn("supported", F.col("numbers_ok") & (F.col("coverage") >= least))
+    """(…, claim, evidence) -> the verdict of ``claims.judge`` on each."""
+    return judge(cited, least=least)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -47,10 +47,10 @@ def threshold_table(scores: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def auroc(scores: DataFrame) -> DataFrame:
-    """P(positive > negative) + P(tie) / 2 by sums over distinct scores: no pair is formed."""
+    """P(positive > negative) + P(tie) / 2 by sums over distinct scores: no pair is formed. Null without both classes."""
     at = scores.groupBy("score").agg(F.sum((F.col("label") == 1).cast("double")).alias("pos"), F.sum((F.col("label") == 0).cast("double")).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return at.withColumn("below", below).agg(F.round(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg")), 6).alias("auroc"))
+    return at.withColumn("below", below).agg(F.round(F.try_divide(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))), F.sum("pos") * F.sum("neg")), 6).alias("auroc"))
 
 
 def nearest_rank(scores: DataFrame, shares: tuple[float, ...] = (0.1, 0.25, 0.75)) -> DataFrame:
@@ -77,18 +77,23 @@ def stratified_split(rows: DataFrame, key: str, stratum: str, share: float = 0.6
 
 def bootstrap_interval(diffs: DataFrame, resamples: int = 1000, seed: int = 1337, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean of ``diff``, by Poisson resampling: every row draws its own count for
-    each resample from a hash, so a resample is a sum and no row moves."""
-    many = diffs.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = F.pmod(F.xxhash64("id", "resample", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times, chance, total = F.lit(8), 0.36787944117144233, 0.0
-    steps = []
-    for k in range(8):
-        total += chance
-        steps.append((k, total))
-        chance /= k + 1
-    for k, upto in reversed(steps):
-        times = F.when(u < upto, F.lit(k)).otherwise(times)
-    means = many.withColumn("times", times).groupBy("resample").agg((F.sum(F.col("times") * F.col("diff")) / F.sum("times")).alias("score"))
-    low, high = int(alpha / 2 * resamples), int((1 - alpha / 2) * resamples) - 1
-    ordered = F.sort_array(F.collect_list("score"))  # as many as resamples
-    return means.agg(ordered.alias("m")).select(F.element_at("m", low + 1).alias("low"), F.element_at("m", high + 1).alias("high"))
+    each resample from a hash, so a resample is a sum and no row moves. Without rows both ends are null."""
+    def times(resample: Column) -> Column:
+        u = F.pmod(F.xxhash64("id", resample, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        out, chance, total, steps = F.lit(8), 0.36787944117144233, 0.0, []
+        for k in range(8):
+            total += chance
+            steps.append((k, total))
+            chance /= k + 1
+        for k, upto in reversed(steps):
+            out = F.when(u < upto, F.lit(k)).otherwise(out)
+        return out
+
+    # resamples beside each other in one row's array are summed task by task, a slice of rows at a time
+    drawn = diffs.select("diff", F.transform(F.sequence(F.lit(1), F.lit(resamples)), times).alias("n"))
+    sums = drawn.select("diff", F.posexplode("n").alias("resample", "n")).where("n > 0").groupBy("resample").agg(F.sum(F.col("n") * F.col("diff")).alias("s"), F.sum("n").alias("n"))
+    means = sums.select((F.col("s") / F.col("n")).alias("score"))  # a resample that drew no row has no mean
+    ordered = F.sort_array(F.collect_list("score"))  # as many as resamples at most
+    low = F.try_element_at("m", F.floor(F.lit(alpha / 2) * F.size("m")).cast("int") + 1)
+    high = F.try_element_at("m", F.greatest(F.lit(1), F.floor(F.lit(1 - alpha / 2) * F.size("m")).cast("int")))
+    return means.agg(ordered.alias("m")).select(low.alias("low"), high.alias("high"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gritstone.functions import text as T
 from gritstone.functions import vectors as V
 from gritstone.operators import answers, chunking, evaluation, governance, retrieval
-from gritstone.sources import markup
+from gritstone.sources import keyword_index, markup
 
 
 def one(spark, column):
@@ -58,7 +58,7 @@ def test_bm25_against_a_plain_model(spark):
     docs = {i: [rng.choice(words) for _ in range(rng.randint(1, 30))] for i in range(40)}
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "id long, text string")
     q = spark.createDataFrame([(1, "w1 w1 w2"), (2, "w19 nothing"), (3, ""), (4, None)], "qid long, question string")
-    got = {(r.qid, r.id): r.score for r in retrieval.bm25(retrieval.corpus(df, "id", "text"), q).collect()}
+    got = {(r.qid, r.id): r.score for r in retrieval.bm25(keyword_index.build(keyword_index.corpus(df, "id", "text")), q).collect()}
     want = {(qid, k): s for qid, ts in ((1, ["w1", "w1", "w2"]), (2, ["w19"])) for k, s in model_bm25(docs, ts).items() if s > 0}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
