@@ -13,7 +13,7 @@ from gritstone.operators import retrieval as O
 from gritstone.sources import table
 
 THRESHOLDS = [100.0, 300.0, 600.0, 1200.0, 2400.0, 4800.0]
-#: Fusion settings of the sweep: (label, method, k, dense weight, sparse weight).
+# Fusion settings of the sweep as (label, method, k, dense weight, sparse weight).
 GRID = [(f"rrf_k{k}_d{d}_s{s}", "rrf", float(k), d, s) for k in (20, 60, 100) for d, s in ((0.5, 0.5), (0.7, 0.3), (0.3, 0.7), (0.9, 0.1), (0.1, 0.9))]
 GRID += [(f"weighted_s{s / 10:.1f}", "weighted", 60.0, round(1 - s / 10, 1), s / 10) for s in range(11)]
 PRICES = [("assistant", 0.15, 0.6), ("user", 0.05, 0.0), ("system", 0.05, 0.0)]
@@ -30,10 +30,10 @@ def known_items(spark, sf):
     items = R.questions(spark, sf).where("length(question) > 0").withColumn("terms", tokens("question"))
     docs = R.documents(spark, sf).where("text is not null").select("id", "text")
     held = docs.select("id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    inner = items.where(F.size("terms") > 2).select("qid", "question", F.explode(F.slice("terms", F.lit(2), F.size("terms") - 2)).alias("term"))
-    often = held.join(F.broadcast(inner.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rare = inner.join(often, "term").groupBy("qid", "question").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = held.join(F.broadcast(rare), "term").select("qid", "question", "id")
+    inner = items.where(F.size("terms") > 2).select("qid", F.explode(F.slice("terms", F.lit(2), F.size("terms") - 2)).alias("term"))
+    often = held.join(inner.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rare = inner.join(often, "term").groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    near = held.join(rare, "term").select("qid", "id").join(items.select("qid", "question"), "qid")
     found = near.join(docs, "id").where(F.contains("text", "question")).select("qid", "id")
     bare = docs.crossJoin(F.broadcast(items.where(F.size("terms") <= 2))).where(F.contains("text", "question")).select("qid", "id")
     return found.union(bare).distinct()
@@ -47,7 +47,7 @@ def known_item_metrics(spark, sf):
 
 def fusion_sweep(spark, sf):
     """All settings in one job: lists are joined with the settings, not looped over."""
-    lists = R.both_lists(spark, sf).persist()
+    lists = R.both_lists(spark, sf)
     grid = spark.createDataFrame(GRID, "label string, method string, k double, dense double, sparse double")
     w = F.when(F.col("source") == "dense", F.col("dense")).otherwise(F.col("sparse"))
     part = F.when(F.col("method") == "rrf", w / (F.col("k") + F.col("rank"))).otherwise(w * F.col("normalized"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from gritstone.functions import text as T
 from gritstone.operators.claims import judge
 
+# Tokens of a context; least score, sentences kept and sentences looked at of an answer.
 BUDGET = 1200
 LEAST, KEEP, SCAN = 0.12, 3, 9
 COVERAGE = 0.45
