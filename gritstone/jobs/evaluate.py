@@ -122,12 +122,20 @@ def pairs(spark, sf):
     return nxt.where("role = 'user'").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.col("text").alias("question"), "answer")
 
 
+def repeated(spark, sf):
+    """Pairs, some of them asked again with other blanks or with a word more."""
+    asked = pairs(spark, sf).select("id", "question")
+    at = F.substring_index("id", "-", 1).cast("long") % 20
+    again = asked.where(at == 0).select(F.concat("id", F.lit("-again")).alias("id"), F.concat(F.lit("  "), "question", F.lit("\n ")).alias("question"))
+    return asked.unionByName(again).unionByName(asked.where(at == 1).select(F.concat("id", F.lit("-more")).alias("id"), F.concat("question", F.lit(" indeed")).alias("question")))
+
+
 def dup_questions(spark, sf):
-    return G.duplicate_groups(pairs(spark, sf))
+    return G.duplicate_groups(repeated(spark, sf))
 
 
 def near_dup_pairs(spark, sf):
-    sets = pairs(spark, sf).select("id", T.token_set(F.coalesce("question", F.lit(""))).alias("items"))
+    sets = repeated(spark, sf).select("id", T.token_set(F.coalesce("question", F.lit(""))).alias("items"))
     return G.similar_pairs(sets, 0.75).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -180,6 +188,7 @@ m AS (SELECT label, qid, {_METRICS} FROM (SELECT DISTINCT qid FROM expected) CRO
 _LEDGER = "ledger AS (SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 'verified' ELSE 'rejected' END AS status, 1 AS decided FROM labels UNION ALL SELECT doc_id, 'rejected', 2 FROM labels WHERE doc_id % 3 = 0), latest AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY decided DESC) = 1)"
 _LABELLED = "lab AS (SELECT l.*, lang, n_chars::DOUBLE AS score FROM labels l JOIN documents USING (doc_id))"
 _PAIRS = "turns AS (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), pairs AS (SELECT conv_id || '-' || turn AS id, text AS question, answer FROM turns WHERE role = 'user')"
+_REPEATED = "repeated AS (SELECT id, question FROM pairs UNION ALL SELECT id || '-again', '  ' || question || chr(10) || ' ' FROM pairs WHERE CAST(split_part(id, '-', 1) AS BIGINT) % 20 = 0 UNION ALL SELECT id || '-more', question || ' indeed' FROM pairs WHERE CAST(split_part(id, '-', 1) AS BIGINT) % 20 = 1)"
 _QKEY = "regexp_replace(trim(lower(question)), '\\s+', ' ', 'g')"
 _USAGE = "usage AS (SELECT conv_id, turn, role AS model, CASE WHEN role = 'assistant' THEN 0 ELSE t END AS tokens_in, CASE WHEN role = 'assistant' THEN t ELSE 0 END AS tokens_out FROM (SELECT *, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS t FROM conversations))"
 
@@ -196,8 +205,8 @@ SQL = {
     "q_verified_semi": f"WITH {_LEDGER} SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT pair_id FROM latest WHERE status = 'verified')",
     "q_unknown_anti": "SELECT doc_id FROM labels WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = labels.doc_id AND lang = 'en')",
     "q_status_counts": f"WITH {_LEDGER}, s AS (SELECT lang, coalesce(status, 'draft') AS status FROM documents LEFT JOIN latest ON pair_id = doc_id) SELECT lang, status, grouping(lang, status)::BIGINT AS level, count(*) AS n FROM s GROUP BY GROUPING SETS ((lang), (status), ())",
-    "q_dup_questions": f"WITH {_PAIRS} SELECT {_QKEY} AS question, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM pairs GROUP BY 1 HAVING n > 1",
-    "q_near_dup_pairs": f"WITH {_PAIRS}, s AS (SELECT min(id) AS id, x FROM (SELECT id, list_sort({R.SET_SQL.format('coalesce(question, chr(32))')}) AS x FROM pairs) WHERE len(x) > 0 GROUP BY x), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.x, b.x))::DOUBLE AS i, len(a.x) + len(b.x) AS n FROM s a JOIN s b ON a.id < b.id) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM j WHERE i / (n - i) >= 0.75",
+    "q_dup_questions": f"WITH {_PAIRS}, {_REPEATED} SELECT {_QKEY} AS question, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM repeated GROUP BY 1 HAVING n > 1",
+    "q_near_dup_pairs": f"WITH {_PAIRS}, {_REPEATED}, s AS (SELECT min(id) AS id, x FROM (SELECT id, list_sort({R.SET_SQL.format('coalesce(question, chr(32))')}) AS x FROM repeated) WHERE len(x) > 0 GROUP BY x), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.x, b.x))::DOUBLE AS i, len(a.x) + len(b.x) AS n FROM s a JOIN s b ON a.id < b.id) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM j WHERE i / (n - i) >= 0.75",
     "q_dataset_validation": f"WITH {_PAIRS}, o AS (SELECT count(*) AS total, count(*) FILTER (trim(coalesce(answer, '')) = '') AS missing_answers, count(DISTINCT {_QKEY}) AS distinct_questions FROM pairs) SELECT *, round(missing_answers / total, 6) AS missing_ratio, missing_answers / total BETWEEN 0.05 AND 0.30 AS ratio_in_range, total BETWEEN 50 AND 200 AS size_in_range FROM o",
     "q_cost_by_model": f"WITH {_USAGE}, p(model, a, b) AS (VALUES {', '.join(f'({m!r}, {a}::DOUBLE, {b}::DOUBLE)' for m, a, b in PRICES)}) SELECT model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(tokens_in) * any_value(a) / 1e6 + sum(tokens_out) * any_value(b) / 1e6, 6) AS cost FROM usage LEFT JOIN p USING (model) GROUP BY model",
     "q_budget_breach": f"WITH {_USAGE}, r AS (SELECT conv_id, turn, sum(tokens_in + tokens_out) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS total FROM usage) SELECT conv_id, min(turn) AS turn, min(total) AS total FROM r WHERE total > {BUDGET} GROUP BY conv_id",

@@ -12,7 +12,10 @@ from gritstone.sources import table
 
 
 def source_routes(spark, sf):
-    return table(spark, sf, "pages").groupBy(I.route(F.col("url")).alias("parser")).agg(F.count("*").alias("n"))
+    """Pages by parser; some of them as files of other kinds."""
+    kinds = F.element_at(F.array(*(F.lit(x) for x in (".PDF", ".md", ".txt", ".htm", ".zip", ""))), F.greatest(F.lit(1), F.col("page_id") % 7).cast("int"))
+    uri = F.when(F.col("page_id") % 7 > 0, F.concat(F.lit("docs/v1.2/page"), F.col("page_id").cast("string"), kinds)).otherwise(F.col("url"))
+    return table(spark, sf, "pages").groupBy(I.route(uri).alias("parser")).agg(F.count("*").alias("n"))
 
 
 def manifest_restore(spark, sf):
@@ -92,7 +95,7 @@ _PATH = ", ".join(f"CASE WHEN o{k} = a{k} AND {k} < coalesce(level, 5) THEN h{k}
 _PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 SQL = {
-    "q_source_routes": f"SELECT {_ROUTE} AS parser, count(*) AS n FROM pages GROUP BY 1",
+    "q_source_routes": f"SELECT {_ROUTE} AS parser, count(*) AS n FROM (SELECT CASE WHEN page_id % 7 > 0 THEN 'docs/v1.2/page' || page_id || ['.PDF', '.md', '.txt', '.htm', '.zip', ''][page_id % 7] ELSE url END AS url FROM pages) GROUP BY 1",
     "q_manifest_restore": "SELECT m.doc_id AS key, CASE WHEN f.doc_id IS NULL THEN 'missing' WHEN f.doc_id % 10 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents m LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) f USING (doc_id) WHERE lang = 'en' AND m.text IS NOT NULL",
     "q_section_paths": f"WITH {_LINES}, l AS (SELECT *, CASE WHEN len(regexp_split_to_array(trim(text), ' +')) <= 3 THEN len(regexp_split_to_array(trim(text), ' +'))::INT END AS level FROM lines), s AS (SELECT *, {_LEVELS} FROM l WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc, ord, coalesce(level, 0) AS level, coalesce(array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL), ' > '), '') AS path FROM s",
     "q_fragments": f"WITH {_LINES} SELECT doc, count(*) AS n, count(*) FILTER (length(trim(text)) < 20 AND NOT regexp_matches(text, '[A-Za-z]{{3,}}')) AS fragments, count(*) FILTER ({_HEAD}) AS headings FROM lines GROUP BY doc",

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from gritstone.operators.governance import latest
 
 
-def keep_latest(stream: DataFrame, table: str, checkpoint: str):
-    """Starts a query that drains what is there and stops; call it again for what came since."""
+def keep_latest(stream: DataFrame, table: str, checkpoint: str, order: str | None = None):
+    """Starts a query that drains what is there and stops; call it again for what came since.
+
+    Of a batch's rows of one id the greatest by ``order`` stays, or by all other columns if it isn't given.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["doc_id"]).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        by = F.col(order) if order else F.struct(*(c for c in batch.columns if c != "doc_id"))
+        latest(batch, "doc_id", by).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
