@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gritstone.llm import chat, decontaminate, language, mixing, runindex, secrets, simhash, tokens, toxicity, transport
+from gritstone.llm import chat, decontaminate, language, merkle, mixing, negatives, runindex, secrets, simhash, tokens, toxicity, transport, vptree
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_tokens": tokens.op8_tokens,
     "op9_chat": chat.op9_chat,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_vptree": vptree.op12_vptree,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 SQL = {
@@ -22,4 +25,7 @@ SQL = {
     "op3_mixing": mixing.OP3_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_negatives": negatives.OP11_SQL,
+    "op12_vptree": vptree.OP12_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
