@@ -62,6 +62,12 @@ def spread_join(rows: DataFrame, named: DataFrame, key: str, salts: int = 32) ->
     return salted.join(in_use.join(named, key), [key, "__salt"]).drop("__salt")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt to as many tasks as run at once where the files give fewer (one row group is one task)."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

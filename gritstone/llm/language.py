@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,23 +26,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gritstone.llm.common import map_rows
+from gritstone.llm.common import map_rows, spread
 
 BITS = 16
-MAX_DOCS, MAX_SAMPLE, EPOCHS, BATCH = 600, 60_000, 3, 16
+MAX_DOCS, MAX_SAMPLE, EPOCHS, BATCH = 600, 20_000, 3, 16
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.002, 0.002
 NONE = "und"
 #: Characters of a text scored at once.
 PART = 1 << 18
 #: Numbers other than digits pass for word characters, though they are no letters.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NO_LETTERS = re.compile(r"[\W\d_%s]+" % re.escape(_NUMBERS))
+#: Kept apart: a class of characters up to U+FFFF is a bitmap; one with others, or with categories in it, is tried member by member.
+_NO_LETTERS, _FAR = re.compile(r"[\W\d_]+"), re.compile("[\U00010000-\U0010ffff]")
+_NEAR_NUMBER = re.compile(f"[{re.escape(''.join(c for c in _NUMBERS if ord(c) < 1 << 16))}]")
+_NUMBERS_OR_BLANKS = re.compile(f"[ {re.escape(_NUMBERS)}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalize(text: str | None) -> str:
     """Lower-case words of letters between single blanks; empty if there is no letter."""
-    plain = _NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    plain = _NO_LETTERS.sub(" ", text.lower()) if text else ""
+    if not plain.isascii() and (_NEAR_NUMBER.search(plain) or _FAR.search(plain)):
+        plain = _NUMBERS_OR_BLANKS.sub(" ", plain)
+    plain = plain.strip(" ")
     return f" {plain} " if plain else ""
 
 
@@ -63,8 +70,7 @@ class Model:
 
     def logits(self, plain: str) -> np.ndarray:
         total, mass = np.zeros(len(self.langs)), 0.0
-        for at in range(0, len(plain), PART):  # n-grams over a part's border are found by the overlap of two
-            part = codes(plain[:PART]) if not at else _later(plain[at - 2 : at + PART])
+        for part in parts_of(plain):
             total += self.table[part].sum(axis=0, dtype=np.float64)
             mass += self.idf[part].sum(dtype=np.float64)
         return total / max(mass, 1e-9) + self.bias
@@ -87,10 +93,19 @@ def _later(plain: str) -> np.ndarray:
     return (np.concatenate((c[2:], two[1:], three)) * _MIX >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def parts_of(plain: str) -> Iterator[np.ndarray]:
+    """``codes`` in parts of bounded size; n-grams over a part's border are found by the overlap of two."""
+    for at in range(0, len(plain), PART):
+        yield codes(plain[:PART]) if not at else _later(plain[at - 2 : at + PART])
+
+
 def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's n-grams and how often each occurs."""
-    plain = normalize(text)
-    return np.unique(codes(plain), return_counts=True) if plain else (np.zeros(0, np.int64),) * 2
+    counts = np.zeros(1 << BITS, np.int64)
+    for part in parts_of(normalize(text)):
+        counts += np.bincount(part, minlength=1 << BITS)
+    hit = np.flatnonzero(counts)
+    return hit, counts[hit]
 
 
 def _weighed(buckets: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,15 +155,32 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], df: np.
             nb += gb * gb
             bias = -zb / ((BETA + np.sqrt(nb)) / ALPHA + L2)
     logit = np.stack([scale * (x[i][1] @ w[x[i][0]]) + bias for i in apart]) if len(apart) else np.zeros((0, len(names)))
-    heat = np.exp(np.linspace(-3, 3, 61))
+    best = temperature_of(logit, y[apart]) if len(logit) else 1.0
+    return Model(names, (scale * w * idf[:, None]).astype(np.float32), idf.astype(np.float32), bias, best)
+
+
+def log_loss(logit: np.ndarray, y: np.ndarray, temperature: float, target: float = 1.0) -> float:
+    """Mean cross-entropy; the true language has ``target``, the others share the rest."""
+    v = logit / temperature
+    v = v - v.max(axis=1, keepdims=True)
+    logp = v - np.log(np.exp(v).sum(axis=1, keepdims=True))
+    own, rest = logp[np.arange(len(y)), y], (1 - target) / max(1, logp.shape[1] - 1)
+    return -float(np.mean((target - rest) * own + rest * logp.sum(axis=1)))
+
 
-    def loss(t: float) -> float:
-        v = logit / t
-        top = v.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(v - top).sum(axis=1)) + top[:, 0] - v[np.arange(len(v)), y[apart]]))
+def temperature_of(logit: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of the least log loss on documents kept apart.
 
-    best = min(heat, key=loss) if len(logit) else 1.0
-    return Model(names, (scale * w * idf[:, None]).astype(np.float32), idf.astype(np.float32), bias, float(best))
+    Of n documents the true language is given (n + 1) / (n + languages), as one more document of each would
+    have it: were all of them right, no temperature would be low enough for certainty.
+    """
+    scale = float(np.std(logit - logit.mean(axis=1, keepdims=True)))
+    if not scale:
+        return 1.0
+    target, heats = (len(y) + 1) / (len(y) + logit.shape[1]), scale * np.exp(np.linspace(-8, 8, 321))
+    losses = [log_loss(logit, y, t, target) for t in heats]
+    at = int(np.argmin(losses))
+    return float(heats[at]) if 0 < at < len(heats) - 1 else 1.0  # at an end only where the logits say nothing
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -164,14 +196,14 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         import pyarrow as pa
 
-        df, n = np.zeros(size, np.int64), 0
+        df, seen, n = np.zeros(size, np.int64), np.zeros(size, bool), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen = np.zeros(size, bool)
-                plain = normalize(text)
-                if plain:
-                    seen[codes(plain)] = True
-                df += seen
+                for part in parts_of(normalize(text)):
+                    seen[part] = True
+                hit = np.flatnonzero(seen)
+                df[hit] += 1
+                seen[hit] = False
                 n += 1
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], n))], names=["bucket", "n"])
@@ -198,9 +230,10 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_sample: int = MAX_SAMPLE)
         made = [counts_of(t) for t in rows["text"]]
         return {"doc_id": rows["doc_id"], "lang": rows["lang"], "buckets": [b for b, _ in made], "n": [n for _, n in made]}
 
-    got = sorted((r.doc_id, r.lang, r.buckets, r.n) for r in map_rows(texts, count, "doc_id long, lang string, buckets array<bigint>, n array<bigint>").collect())
+    got = map_rows(texts, count, "doc_id long, lang string, buckets array<int>, n array<int>").toArrow().sort_by("doc_id")
+    counts = [tuple(got[c][i].values.to_numpy().astype(np.int64) for c in ("buckets", "n")) for i in range(got.num_rows)]
     df, n_docs = document_frequencies(rows)
-    return train([(np.array(b, np.int64), np.array(n, np.int64)) for _, _, b, n in got], [r[1] for r in got], df, n_docs)
+    return train(counts, got["lang"].to_pylist(), df, n_docs)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -215,7 +248,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     found = identify(docs, fit(docs))
     held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -63,6 +64,62 @@ def test_edge_cases(spark):
     assert la.identify(docs.limit(0), model).collect() == []
 
 
+def plainly(model, text):
+    """The TF-IDF sum and the softmax, n-gram by n-gram; numbers that aren't digits count as word characters elsewhere only."""
+    import unicodedata
+
+    words = "".join(c if unicodedata.category(c)[0] in "LM" and (c.isalnum() or c == "_") else " " for c in (text or "").lower()).split()
+    if not words or not model.langs:
+        return "und", 0.0
+    points, total, mass = [ord(c) + 1 for c in f" {' '.join(words)} "], [0.0] * len(model.langs), 0.0
+    for size in (1, 2, 3):
+        for at in range(len(points) - size + 1):
+            code = 0
+            for p in points[at : at + size]:
+                code = (code << 21 | p) % 2**64
+            bucket = code * 0x9E3779B97F4A7C15 % 2**64 >> 64 - la.BITS
+            mass += float(model.idf[bucket])
+            total = [t + float(w) for t, w in zip(total, model.table[bucket])]
+    z = [(t / mass + b) / model.temperature for t, b in zip(total, model.bias)]
+    p = [math.exp(x - max(z)) for x in z]
+    k = p.index(max(p))
+    return model.langs[k], p[k] / sum(p)
+
+
+def test_predictions_by_a_plain_sum(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = la.fit(docs)
+    for text in [r.text for r in docs.collect() if len(r.text or "") < 4000][:60] + ["Ⅷ a²b ½", "²", None, "naïve Ünïcode ß 三"]:
+        lang, score = model.predict(text)
+        want = plainly(model, text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4
+
+
+def test_temperature_lies_inside_its_range_and_lowers_the_loss():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 4, 4000)
+    logit = rng.normal(size=(4000, 4)) + 2.0 * np.eye(4)[y]
+    first, held = slice(0, 2000), slice(2000, 4000)
+    for scale in (0.02, 1.0, 50.0):
+        t = la.temperature_of(scale * logit[first], y[first])
+        assert abs(math.log(t / (scale / 2))) < 0.3  # two of four standard deviations: the true scale is 2
+        if scale != 1.0:
+            assert la.log_loss(scale * logit[held], y[held], t) < la.log_loss(scale * logit[held], y[held], 1.0)
+    sure = 0.001 * np.eye(4)[y[:80]]  # all right: certainty is bounded by the documents seen
+    t = la.temperature_of(sure, y[:80])
+    assert t < 0.001 and np.isclose(math.exp(0.001 / t) / (math.exp(0.001 / t) + 3), 81 / 84, atol=0.005)
+
+
+def test_fitted_temperature_is_calibrated_on_held_out_documents(spark):
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = la.fit(docs)
+    held = [r for r in docs.where("lang is not null and text is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and la.normalize(r.text)][:800]
+    logit, y = np.stack([model.logits(la.normalize(r.text)) for r in held]), np.array([model.langs.index(r.lang) for r in held])
+    assert la.log_loss(logit, y, model.temperature) < min(la.log_loss(logit, y, t * model.temperature) for t in (0.1, 10.0, 1 / model.temperature))
+
+
 def test_query_by_brute_force(spark):
     """Every row of the query is the fitted model's word on its text; held-out rows are told apart and mostly right."""
     import zlib
