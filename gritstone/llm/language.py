@@ -115,7 +115,7 @@ def _weighed(buckets: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.nd
 
 
 def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], df: np.ndarray, n_docs: int, seed: int = 3) -> Model:
-    """FTRL-proximal over mini-batches; one document in eight is kept for the temperature."""
+    """FTRL-proximal over mini-batches; one document in four is kept for the temperature."""
     names = sorted(set(langs))
     idf = np.log((1 + n_docs) / (1.0 + df)) + 1.0
     shape = (1 << BITS, len(names))
@@ -125,8 +125,8 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], df: np.
     order = np.arange(len(x))
     rng = np.random.default_rng(seed)
     rng.shuffle(order)
-    apart = order[: len(order) // 8] if len(order) >= 80 else order
-    rest = order[len(order) // 8 :] if len(order) >= 80 else order
+    apart = order[: len(order) // 4] if len(order) >= 80 else order
+    rest = order[len(order) // 4 :] if len(order) >= 80 else order
     scale = 200.0  # values sum to one per document; gradients are scaled so that ALPHA is a usual rate
     for _ in range(EPOCHS):
         rng.shuffle(rest)
@@ -171,13 +171,13 @@ def log_loss(logit: np.ndarray, y: np.ndarray, temperature: float, target: float
 def temperature_of(logit: np.ndarray, y: np.ndarray) -> float:
     """The temperature of the least log loss on documents kept apart.
 
-    Of n documents the true language is given (n + 1) / (n + languages), as one more document of each would
-    have it: were all of them right, no temperature would be low enough for certainty.
+    Of n documents the true language is given (n + 1) / (n + 2), as one more right and one wrong would have
+    it: were all of them right, no temperature would be low enough for certainty.
     """
     scale = float(np.std(logit - logit.mean(axis=1, keepdims=True)))
     if not scale:
         return 1.0
-    target, heats = (len(y) + 1) / (len(y) + logit.shape[1]), scale * np.exp(np.linspace(-8, 8, 321))
+    target, heats = (len(y) + 1) / (len(y) + 2), scale * np.exp(np.linspace(-8, 8, 321))
     losses = [log_loss(logit, y, t, target) for t in heats]
     at = int(np.argmin(losses))
     return float(heats[at]) if 0 < at < len(heats) - 1 else 1.0  # at an end only where the logits say nothing
