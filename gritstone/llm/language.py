@@ -223,8 +223,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_sample: int = MAX_SAMPLE)
         return Model([], np.zeros((1, 0)), np.zeros(1), np.zeros(0))
     each = max(1, min(max_docs, max_sample // n_langs))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))  # tasks keep their first ``each`` before the shuffle
-    chosen = ids.withColumn("place", place).where(F.col("place") <= each).select("doc_id").distinct()
-    texts = rows.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("doc_id", "one.lang", "one.text")
+    chosen = ids.withColumn("place", place).where(F.col("place") <= each).select("doc_id").distinct()  # max_sample ids, one more for each language at most
+    texts = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("doc_id", "one.lang", "one.text")
 
     def count(rows: dict) -> dict:
         made = [counts_of(t) for t in rows["text"]]

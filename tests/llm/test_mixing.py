@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gritstone.llm import mixing
 
@@ -23,8 +24,15 @@ def wanted(got, axis, temper=mixing.TEMPER):
     tokens = {}
     for r in got:
         tokens[r[axis]] = tokens.get(r[axis], 0) + r.n_tokens
-    raw = {v: (n / sum(tokens.values())) ** temper for v, n in tokens.items() if n}
-    return {v: x / sum(raw.values()) for v, x in raw.items()}
+    share = {v: n / sum(tokens.values()) for v, n in tokens.items() if n}
+    ratio = {v: x ** (temper - 1) / sum(y**temper for y in share.values()) for v, x in share.items()}
+    most = min(mixing.BOOST, max(1.0, *(r for r in ratio.values() if sum(share[w] for w in share if ratio[w] >= r) > mixing.RARE)))
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the level by halving
+        level = (low + high) / 2
+        want = {v: min(most * x, level * x**temper) for v, x in share.items()}
+        low, high = (level, high) if sum(want.values()) < 1 else (low, level)
+    return want
 
 
 def test_margins_reach_their_targets(spark):
@@ -48,7 +56,7 @@ def test_sampled_shares_of_a_corpus(spark):
         for v in want:  # a few texts are a thousand times the others: four deviations of the draw beside the 0.01
             draw = sum(r.n_tokens**2 * r.probability * (1 - r.probability) * ((r[axis] == v) - want[v]) ** 2 for r in got) ** 0.5 / total
             assert abs(want[v] - kept.get(v, 0)) < max(0.01, 4 * draw)
-    assert sum(r.n_tokens for r in got if r.selected) > 0.25 * sum(r.n_tokens for r in got)
+    assert sum(r.n_tokens for r in got if r.selected) > 0.4 * sum(r.n_tokens for r in got)
 
 
 def test_sample_keeps_columns_and_follows_probabilities(spark):
@@ -61,6 +69,29 @@ def test_sample_keeps_columns_and_follows_probabilities(spark):
     assert zero.n_tokens == 0 and zero.source == "s1"
 
 
+@pytest.mark.parametrize("tokens", [(10**9, 10**9, 10**9), (10**9, 10**9, 4 * 10**9), (10**9, 3 * 10**8, 10**6)])
+def test_a_stray_value_leaves_the_sample_as_it_is(spark, tokens):
+    cells = [("a", "en", "prose"), ("b", "de", "prose"), ("c", "en", "table")]
+    schema = "source string, lang string, topic string, tokens long"
+
+    def kept(rows):
+        raked = mixing.rake(spark.createDataFrame(rows, schema))
+        got = raked.collect()
+        return sum(r.tokens * r.probability for r in got) / sum(r.tokens for r in got), mixing.residual(raked)
+
+    plain = [(*c, t) for c, t in zip(cells, tokens)]
+    before, gap = kept(plain)
+    after, stray_gap = kept(plain + [("stray", "en", "prose", 200)])
+    assert before >= 0.9 / mixing.BOOST - 1e-9 and abs(after - before) < 0.01 * before
+    assert abs(gap - stray_gap) < 0.001
+
+
+def test_residual_of_a_corpus_is_small(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = mixing.calibrate(docs).groupBy(*mixing.AXES).agg(F.sum("n_tokens").alias("tokens"), F.max("probability").alias("probability"))
+    assert mixing.residual(found) < 0.001
+
+
 def test_shuffled_sums_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame(rows(), SCHEMA)
     want = sorted((r.doc_id or -1, round(r.probability, 9)) for r in mixing.calibrate(df, rounds=6).collect())
