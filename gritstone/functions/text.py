@@ -27,6 +27,11 @@ QUOTES, PLAIN_QUOTES = "‘’“”", "''\"\""
 TOKEN, PART = r"[a-z0-9]+(?:[-._][a-z0-9]+)*", "[a-z0-9]+"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends (``trim`` takes blanks only)."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def words(items: list[str]) -> Column:
     return F.array(*(F.lit(w) for w in dict.fromkeys(items)))
 
@@ -112,7 +117,7 @@ def locator(title: Column, section: Column, first: Column, last: Column) -> Colu
 
 
 def question_key(text: Column) -> Column:
-    return F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
+    return F.regexp_replace(F.lower(strip(text)), r"(?U)\s+", " ")
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:

@@ -15,6 +15,7 @@ from gritstone.operators import governance as G
 from gritstone.operators import retrieval as O
 from gritstone.sources import keyword_index as X
 from gritstone.sources import table
+from gritstone.sources.scratch import own_folder
 
 GATE, SAMPLE = 0.2, 40
 PRICED = [("assistant", 1), ("user-2025", 2), ("sys", 3), ("mock", 4)]
@@ -68,7 +69,7 @@ def question_checks(spark, sf):
     asked = turns(spark, sf).withColumn("text", text)
     return asked.select(
         "conv_id", "turn", C.names_something(F.col("text")).alias("names_something"), C.names_nothing(F.col("text")).alias("names_nothing"), F.col("text").rlike(C.SUSPECT_MARKER).alias("suspect"),
-        ((F.trim("text") != "") & (F.length("text") <= 2000) & F.col("turn").between(1, 50)).alias("valid"),
+        ((T.strip("text") != "") & (F.length("text") <= 2000) & F.col("turn").between(1, 50)).alias("valid"),
     )
 
 
@@ -201,7 +202,7 @@ def index_manifest(spark, sf):
 
 def json_lines(spark, sf):
     """Documents written as JSON lines and read back."""
-    path = f"{X.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/lines-{uuid.uuid4().hex}"
     R.documents(spark, sf).write.json(path)
     back = spark.read.schema("id long, text string, lang string, source string").json(path)
     return back.select("id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "lang")
@@ -250,7 +251,7 @@ SQL = {
     "q_question_checks": f"""WITH a AS (SELECT conv_id, turn, {_ASKED} AS q FROM conversations), w AS (SELECT *, {_WORDS.format("(),.?:;''\"")} AS t, {_WORDS.format("(),.?:;")} AS u FROM a)
 SELECT conv_id, turn, regexp_matches(q, '{_QUOTED}|''[^'']{{8,}}''') OR len(list_filter(t, lambda x: NOT list_contains([{", ".join(f"'{g}'" for g in C.GENERIC)}], lower(x)) AND regexp_matches(x, '^[A-Z]|[A-Z].*[A-Z]|[0-9].*[A-Za-z]|[A-Za-z].*[0-9]'))) > 0 AS names_something,
   regexp_matches(q, '{C.BACK_REFERENCES}') AND NOT regexp_matches(q, '{_QUOTED}') AND len(list_filter(u, lambda x: regexp_matches(x, '^[A-Z]'))) = 0 AS names_nothing, regexp_matches(q, '{C.SUSPECT_MARKER}') AS suspect,
-  trim(q) <> '' AND length(q) <= 2000 AND turn BETWEEN 1 AND 50 AS valid FROM w""",
+  regexp_matches(q, '\\S') AND length(q) <= 2000 AND turn BETWEEN 1 AND 50 AS valid FROM w""",
     "q_prices": """WITH m AS (SELECT DISTINCT CASE WHEN conv_id % 50 = 0 THEN 'mock:other' ELSE CASE WHEN conv_id % 4 = 0 THEN 'mock:' ELSE '' END || coalesce(role, '') || CASE WHEN conv_id % 3 = 0 THEN '-2025-' || (turn % 9) ELSE '' END END AS model FROM conversations),
 n AS (SELECT model, regexp_replace(model, '^[^:]*:', '') AS bare, CASE WHEN contains(model, ':') THEN split_part(model, ':', 1) END AS provider FROM m), p AS (SELECT * FROM (VALUES ('assistant', 1), ('user-2025', 2), ('sys', 3), ('mock', 4)) AS v(key, place)),
 l AS (SELECT model, key, place, CASE WHEN key = model THEN 1 WHEN key = bare THEN 2 WHEN starts_with(bare, key) OR starts_with(key, bare) THEN 3 WHEN key = provider THEN 4 END AS level FROM n, p)

@@ -141,7 +141,7 @@ def near_dup_pairs(spark, sf):
 
 def dataset_validation(spark, sf):
     found = pairs(spark, sf)
-    blank = F.coalesce(F.trim("answer"), F.lit("")) == ""
+    blank = F.coalesce(T.strip("answer"), F.lit("")) == ""
     one = found.agg(F.count("*").alias("total"), F.sum(blank.cast("long")).alias("missing_answers"), F.countDistinct(T.question_key("question")).alias("distinct_questions"))
     ratio = F.col("missing_answers") / F.col("total")
     return one.withColumns({"missing_ratio": F.round(ratio, 6), "ratio_in_range": (ratio >= 0.05) & (ratio <= 0.30), "size_in_range": F.col("total").between(50, 200)})
@@ -189,7 +189,7 @@ _LEDGER = "ledger AS (SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 'veri
 _LABELLED = "lab AS (SELECT l.*, lang, n_chars::DOUBLE AS score FROM labels l JOIN documents USING (doc_id))"
 _PAIRS = "turns AS (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), pairs AS (SELECT conv_id || '-' || turn AS id, text AS question, answer FROM turns WHERE role = 'user')"
 _REPEATED = "repeated AS (SELECT id, question FROM pairs UNION ALL SELECT id || '-again', '  ' || question || chr(10) || ' ' FROM pairs WHERE CAST(split_part(id, '-', 1) AS BIGINT) % 20 = 0 UNION ALL SELECT id || '-more', question || ' indeed' FROM pairs WHERE CAST(split_part(id, '-', 1) AS BIGINT) % 20 = 1)"
-_QKEY = "regexp_replace(trim(lower(question)), '\\s+', ' ', 'g')"
+_QKEY = "trim(regexp_replace(lower(question), '\\s+', ' ', 'g'))"
 _USAGE = "usage AS (SELECT conv_id, turn, role AS model, CASE WHEN role = 'assistant' THEN 0 ELSE t END AS tokens_in, CASE WHEN role = 'assistant' THEN t ELSE 0 END AS tokens_out FROM (SELECT *, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS t FROM conversations))"
 
 SQL = {
@@ -207,7 +207,7 @@ SQL = {
     "q_status_counts": f"WITH {_LEDGER}, s AS (SELECT lang, coalesce(status, 'draft') AS status FROM documents LEFT JOIN latest ON pair_id = doc_id) SELECT lang, status, grouping(lang, status)::BIGINT AS level, count(*) AS n FROM s GROUP BY GROUPING SETS ((lang), (status), ())",
     "q_dup_questions": f"WITH {_PAIRS}, {_REPEATED} SELECT {_QKEY} AS question, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM repeated GROUP BY 1 HAVING n > 1",
     "q_near_dup_pairs": f"WITH {_PAIRS}, {_REPEATED}, s AS (SELECT min(id) AS id, x FROM (SELECT id, list_sort({R.SET_SQL.format('coalesce(question, chr(32))')}) AS x FROM repeated) WHERE len(x) > 0 GROUP BY x), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.x, b.x))::DOUBLE AS i, len(a.x) + len(b.x) AS n FROM s a JOIN s b ON a.id < b.id) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM j WHERE i / (n - i) >= 0.75",
-    "q_dataset_validation": f"WITH {_PAIRS}, o AS (SELECT count(*) AS total, count(*) FILTER (trim(coalesce(answer, '')) = '') AS missing_answers, count(DISTINCT {_QKEY}) AS distinct_questions FROM pairs) SELECT *, round(missing_answers / total, 6) AS missing_ratio, missing_answers / total BETWEEN 0.05 AND 0.30 AS ratio_in_range, total BETWEEN 50 AND 200 AS size_in_range FROM o",
+    "q_dataset_validation": f"WITH {_PAIRS}, o AS (SELECT count(*) AS total, count(*) FILTER (regexp_replace(coalesce(answer, ''), '\\s+', '', 'g') = '') AS missing_answers, count(DISTINCT {_QKEY}) AS distinct_questions FROM pairs) SELECT *, round(missing_answers / total, 6) AS missing_ratio, missing_answers / total BETWEEN 0.05 AND 0.30 AS ratio_in_range, total BETWEEN 50 AND 200 AS size_in_range FROM o",
     "q_cost_by_model": f"WITH {_USAGE}, p(model, a, b) AS (VALUES {', '.join(f'({m!r}, {a}::DOUBLE, {b}::DOUBLE)' for m, a, b in PRICES)}) SELECT model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(tokens_in) * any_value(a) / 1e6 + sum(tokens_out) * any_value(b) / 1e6, 6) AS cost FROM usage LEFT JOIN p USING (model) GROUP BY model",
     "q_budget_breach": f"WITH {_USAGE}, r AS (SELECT conv_id, turn, sum(tokens_in + tokens_out) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS total FROM usage) SELECT conv_id, min(turn) AS turn, min(total) AS total FROM r WHERE total > {BUDGET} GROUP BY conv_id",
     "q_metric_regression_gate": f"WITH {_LABELLED}, n AS (SELECT lang, avg(quality) AS now FROM lab WHERE doc_id % 2 = 1 GROUP BY lang), b AS (SELECT lang, avg(quality) AS base FROM lab WHERE doc_id % 2 = 0 GROUP BY lang) SELECT lang, round(now, 6) AS now, round(base, 6) AS base, round(now - base, 6) AS delta, CASE WHEN now IS NULL OR base IS NULL THEN 'n/a' WHEN now - base < -0.02 THEN 'regression' WHEN now < 0.85 THEN 'fail' ELSE 'pass' END AS verdict FROM n FULL JOIN b USING (lang)",

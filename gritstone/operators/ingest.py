@@ -47,7 +47,7 @@ def section_paths(blocks: DataFrame, deepest: int = 4) -> DataFrame:
 
 
 def is_fragment(text: Column) -> Column:
-    return (F.length(F.trim(text)) < 20) & ~text.rlike("[A-Za-z]{3,}")
+    return (F.length(T.strip(text)) < 20) & ~text.rlike("[A-Za-z]{3,}")
 
 
 def merge_runs(blocks: DataFrame, same: Column, by: str, order: str) -> DataFrame:

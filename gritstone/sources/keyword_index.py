@@ -6,9 +6,6 @@ sorted by term within files), ``terms`` (grp, term, df, idf, avgdl) and ``manife
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -18,22 +15,9 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import text as T
 from gritstone.sources import spread
+from gritstone.sources.scratch import shared_folder
 
 EPSILON = 0.25
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; on a single machine, where it is unset, one of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="gritstone-index-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    return f"file://{_own[0]}"
 
 
 @dataclass
