@@ -27,6 +27,15 @@ def chunk_report(spark, sf):
     return C.report(C.chunk(R.documents(spark, sf)))
 
 
+def chunk_overlap(spark, sf):
+    return C.overlap_report(C.chunk(R.documents(spark, sf)))
+
+
+def concatenated(spark, sf):
+    """Chunks put together again."""
+    return C.concatenate(C.chunk(R.documents(spark, sf))).select(F.col("id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("chars"))
+
+
 def top_texts(spark, sf):
     hits = O.ranked(R.sparse_hits(spark, sf), R.K).select("qid", "id", "rank")
     return hits.join(R.documents(spark, sf).select("id", "text"), "id")
@@ -107,7 +116,7 @@ def markdown_blocks(spark, sf):
 
 
 QUERIES = {
-    "q_units": units, "q_chunks": chunks, "q_chunk_report": chunk_report, "q_context_pack": context_pack, "q_extractive_answer": extractive_answer, "q_checked_claims": checked_claims, "q_supported_ratio": supported_ratio,
+    "q_units": units, "q_chunks": chunks, "q_chunk_report": chunk_report, "q_chunk_overlap": chunk_overlap, "q_concatenated": concatenated, "q_context_pack": context_pack, "q_extractive_answer": extractive_answer, "q_checked_claims": checked_claims, "q_supported_ratio": supported_ratio,
     "q_typography": typography, "q_furniture": furniture, "q_reading_order": reading_order, "q_body_size": body_size, "q_block_offsets": block_offsets, "q_html_title": html_title, "q_html_blocks": html_blocks, "q_markdown_blocks": markdown_blocks,
 }
 
@@ -157,6 +166,10 @@ SQL = {
     "q_units": f"WITH {_UNITS} SELECT doc_id, pos, md5(unit) AS unit_md5, tokens FROM units",
     "q_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks",
     "q_chunk_report": f"WITH RECURSIVE {_CHUNKS} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, min(token_count) AS least_tokens, max(token_count) AS most_tokens, round(avg(token_count), 6) AS mean_tokens FROM chunks",
+    "q_chunk_overlap": f"""WITH RECURSIVE {_CHUNKS}, t AS (SELECT doc_id, k, regexp_extract_all(text, '\\S+') AS b, lag(regexp_extract_all(text, '\\S+')) OVER (PARTITION BY doc_id ORDER BY k) AS a FROM kept),
+o AS (SELECT coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda n: a[len(a) - n + 1:] = b[1:n])), 0) AS words FROM t WHERE a IS NOT NULL)
+SELECT count(*) AS pairs, round(avg((words > 0)::INT::DOUBLE), 6) AS share, round(avg(words) FILTER (words > 0), 6) AS mean_words FROM o""",
+    "q_concatenated": f"WITH RECURSIVE {_CHUNKS}, u AS (SELECT doc_id, string_agg(unit, ' ' ORDER BY pos) AS text FROM units JOIN (SELECT doc_id, max(b) AS b FROM kept GROUP BY doc_id) USING (doc_id) WHERE pos < b GROUP BY doc_id) SELECT doc_id, md5(text) AS text_md5, length(text)::BIGINT AS chars FROM u",
     "q_context_pack": f"WITH RECURSIVE {_CONTEXT} SELECT qid, id, rank, marker, cost FROM context",
     "q_extractive_answer": f"WITH RECURSIVE {_ANSWERS} SELECT * FROM answers",
     "q_supported_ratio": f"WITH asked AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS evidence FROM conversations WHERE role = 'user' GROUP BY conv_id), cited AS (SELECT conv_id, turn, coalesce(text, '') AS claim, evidence FROM conversations LEFT JOIN asked USING (conv_id) WHERE role = 'assistant') SELECT conv_id, turn, coverage, numbers_ok, numbers_ok AND coverage >= {A.COVERAGE} AS supported FROM ({_CHECK})",

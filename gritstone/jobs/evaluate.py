@@ -9,6 +9,7 @@ from gritstone.functions import text as T
 from gritstone.jobs import retrieve as R
 from gritstone.operators import evaluation as E
 from gritstone.operators import governance as G
+from gritstone.operators import groups as S
 from gritstone.operators import retrieval as O
 from gritstone.sources import table
 
@@ -139,6 +140,12 @@ def near_dup_pairs(spark, sf):
     return G.similar_pairs(sets, 0.75).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def near_dup_groups(spark, sf):
+    """Each question's class of equal ones, group of similar ones, and the classes similar to its own."""
+    sets = repeated(spark, sf).select("id", G.question_items(F.col("question")).alias("items"))
+    return S.similar_groups(sets, 0.75)
+
+
 def dataset_validation(spark, sf):
     found = pairs(spark, sf)
     blank = F.coalesce(T.strip("answer"), F.lit("")) == ""
@@ -174,7 +181,7 @@ def regression_gate(spark, sf):
 QUERIES = {
     "q_known_item_metrics": known_item_metrics, "q_fusion_sweep": fusion_sweep, "q_best_config": best_config, "q_stratified_split": split, "q_refusal_confusion": refusal_confusion, "q_gate_thresholds": gate_thresholds,
     "q_score_quantiles": score_quantiles, "q_auroc": auroc, "q_bootstrap": bootstrap, "q_ledger_latest": ledger_latest, "q_verified_semi": verified, "q_unknown_anti": unknown, "q_status_counts": status_counts,
-    "q_dup_questions": dup_questions, "q_near_dup_pairs": near_dup_pairs, "q_dataset_validation": dataset_validation, "q_cost_by_model": cost_by_model, "q_budget_breach": budget_breach, "q_metric_regression_gate": regression_gate,
+    "q_dup_questions": dup_questions, "q_near_dup_pairs": near_dup_pairs, "q_near_dup_groups": near_dup_groups, "q_dataset_validation": dataset_validation, "q_cost_by_model": cost_by_model, "q_budget_breach": budget_breach, "q_metric_regression_gate": regression_gate,
 }
 
 _EXPECTED = "expected AS MATERIALIZED (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0)"
@@ -207,6 +214,11 @@ SQL = {
     "q_status_counts": f"WITH {_LEDGER}, s AS (SELECT lang, coalesce(status, 'draft') AS status FROM documents LEFT JOIN latest ON pair_id = doc_id) SELECT lang, status, grouping(lang, status)::BIGINT AS level, count(*) AS n FROM s GROUP BY GROUPING SETS ((lang), (status), ())",
     "q_dup_questions": f"WITH {_PAIRS}, {_REPEATED} SELECT {_QKEY} AS question, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM repeated GROUP BY 1 HAVING n > 1",
     "q_near_dup_pairs": f"WITH {_PAIRS}, {_REPEATED}, s AS (SELECT min(id) AS id, x FROM (SELECT id, list_sort({R.SET_SQL.format('coalesce(question, chr(32))')}) AS x FROM repeated) WHERE len(x) > 0 GROUP BY x), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.x, b.x))::DOUBLE AS i, len(a.x) + len(b.x) AS n FROM s a JOIN s b ON a.id < b.id) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM j WHERE i / (n - i) >= 0.75",
+    "q_near_dup_groups": f"""WITH RECURSIVE {_PAIRS}, {_REPEATED}, w AS (SELECT id, k, list_sort(list_distinct(list_filter(regexp_extract_all(k, '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains([{", ".join(f"'{w}'" for w in G.QUESTION_STOPWORDS)}], w)))) AS x FROM (SELECT id, trim(regexp_replace(lower(coalesce(question, '')), '\\s+', ' ', 'g')) AS k FROM repeated)),
+c AS MATERIALIZED (SELECT id, x, min(id) OVER (PARTITION BY x) AS class_id FROM (SELECT id, CASE WHEN len(x) > 0 THEN x ELSE ['=' || k] END AS x FROM w)),
+s AS MATERIALIZED (SELECT DISTINCT class_id, x FROM c), j AS MATERIALIZED (SELECT a.class_id AS a, b.class_id AS b FROM s a JOIN s b ON a.class_id <> b.class_id WHERE len(list_intersect(a.x, b.x))::DOUBLE / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) >= 0.75),
+r AS (SELECT class_id AS a, class_id AS b FROM s UNION SELECT r.a, j.b FROM r JOIN j ON j.a = r.b)
+SELECT id, c.class_id, g.group_id, coalesce(l.links, 0) AS links FROM c JOIN (SELECT a AS class_id, min(b) AS group_id FROM r GROUP BY a) g USING (class_id) LEFT JOIN (SELECT a AS class_id, count(*) AS links FROM j GROUP BY a) l USING (class_id)""",
     "q_dataset_validation": f"WITH {_PAIRS}, o AS (SELECT count(*) AS total, count(*) FILTER (regexp_replace(coalesce(answer, ''), '\\s+', '', 'g') = '') AS missing_answers, count(DISTINCT {_QKEY}) AS distinct_questions FROM pairs) SELECT *, round(missing_answers / total, 6) AS missing_ratio, missing_answers / total BETWEEN 0.05 AND 0.30 AS ratio_in_range, total BETWEEN 50 AND 200 AS size_in_range FROM o",
     "q_cost_by_model": f"WITH {_USAGE}, p(model, a, b) AS (VALUES {', '.join(f'({m!r}, {a}::DOUBLE, {b}::DOUBLE)' for m, a, b in PRICES)}) SELECT model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(tokens_in) * any_value(a) / 1e6 + sum(tokens_out) * any_value(b) / 1e6, 6) AS cost FROM usage LEFT JOIN p USING (model) GROUP BY model",
     "q_budget_breach": f"WITH {_USAGE}, r AS (SELECT conv_id, turn, sum(tokens_in + tokens_out) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS total FROM usage) SELECT conv_id, min(turn) AS turn, min(total) AS total FROM r WHERE total > {BUDGET} GROUP BY conv_id",

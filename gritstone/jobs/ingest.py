@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from gritstone.functions import text as T
 from gritstone.jobs import answer as A
 from gritstone.jobs import retrieve as R
+from gritstone.operators import chunking as C
 from gritstone.operators import ingest as I
 from gritstone.sources import table
 
+WINDOW, CARRY, SLIVER = 120, 30, 20
+
 
 def source_routes(spark, sf):
     """Pages by parser; some of them as files of other kinds."""
@@ -37,14 +41,30 @@ def section_paths(spark, sf):
     return found.select("doc", "ord", F.coalesce("level", F.lit(0)).alias("level"), F.array_join("path", " > ").alias("path"))
 
 
+def section_blocks(spark, sf):
+    """Lines as blocks with sections, pages of six lines and offsets; of seven lines one is code."""
+    n = F.size(F.split(F.trim("text"), " +"))
+    found = I.section_paths(lines(spark, sf).withColumn("level", F.when(n <= 3, n)))
+    kind = F.when(F.col("level").isNotNull(), "heading").when(F.col("ord") % 7 == 3, "code").otherwise("paragraph")
+    offset = F.sum(F.length("text") + 1).over(Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    return found.select("doc", "ord", "text", kind.alias("kind"), F.when(F.col("doc") % 9 > 0, F.floor(F.col("ord") / 6) + 1).alias("page"), F.col("path").alias("section_path"), F.coalesce(offset, F.lit(0)).alias("char_start"))
+
+
+def chunks_by_section(spark, sf):
+    """Small windows, packed by either strategy."""
+    out = None
+    for strategy in (C.TOKEN_WINDOW, C.HEADING_AWARE):
+        found = C.chunk_blocks(section_blocks(spark, sf), WINDOW, CARRY, SLIVER, strategy).select(F.lit(strategy).alias("strategy"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out.select("strategy", "doc", "chunk_index", "token_count", "units", "page_start", "page_end", F.array_join("section_path", " > ").alias("section"), "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def fragments(spark, sf):
     return lines(spark, sf).groupBy("doc").agg(F.count("*").alias("n"), F.sum(I.is_fragment(F.col("text")).cast("long")).alias("fragments"), F.count(I.heading_level(F.col("text"))).alias("headings"))
 
 
 def merged_blocks(spark, sf):
     """Blocks of one size and page side follow on into one, unless the one before ends a sentence."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc").orderBy("ord")
     b = A.blocks(spark, sf).withColumn("ord", F.col("page") * A.PAGE_LINES + F.col("y"))
     same = (F.lag("size").over(w) == F.col("size")) & (F.lag("x0").over(w) == F.col("x0")) & ~F.lag("text").over(w).rlike("[.!?]$")
@@ -83,7 +103,7 @@ def normalized_lines(spark, sf):
 
 QUERIES = {
     "q_source_routes": source_routes, "q_manifest_restore": manifest_restore, "q_section_paths": section_paths, "q_fragments": fragments, "q_merged_blocks": merged_blocks, "q_query_synthesis": query_synthesis,
-    "q_named_documents": named_documents, "q_verdict_json": verdicts, "q_feasibility": feasibility, "q_normalized_lines": normalized_lines,
+    "q_named_documents": named_documents, "q_verdict_json": verdicts, "q_feasibility": feasibility, "q_normalized_lines": normalized_lines, "q_chunks_by_section": chunks_by_section,
 }
 
 _LINES = "lines AS MATERIALIZED (SELECT doc, pos AS ord, text FROM (SELECT doc_id AS doc, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) WHERE trim(text) <> '')"
@@ -93,8 +113,25 @@ _HEAD = rf"length(text) <= 120 AND NOT regexp_matches(text, '[.,;]$') AND (({_NU
 _LEVELS = ", ".join(f"max(CASE WHEN level <= {k} THEN ord END) OVER w AS a{k}, last_value(CASE WHEN level = {k} THEN ord END IGNORE NULLS) OVER w AS o{k}, last_value(CASE WHEN level = {k} THEN text END IGNORE NULLS) OVER w AS h{k}" for k in range(1, 5))
 _PATH = ", ".join(f"CASE WHEN o{k} = a{k} AND {k} < coalesce(level, 5) THEN h{k} END" for k in range(1, 5))
 _PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_SECTIONS = f"""{_LINES}, l AS (SELECT *, CASE WHEN len(regexp_split_to_array(trim(text), ' +')) <= 3 THEN len(regexp_split_to_array(trim(text), ' +'))::INT END AS level FROM lines), s AS (SELECT *, {_LEVELS} FROM l WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+blocks AS MATERIALIZED (SELECT doc, ord, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, level, ord % 7 = 3 AS code, CASE WHEN doc % 9 > 0 THEN ord // 6 + 1 END AS page, list_filter([{_PATH}], lambda x: x IS NOT NULL) AS path,
+  coalesce(sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM s),
+pieces AS (SELECT doc, ord, page, path, off, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT *, CASE WHEN code THEN [text] ELSE {A._SENT.format("text")} END AS p FROM blocks WHERE level IS NULL AND text <> '')),
+spots AS (SELECT *, off + coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc, ord ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM pieces),
+cut AS (SELECT *, CASE WHEN length(piece) // 4 > {WINDOW} THEN list_filter(list_transform(range(0, length(piece), {4 * WINDOW}), lambda i: substr(piece, i + 1, {4 * WINDOW})), lambda p: regexp_matches(p, '\\S')) ELSE [piece] END AS p FROM spots),
+slices AS (SELECT doc, ord, k, page, path, start, unnest(p) AS unit, generate_subscripts(p, 1) AS j FROM cut),
+units AS MATERIALIZED (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY ord, k, j) - 1 AS pos, unit, greatest(1, length(unit) // 4) AS tokens, page, path, start, start + length(unit) AS fin FROM slices),
+sums AS MATERIALIZED (SELECT doc, list_concat([0::BIGINT], list(total ORDER BY pos)) AS s, list(coalesce(path[1], '') ORDER BY pos) AS top, count(*) AS n FROM (SELECT *, sum(tokens) OVER (PARTITION BY doc ORDER BY pos)::BIGINT AS total FROM units) GROUP BY doc),
+w AS (
+  SELECT doc, strategy, 0 AS k, 0::BIGINT AS a, (SELECT list_min(list_filter(range(1, n + 1), lambda e: e = n OR s[e + 2] > {WINDOW} OR (top[e + 1] <> top[1] AND (strategy = 'heading_aware' OR s[e + 1] >= {WINDOW / 2}))))) AS b, n, s, top FROM sums, (VALUES ('token_window'), ('heading_aware')) v(strategy)
+  UNION ALL
+  SELECT doc, strategy, k + 1, na, list_min(list_filter(range(na + 1, n + 1), lambda e: e = n OR s[e + 2] - s[na + 1] > {WINDOW} OR (top[e + 1] <> top[na + 1] AND (strategy = 'heading_aware' OR s[e + 1] - s[na + 1] >= {WINDOW / 2})))), n, s, top
+  FROM (SELECT *, greatest(a + 1, least(len(list_filter(s, lambda x: x <= s[b + 1] - {CARRY})) - 1, b)) AS na FROM w WHERE b < n)
+),
+texts AS (SELECT w.doc, strategy, w.k, count(*) AS units, trim(string_agg(unit, ' ' ORDER BY pos)) AS text, min(page) AS page_start, max(page) AS page_end, coalesce(first(path ORDER BY pos) FILTER (len(path) > 0), []) AS path, min(start) AS char_start, max(fin) AS char_end FROM w JOIN units u ON u.doc = w.doc AND pos >= a AND pos < b GROUP BY ALL)"""
 
 SQL = {
+    "q_chunks_by_section": f"WITH RECURSIVE {_SECTIONS} SELECT strategy, doc, row_number() OVER (PARTITION BY strategy, doc ORDER BY k) - 1 AS chunk_index, greatest(1, length(text) // 4) AS token_count, units, page_start, page_end, array_to_string(path, ' > ') AS section, char_start, char_end, md5(text) AS text_md5 FROM texts WHERE k = 0 OR length(text) // 4 >= {SLIVER}",
     "q_source_routes": f"SELECT {_ROUTE} AS parser, count(*) AS n FROM (SELECT CASE WHEN page_id % 7 > 0 THEN 'docs/v1.2/page' || page_id || ['.PDF', '.md', '.txt', '.htm', '.zip', ''][page_id % 7] ELSE url END AS url FROM pages) GROUP BY 1",
     "q_manifest_restore": "SELECT m.doc_id AS key, CASE WHEN f.doc_id IS NULL THEN 'missing' WHEN f.doc_id % 10 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents m LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) f USING (doc_id) WHERE lang = 'en' AND m.text IS NOT NULL",
     "q_section_paths": f"WITH {_LINES}, l AS (SELECT *, CASE WHEN len(regexp_split_to_array(trim(text), ' +')) <= 3 THEN len(regexp_split_to_array(trim(text), ' +'))::INT END AS level FROM lines), s AS (SELECT *, {_LEVELS} FROM l WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc, ord, coalesce(level, 0) AS level, coalesce(array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL), ' > '), '') AS path FROM s",

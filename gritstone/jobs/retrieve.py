@@ -9,9 +9,10 @@ from gritstone.functions import text as T
 from gritstone.functions import vectors as V
 from gritstone.operators import retrieval as R
 from gritstone.sources import keyword_index as X
-from gritstone.sources import table
+from gritstone.sources import spread, table
 
 K, SHORTLIST = 5, 30
+TEXT_DIMENSION = 64
 WEIGHTS = {"dense": 0.5, "sparse": 0.5}
 
 
@@ -87,6 +88,19 @@ def knn(kind, where=None):
     return query
 
 
+def embedded_texts(spark, sf):
+    """Every component of the documents' hashed vectors."""
+    made = V.embed(documents(spark, sf).select(F.col("id").alias("doc_id"), "text"), dimension=TEXT_DIMENSION, normal=False)
+    return made.select("doc_id", F.posexplode("v").alias("place", "x")).select("doc_id", F.col("place").cast("long").alias("place"), (F.round("x", 6) + F.lit(0.0)).alias("value")).where("value <> 0")
+
+
+def dense_text(spark, sf):
+    """Questions and documents as hashed vectors: neighbours share words."""
+    docs = V.embed(spread(documents(spark, sf).select("id", "text")), dimension=TEXT_DIMENSION, normal=False)
+    asked = V.embed(questions(spark, sf), "question", TEXT_DIMENSION, False).select("qid", F.col("v").alias("q"))
+    return R.nearest(docs, asked, K).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def dense_lists(spark, sf, k=SHORTLIST):
     """Vector neighbours under surrogate keys: a query's vector is that of the same number, an id is a document's."""
     asked = questions(spark, sf).select("qid").join(vectors(spark, sf).select(F.col("id").alias("qid"), F.col("v").alias("q")), "qid")
@@ -177,10 +191,24 @@ F1_SQL = f"""
 f1 AS (SELECT qid, s.id, s.rank AS before, {SET_SQL.format("coalesce(b.text, '')")} AS a, {SET_SQL.format("coalesce(d.text, '')")} AS c FROM short s JOIN benchmark b ON b.item_id = qid JOIN documents d ON d.doc_id = s.id),
 f1s AS (SELECT qid, id, before, CASE WHEN len(list_intersect(a, c)) > 0 THEN 2.0::DOUBLE * len(list_intersect(a, c)) / (len(a) + len(c)) ELSE 0 END AS score FROM f1)"""
 
+
+
+def embed_sql(name: str, source: str, key: str, text: str) -> str:
+    """CTEs up to ``name`` (key, v): hashed vectors of length one."""
+    moved = "(CASE WHEN (seed >> 32) % 2 = 0 THEN 1 ELSE -1 END) * (CAST('0x' || substr(h, 17 + 6 * i, 6) AS BIGINT) / 8388608.0::DOUBLE - 1.0::DOUBLE)"
+    return f"""
+{name}_t AS (SELECT {key}, unnest(CASE WHEN len(t) > 0 THEN t ELSE [''] END) AS token FROM (SELECT {key}, regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+') AS t FROM {source})),
+{name}_n AS (SELECT {key}, token, count(*) AS n FROM {name}_t GROUP BY ALL),
+{name}_h AS MATERIALIZED (SELECT token, h, CAST('0x' || left(h, 16) AS UBIGINT) AS seed FROM (SELECT token, sha256(token) AS h FROM (SELECT DISTINCT token FROM {name}_n))),
+{name}_m AS MATERIALIZED (SELECT token, CAST((seed % {TEXT_DIMENSION}::UBIGINT + i::UBIGINT) % {TEXT_DIMENSION}::UBIGINT AS BIGINT) AS place, {moved} AS amount FROM {name}_h, (SELECT unnest(range({V.BUMPS})) AS i)),
+{name}_s AS (SELECT {key}, place, sum(n * amount) AS x FROM {name}_n JOIN {name}_m USING (token) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT {key}, place, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {name}_s)"""
+
+
 QUERIES = {
     "q_tokens_top": tokens_top, "q_doc_ids": doc_ids, "q_index_stats": index_stats, "q_bm25_topk": bm25_topk, "q_bm25_filtered": bm25_filtered, "q_bm25_within_group": bm25_within_group,
     "q_knn_cosine": knn("cosine"), "q_knn_l2": knn("l2"), "q_knn_where_label": knn("cosine", "label = 3"), "q_rrf": fusion("rrf"), "q_weighted_sum": fusion("weighted"), "q_fuse_single": fusion("fuse"),
-    "q_rerank_f1": rerank_f1(), "q_rerank_threshold": rerank_f1(0.2), "q_hybrid": hybrid, "q_request_order_get": request_order, "q_index_delta": index_delta,
+    "q_rerank_f1": rerank_f1(), "q_rerank_threshold": rerank_f1(0.2), "q_hybrid": hybrid, "q_request_order_get": request_order, "q_index_delta": index_delta, "q_embed_texts": embedded_texts, "q_dense_text": dense_text,
 }
 
 SQL = {
@@ -198,5 +226,7 @@ SQL = {
     "q_rerank_threshold": f"WITH {bm25_sql()}, short AS ({top_sql('hits', SHORTLIST)}), {F1_SQL} SELECT qid, id, rank, round(score, 6) AS score FROM ({top_sql('f1s', K, 'qid', 'before')}) WHERE score >= 0.2 OR rank = 1",
     "q_hybrid": f"WITH {lists_sql()}, f AS (SELECT qid, id, {RRF} AS rrf, max(score) AS own, count(DISTINCT source) AS k FROM lists GROUP BY ALL), n AS (SELECT qid, count(DISTINCT source) AS n FROM lists GROUP BY qid), fs AS (SELECT qid, id, CASE WHEN n = 1 THEN own ELSE rrf END AS score FROM f JOIN n USING (qid)), short AS ({top_sql('fs', SHORTLIST)}), {F1_SQL} SELECT qid, id, rank, round(score, 6) AS score FROM ({top_sql('f1s', K, 'qid', 'before')})",
     "q_index_delta": f"WITH {bm25_sql()} SELECT qid, id, rank, round(score, 6) AS score FROM ({top_sql('hits', K)})",
+    "q_embed_texts": f"WITH {embed_sql('e', 'documents', 'doc_id', 'text')} SELECT doc_id, place, round(x, 6) + 0.0::DOUBLE AS value FROM e WHERE round(x, 6) <> 0",
+    "q_dense_text": f"WITH {embed_sql('d', 'documents', 'doc_id', 'text')}, {embed_sql('a', 'benchmark', 'item_id', 'text')}, s AS (SELECT item_id AS qid, doc_id AS id, greatest(0.0, least(1.0, sum(d.x * a.x))) AS score FROM a JOIN d USING (place) GROUP BY ALL), every AS (SELECT item_id AS qid, doc_id AS id, coalesce(score, 0.0::DOUBLE) AS score FROM benchmark CROSS JOIN documents LEFT JOIN s ON qid = item_id AND id = doc_id) SELECT qid, id, rank, round(score, 6) AS score FROM ({top_sql('every', K)})",
     "q_request_order_get": "SELECT rid, pos, doc_id AS id, length(text)::BIGINT AS chars FROM (SELECT rid, unnest([0, 1, 2])::BIGINT AS pos, unnest([rid * 7 + 3, rid, rid * 1000]) AS id FROM (SELECT DISTINCT conv_id AS rid FROM conversations)) JOIN documents ON doc_id = id",
 }

@@ -26,6 +26,19 @@ def duplicate_groups(questions: DataFrame) -> DataFrame:
     return keyed.groupBy("question").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), ",").alias("ids")).where("n > 1")
 
 
+# Function words that questions are compared without.
+QUESTION_STOPWORDS = (
+    "a an the is are was were be been being of in on at to for with by from as that this these those it its and or but if then does do did what which who how why"
+).split()
+
+
+def question_items(question: Column) -> Column:
+    """The words that a question is compared by; one without any is compared as a whole."""
+    key = T.question_key(F.coalesce(question, F.lit("")))
+    found = F.array_distinct(F.filter(F.regexp_extract_all(key, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(QUESTION_STOPWORDS) & (F.length(w) > 1)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(F.lit("="), key)))
+
+
 def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(id, items) -> pairs (a, b, jaccard) of distinct sets with Jaccard similarity ``least`` or more.
 
