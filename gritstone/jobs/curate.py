@@ -197,7 +197,7 @@ def corpus_digest(spark, sf):
 
 def index_manifest(spark, sf):
     index = R.keyword_index(spark, sf)
-    return index.manifest.select("documents").crossJoin(index.terms.agg(F.count("*").alias("terms"), F.sum("df").cast("long").alias("postings")))
+    return index.manifest.select("documents", "terms", "postings")
 
 
 def json_lines(spark, sf):

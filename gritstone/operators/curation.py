@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gritstone.functions import text as T
+from gritstone.operators.governance import upsert
 
 # Words that point back to a text, words that point into one, and sections without substance.
 BACK_REFERENCES = r"(?i)\b(the passage|the text|the study|the paper|this section|according to the (passage|text|excerpt|document))\b"
@@ -102,10 +103,13 @@ def relevance_gate(reranked: DataFrame, least: float) -> DataFrame:
     return best.withColumn("status", F.when(F.col("best") < least, "refused_no_context").otherwise("pass"))
 
 
-def upsert_vectors(old: DataFrame, new: DataFrame, dim: int) -> DataFrame:
-    """``old`` with the rows of ``new`` (id, v) in place of those of the same id; another dimension is an error."""
+def upsert_vectors(old: DataFrame, new: DataFrame, dim: int, order: Column | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` (id, v) in place of those of the same id; another dimension is an error.
+
+    Of new rows of one id the last by ``order`` counts, else the one of the greatest vector.
+    """
     checked = new.withColumn("v", F.when(F.size("v") == dim, F.col("v")).otherwise(F.raise_error(F.lit(f"a vector is not of dimension {dim}"))))
-    return old.join(new.select("id"), "id", "left_anti").unionByName(checked)
+    return upsert(old, checked, "id", order)
 
 
 def flatten_metadata(metadata: Column) -> Column:

@@ -15,9 +15,10 @@ def latest(ledger: DataFrame, key: str, order: Column) -> DataFrame:
     return ledger.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``old`` whose key is not in ``new``, and ``new``."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """Rows of ``old`` whose key is not in ``new``, and of ``new`` the last row of each key: by ``order``, else the greatest row."""
+    last = latest(new, key, F.struct(*(c for c in new.columns if c != key)) if order is None else order)
+    return old.join(last.select(key), key, "left_anti").unionByName(last)
 
 
 def duplicate_groups(questions: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
 """Keyword indexes as tables: built once for a corpus, found again by its hash, extended by new documents.
 
-An index is a folder with ``postings`` (grp, term, id, f, dl; a row with an empty term for each document,
-sorted by term within files), ``terms`` (grp, term, df, idf, avgdl) and ``manifest`` (corpus hash, documents).
+An index is made of segments, tables of ``postings`` (grp, term, id, f, dl; a row with an empty term for each document,
+sorted by term within files), and of tables of its vocabulary's size: ``counts`` (grp, term, df), ``sizes`` (grp, n, total),
+``terms`` (grp, term, df, idf, avgdl) and ``manifest``. A segment is written once; an extension writes
+one for the new documents and merges counts, and segments are put together when there are ``SEGMENTS``.
+
+An index is known by its corpus's hash and the version of the tokenizer. Whoever builds it writes to a folder of
+their own and publishes that last; of several published, all take the first.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -17,7 +23,7 @@ from gritstone.functions import text as T
 from gritstone.sources import spread
 from gritstone.sources.scratch import shared_folder
 
-EPSILON = 0.25
+EPSILON, SEGMENTS = 0.25, 8
 
 
 @dataclass
@@ -25,6 +31,14 @@ class KeywordIndex:
     postings: DataFrame
     terms: DataFrame
     manifest: DataFrame
+    counts: DataFrame
+    sizes: DataFrame
+    segments: int = 1
+
+
+def tokenizer_version() -> str:
+    """Another one for other patterns or stopwords."""
+    return hashlib.sha1("|".join((T.TOKEN, T.PART, *T.STOPWORDS)).encode()).hexdigest()[:12]
 
 
 def corpus_hash(docs: DataFrame) -> str:
@@ -45,63 +59,85 @@ def count_postings(docs: DataFrame) -> DataFrame:
     return counts.unionByName(docs.select("grp", F.lit("").alias("term"), "id", F.lit(0.0).alias("f")))
 
 
-def weigh_terms(postings: DataFrame) -> DataFrame:
+def weigh_terms(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """grp, term, df, idf, avgdl: negative idf values become EPSILON times the mean idf of the vocabulary."""
-    stats = postings.where("term = ''").groupBy("grp").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.where("term <> ''").groupBy("grp", "term").agg(F.count("*").cast("double").alias("df"))
-    raw = df.join(stats, "grp").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    stats = sizes.select("grp", F.col("n").cast("double").alias("n"), (F.col("total") / F.col("n")).alias("avgdl"))
+    raw = counts.withColumn("df", F.col("df").cast("double")).join(stats, "grp").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("grp").agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     return raw.join(mean, "grp").select("grp", "term", "df", "avgdl", idf.alias("idf"))
 
 
-def _write(spark: SparkSession, path: str, postings: DataFrame, known_as: str) -> None:
-    counts = spark.read.parquet(_kept(postings, f"{path}/counts"))
-    lengths = counts.groupBy("grp", "id").agg(F.sum("f").alias("dl"))
-    postings = counts.join(lengths, ["grp", "id"]).select("grp", "term", "id", "f", "dl")
-    # ranges of (term, id) split a frequent term over many files, and let a reader of few terms skip most of them
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-    own = spark.read.parquet(f"{path}/postings")
-    weigh_terms(own).write.parquet(f"{path}/terms")
-    own.where("term = ''").agg(F.lit(known_as).alias("corpus_hash"), F.count("*").alias("documents")).write.parquet(f"{path}/manifest")  # last: without it there is no index
+def _counts(postings: DataFrame) -> DataFrame:
+    return postings.where("term <> ''").groupBy("grp", "term").agg(F.count("*").alias("df"))
+
+
+def _sizes(postings: DataFrame) -> DataFrame:
+    return postings.where("term = ''").groupBy("grp").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
 
 
-def _kept(df: DataFrame, path: str) -> str:
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _load(spark: SparkSession, path: str) -> KeywordIndex:
-    return KeywordIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "manifest")))
+def _segment(docs: DataFrame, path: str) -> DataFrame:
+    """Postings of (id, grp, text), written."""
+    counts = _written(count_postings(docs), f"{path}/raw")
+    lengths = counts.groupBy("grp", "id").agg(F.sum("f").alias("dl"))
+    postings = counts.join(lengths, ["grp", "id"]).select("grp", "term", "id", "f", "dl")
+    # ranges of (term, id) split a frequent term over many files
+    return _written(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), f"{path}/postings")
 
 
-def build(docs: DataFrame, folder: str | None = None) -> KeywordIndex:
-    """The index of (id, grp, text) in ``folder``, built unless one of the same corpus is there."""
-    spark = docs.sparkSession
-    known_as = corpus_hash(docs)
-    path = f"{folder or shared_folder(spark)}/keywords-{known_as}"
-    try:
-        return _load(spark, path)
-    except AnalysisException:  # no such index yet, or one whose writer was lost
-        part = f"{path}-{uuid.uuid4().hex}" if _exists(spark, f"{path}/postings") else path
-        _write(spark, part, count_postings(docs), known_as)
-        return _load(spark, part)
+def _weighed(postings: DataFrame, counts: DataFrame, sizes: DataFrame, path: str, known_as: str, segments: int) -> KeywordIndex:
+    counts, sizes = _written(counts, f"{path}/counts"), _written(sizes, f"{path}/sizes")
+    terms = _written(weigh_terms(counts, sizes), f"{path}/terms")
+    made = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("documents"), F.count("*").alias("groups")).crossJoin(counts.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("postings")))
+    named = {"corpus_hash": known_as, "tokenizer": tokenizer_version(), "segments": segments}
+    manifest = _written(made.withColumns({k: F.lit(v) for k, v in named.items()}), f"{path}/manifest")
+    return KeywordIndex(postings, terms, manifest, counts, sizes, segments)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _published(spark: SparkSession, base: str) -> KeywordIndex:
+    path = min(r.path for r in spark.read.parquet(f"{base}/published").collect())  # a row for each that built it
+    postings, terms, manifest, counts, sizes = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "manifest", "counts", "sizes"))
+    return KeywordIndex(postings, terms, manifest, counts, sizes)
+
+
+def build(docs: DataFrame, folder: str | None = None) -> KeywordIndex:
+    """The index of (id, grp, text) in ``folder``, built unless one of the same corpus and tokenizer is there."""
+    spark, known_as = docs.sparkSession, corpus_hash(docs)
+    base = f"{folder or shared_folder(spark)}/keywords-{known_as}-{tokenizer_version()}"
     try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+        return _published(spark, base)
+    except AnalysisException:  # nobody has published it yet
+        path = f"{base}/{uuid.uuid4().hex}"
+        postings = _segment(docs, path)
+        _weighed(postings, _counts(postings), _sizes(postings), path, known_as, 1)
+        spark.range(1).select(F.lit(path).alias("path")).write.mode("append").parquet(f"{base}/published")
+        return _published(spark, base)
 
 
 def extend(index: KeywordIndex, docs: DataFrame, folder: str | None = None) -> KeywordIndex:
-    """An index with ``docs`` (id, grp, text) added; a document of a known id replaces the old one.
+    """An index with ``docs`` (id, grp, text) added; a document of a known id and group replaces the old one.
 
-    Only the new texts are read; old postings are copied and terms are weighed anew.
+    Only the new texts are read and only their postings written, old segments stay as they are; postings of
+    replaced documents are read for their counts, if there are any, and are passed over from then on.
     """
-    spark = docs.sparkSession
-    path = f"{folder or shared_folder(spark)}/keywords-delta-{uuid.uuid4().hex}"
-    old = index.postings.join(docs.select("id", "grp"), ["id", "grp"], "left_anti").select("grp", "term", "id", "f")
-    _write(spark, path, old.unionByName(count_postings(docs)), path.rsplit("-", 1)[1])
-    return _load(spark, path)
+    path = f"{folder or shared_folder(docs.sparkSession)}/keywords-delta-{uuid.uuid4().hex}"
+    new = _segment(docs, path)
+    keys = new.where("term = ''").select("id", "grp")
+    gone = index.postings.where("term = ''").join(keys, ["id", "grp"], "left_semi")
+    old, counts, sizes = index.postings, index.counts.unionByName(_counts(new)), index.sizes.unionByName(_sizes(new))
+    if gone.limit(1).count():
+        lost = _written(index.postings.join(keys, ["id", "grp"], "left_semi"), f"{path}/replaced")
+        old = index.postings.join(keys, ["id", "grp"], "left_anti")
+        counts = counts.unionByName(_counts(lost).withColumn("df", -F.col("df")))
+        sizes = sizes.unionByName(_sizes(lost).withColumn("n", -F.col("n")).withColumn("total", -F.col("total")))
+    counts = counts.groupBy("grp", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
+    merged, segments = old.unionByName(new), index.segments + 1
+    if segments > SEGMENTS:
+        merged, segments = _written(merged.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), f"{path}/compacted"), 1
+    return _weighed(merged, counts, sizes, path, path.rsplit("-", 1)[1], segments)
