@@ -10,7 +10,8 @@ from gritstone.jobs import answer as A
 from gritstone.jobs import retrieve as R
 from gritstone.operators import chunking as C
 from gritstone.operators import ingest as I
-from gritstone.sources import table
+from gritstone.sources import files as X
+from gritstone.sources import markup, table
 
 WINDOW, CARRY, SLIVER = 120, 30, 20
 
@@ -22,6 +23,29 @@ def source_routes(spark, sf):
     return table(spark, sf, "pages").groupBy(I.route(uri).alias("parser")).agg(F.count("*").alias("n"))
 
 
+def sources(spark, sf):
+    """Pages as files of several kinds; of eleven, one is no UTF-8, and of thirteen, one has no content."""
+    kinds = F.element_at(F.array(*(F.lit(x) for x in (".PDF", ".md", ".txt", ".HTM", ".zip", ".html", ".xhtml"))), (F.pmod("page_id", F.lit(7)) + 1).cast("int"))
+    path = F.concat(F.lit("docs/v1.2/page"), F.col("page_id").cast("string"), kinds)
+    html = F.col("html").cast("binary")
+    content = F.when(F.col("page_id") % 13 == 5, None).when(F.col("page_id") % 11 == 3, F.concat(html, F.unhex(F.lit("FF")))).otherwise(html)
+    return table(spark, sf, "pages").select(path.alias("path"), content.alias("content"))
+
+
+def parse_failures(spark, sf):
+    """Every source with what became of it."""
+    documents, _, failures = X.parse_sources(sources(spark, sf))
+    return documents.select("path", "parser", F.lit("parsed").alias("state")).unionByName(failures.select("path", "parser", F.regexp_replace(F.regexp_replace("error", "^[A-Za-z]*: ", ""), "^.utf-8.*", "no UTF-8").alias("state")))
+
+
+def inline_prose(spark, sf):
+    """Lines given inline markup of every kind, and freed of it."""
+    n = F.size(F.split("text", " "))
+    word = lambda k: F.element_at(F.split(F.regexp_replace("text", r"[\[\]*_`()!]", ""), " "), k)
+    marked = F.concat(F.lit("**"), word(1), F.lit("** _"), word(2), F.lit("_ ***"), word(3), F.lit("*** ["), word(1), F.lit("](http://x/"), word(2), F.lit(") `"), word(3), F.lit("` ![alt](pic.png) __"), word(2), F.lit("__"))
+    return lines(spark, sf).where(n >= 3).select("doc", "ord", F.md5(markup.inline_stripped(marked).cast("binary")).alias("plain_md5"))
+
+
 def manifest_restore(spark, sf):
     """English documents are the manifest, those of even id the files, every tenth of them altered."""
     docs = R.documents(spark, sf).where("text is not null")
@@ -103,7 +127,7 @@ def normalized_lines(spark, sf):
 
 QUERIES = {
     "q_source_routes": source_routes, "q_manifest_restore": manifest_restore, "q_section_paths": section_paths, "q_fragments": fragments, "q_merged_blocks": merged_blocks, "q_query_synthesis": query_synthesis,
-    "q_named_documents": named_documents, "q_verdict_json": verdicts, "q_feasibility": feasibility, "q_normalized_lines": normalized_lines, "q_chunks_by_section": chunks_by_section,
+    "q_named_documents": named_documents, "q_verdict_json": verdicts, "q_feasibility": feasibility, "q_normalized_lines": normalized_lines, "q_chunks_by_section": chunks_by_section, "q_parse_failures": parse_failures, "q_inline_prose": inline_prose,
 }
 
 _LINES = "lines AS MATERIALIZED (SELECT doc, pos AS ord, text FROM (SELECT doc_id AS doc, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) WHERE trim(text) <> '')"
@@ -130,7 +154,12 @@ w AS (
 ),
 texts AS (SELECT w.doc, strategy, w.k, count(*) AS units, trim(string_agg(unit, ' ' ORDER BY pos)) AS text, min(page) AS page_start, max(page) AS page_end, coalesce(first(path ORDER BY pos) FILTER (len(path) > 0), []) AS path, min(start) AS char_start, max(fin) AS char_end FROM w JOIN units u ON u.doc = w.doc AND pos >= a AND pos < b GROUP BY ALL)"""
 
+_BARE = "string_split(regexp_replace(text, '[][*_`()!]', '', 'g'), ' ')"
+
 SQL = {
+    "q_parse_failures": """SELECT 'docs/v1.2/page' || page_id || ['.PDF', '.md', '.txt', '.HTM', '.zip', '.html', '.xhtml'][page_id % 7 + 1] AS path, ['pdf', 'markdown', 'markdown', 'html', 'unsupported', 'html', 'html'][page_id % 7 + 1] AS parser,
+  CASE WHEN page_id % 7 IN (0, 4) THEN 'no parser for ' || ['pdf', '', '', '', 'unsupported'][page_id % 7 + 1] || ' sources' WHEN page_id % 13 = 5 OR html IS NULL THEN 'no content' WHEN page_id % 11 = 3 THEN 'no UTF-8' ELSE 'parsed' END AS state FROM pages""",
+    "q_inline_prose": f"WITH {_LINES}, w AS (SELECT doc, ord, {_BARE} AS w FROM lines WHERE len(string_split(text, ' ')) >= 3) SELECT doc, ord, md5(w[1] || ' ' || w[2] || ' ' || w[3] || ' ' || w[1] || ' ' || w[3] || '  ' || w[2]) AS plain_md5 FROM w",
     "q_chunks_by_section": f"WITH RECURSIVE {_SECTIONS} SELECT strategy, doc, row_number() OVER (PARTITION BY strategy, doc ORDER BY k) - 1 AS chunk_index, greatest(1, length(text) // 4) AS token_count, units, page_start, page_end, array_to_string(path, ' > ') AS section, char_start, char_end, md5(text) AS text_md5 FROM texts WHERE k = 0 OR length(text) // 4 >= {SLIVER}",
     "q_source_routes": f"SELECT {_ROUTE} AS parser, count(*) AS n FROM (SELECT CASE WHEN page_id % 7 > 0 THEN 'docs/v1.2/page' || page_id || ['.PDF', '.md', '.txt', '.htm', '.zip', ''][page_id % 7] ELSE url END AS url FROM pages) GROUP BY 1",
     "q_manifest_restore": "SELECT m.doc_id AS key, CASE WHEN f.doc_id IS NULL THEN 'missing' WHEN f.doc_id % 10 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents m LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) f USING (doc_id) WHERE lang = 'en' AND m.text IS NOT NULL",

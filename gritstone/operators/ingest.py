@@ -12,7 +12,7 @@ from gritstone.functions import text as T
 def route(uri: Column) -> Column:
     """The parser of a source: web addresses are html, else the suffix decides (a .txt is markdown)."""
     suffix = F.lower(F.regexp_extract(uri, r"(\.[^./]+)$", 1))
-    return F.when(uri.rlike("^https?://"), "html").when(suffix == ".pdf", "pdf").when(suffix.isin(".md", ".markdown", ".txt"), "markdown").when(suffix.isin(".html", ".htm"), "html").otherwise("unsupported")
+    return F.when(uri.rlike("^https?://"), "html").when(suffix == ".pdf", "pdf").when(suffix.isin(".md", ".markdown", ".mdx", ".txt"), "markdown").when(suffix.isin(".html", ".htm", ".xhtml"), "html").otherwise("unsupported")
 
 
 def restore(manifest: DataFrame, files: DataFrame) -> DataFrame:
