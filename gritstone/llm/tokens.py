@@ -294,7 +294,7 @@ def write_blocks(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=["shard", "block", "doc_ids", "n_ids", "data"])
 
         for batch in batches:
-            for part in slices(batch, 2048):
+            for part in slices(batch, 10_000):
                 rows = part.to_pydict()
                 for doc, enc in zip(rows["doc_id"], encoder.encode([t or "" for t in rows["text"]])):
                     if kept and size + len(enc) >= block_ids:
