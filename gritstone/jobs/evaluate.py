@@ -46,15 +46,19 @@ def known_item_metrics(spark, sf):
     return E.mean_metrics(m.withColumn("family", F.pmod("qid", F.lit(4)).cast("string")), "family").withColumn("family", F.coalesce("family", F.lit("ALL")))
 
 
-def fusion_sweep(spark, sf):
-    """All settings in one job: lists are joined with the settings, not looped over."""
+def per_query(spark, sf):
+    """Metrics of every setting and query in one job: lists are joined with the settings, not looped over."""
     lists = R.both_lists(spark, sf)
     grid = spark.createDataFrame(GRID, "label string, method string, k double, dense double, sparse double")
     w = F.when(F.col("source") == "dense", F.col("dense")).otherwise(F.col("sparse"))
     part = F.when(F.col("method") == "rrf", w / (F.col("k") + F.col("rank"))).otherwise(w * F.col("normalized"))
     fused = lists.crossJoin(F.broadcast(grid)).groupBy("label", "qid", "id").agg(F.sum(part).alias("score"))
     hits = fused.withColumn("rank", F.row_number().over(Window.partitionBy("label", "qid").orderBy(F.round("score", 6).desc(), "id"))).where("rank <= 10")
-    return E.query_metrics(hits, known_items(spark, sf), "label").groupBy("label").agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in ("recall_1", "recall_5", "recall_10", "mrr_10")))
+    return E.query_metrics(hits, known_items(spark, sf), "label")
+
+
+def fusion_sweep(spark, sf):
+    return per_query(spark, sf).groupBy("label").agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in ("recall_1", "recall_5", "recall_10", "mrr_10")))
 
 
 def best_config(spark, sf):
