@@ -100,7 +100,7 @@ def test_heading_levels(spark, text, args, want):
 
 def test_runs_keep_the_place_where_they_began(spark):
     def block(i, text, level=None, size=10.0, x0=50.0, y0=0.0, page=1):
-        return (1, page, i, text, level, size, x0, y0, y0 + 10)
+        return (1, page, i, text, level, size, x0, float(y0), float(y0 + 10))
 
     rows = [
         block(0, "A Long Title", 1, 16.0, y0=0), block(1, "Over Two Lines", 1, 16.4, y0=15), block(2, "2. Next", 1, 16.0, y0=30), block(3, "prose goes", y0=50), block(4, "on here.", y0=62), block(5, "then new", y0=75), block(6, "far away", y0=300),
