@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,25 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_scratch: str | None = None
+from gritstone.sources.scratch import own_folder
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+    """This application's folder in the shared one that the cluster names in ``spark.checkpoint.dir``; it goes when the
+    application ends.
 
     Where that is unset, a folder of this process is used on a single machine; on a cluster, whose
     executors would each write to a disk of their own, that is an error.
     """
-    global _own_scratch
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if _own_scratch is None:
-        _own_scratch = tempfile.mkdtemp(prefix="gritstone-")
-        atexit.register(shutil.rmtree, _own_scratch, True)
-    return f"file://{_own_scratch}"
+    return own_folder(spark)
 
 
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:

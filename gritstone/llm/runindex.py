@@ -50,7 +50,7 @@ BLOCK_BYTES = 2 << 20
 HOT_BLOCKS = 512
 SHARD_SYMBOLS = 3 << 19
 #: Bytes of all texts for each shard, and for each bucket of blocks.
-SHARD_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, BUCKET_BYTES, MAX_BUCKETS = 4 << 20, 16 << 20, 1 << 16
 _STEP = 1 << 20
 _POS = np.uint64((1 << 21) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -550,13 +550,18 @@ def _gone(block: Block, parts: int, shared, marks) -> np.ndarray:
     return (np.cumsum(cover[: len(block.bytes)] - np.concatenate((np.zeros(LENGTH, np.int64), cover[: max(0, len(block.bytes) - LENGTH)]))[: len(block.bytes)])) > 0
 
 
+def buckets_of(size: int, least: int) -> int:
+    """Buckets for texts of ``size`` bytes; from ``MAX_BUCKETS`` on, short of Spark's own limit of 100,000, buckets grow instead."""
+    return min(MAX_BUCKETS, max(least, size // BUCKET_BYTES))
+
+
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS, parts: int | None = None) -> DataFrame:
     """doc_id, n_bytes, removed spans and kept bytes of every document (columns RESULT).
 
     Shards and buckets are as many as the bytes of all texts ask for, so that each stays of one size.
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    parts, buckets = parts or 1 + size // SHARD_BYTES, max(shuffle_parts(docs.sparkSession), size // BUCKET_BYTES)
+    parts, buckets = parts or 1 + size // SHARD_BYTES, buckets_of(size, shuffle_parts(docs.sparkSession))
     blocks = pack_blocks(docs, block_bytes, buckets)
     shared = shared_anchors(blocks, parts, hot_blocks)
     of_block = bucketed(shared.groupBy("block").agg(F.collect_list(F.struct("part", "shared", "hot")).alias("shared")), "block", buckets, "runindex_shared")

@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -49,8 +50,8 @@ THRESHOLD = 6.5
 FLOOR = -14.0
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_VALUE)
 _PIECE = re.compile(r"[A-Za-z0-9]{%d,}" % ASSIGN_VALUE)
-#: Verdicts on runs that a worker remembers.
-_MEMORY = 1 << 18
+#: Bytes, about, of the verdicts on runs that a worker remembers.
+_MEMORY = 64 << 20
 _END = "$"
 
 
@@ -264,6 +265,7 @@ class Scorer:
     def __init__(self, automata: dict[int, Automaton], background: Background, threshold: float):
         self.automata, self.background, self.threshold = automata, background, threshold
         self.known: dict[str, tuple[tuple[int, int, float], ...]] = {}
+        self.held = 0
 
     def ratio(self, form: str) -> float:
         """The best automaton's log likelihood above the background's."""
@@ -275,13 +277,16 @@ class Scorer:
         if form in self.known:
             return self.known[form]
         scored = sorted((-self.ratio(form[a:b]), a - b, a, b) for a, b in candidates(form))
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, float]] = []  # apart from each other and in order: only the last that begins before b can reach beyond a
         for minus, _, a, b in scored:
-            if -minus > self.threshold and all(b <= x or y <= a for x, y, _ in out):
-                out.append((a, b, -minus))
-        if len(self.known) >= _MEMORY:
+            at = bisect_left(out, (b,))
+            if -minus > self.threshold and (not at or out[at - 1][1] <= a):
+                out.insert(at, (a, b, -minus))
+        self.held += len(form) + 64 * (1 + len(out))
+        if self.held > _MEMORY:
             self.known.clear()
-        self.known[form] = tuple(sorted(out))
+            self.held = len(form) + 64 * (1 + len(out))
+        self.known[form] = tuple(out)
         return self.known[form]
 
     def spans(self, text: str) -> list[tuple[int, int, int, float | None]]:

@@ -123,3 +123,7 @@ def test_wrong_samples_give_wrong_marks(monkeypatch):
 
 def test_empty_table(spark):
     assert ri.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_buckets_stay_below_what_spark_allows():
+    assert ri.buckets_of(0, 8) == 8 and ri.buckets_of(10**10, 8) == 10**10 // ri.BUCKET_BYTES and ri.buckets_of(10**14, 200) == ri.MAX_BUCKETS < 100_000

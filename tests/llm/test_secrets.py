@@ -86,3 +86,24 @@ def test_merging_keeps_the_language():
 
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_kept_spans_of_a_run_are_the_best_that_are_apart(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    scorer = secrets.Scorer.__new__(secrets.Scorer)
+    scorer.known, scorer.held, scorer.threshold = {}, 0, 0.0
+    scores: dict[str, float] = {}
+    scorer.ratio = lambda form: scores.setdefault(form, rng.uniform(-1, 1))
+    for _ in range(200):
+        run = "".join(rng.choice("aB3-") for _ in range(rng.randrange(8, 60)))
+        got, form, want = scorer.learned(run), secrets.symbols(run), []
+        for minus, _, a, b in sorted((-scorer.ratio(form[a:b]), a - b, a, b) for a, b in secrets.candidates(form)):
+            if minus < 0 and all(b <= x or y <= a for x, y, _ in want):
+                want.append((a, b, -minus))
+        assert got == tuple(sorted(want))
+    monkeypatch.setattr(secrets, "_MEMORY", 500)
+    for _ in range(50):
+        scorer.learned("".join(rng.choice("xY7") for _ in range(40)))
+    assert len(scorer.known) <= 5
