@@ -11,6 +11,7 @@ from gritstone.functions import text as T
 from gritstone.jobs import retrieve as R
 from gritstone.operators import claims as V
 from gritstone.operators import curation as C
+from gritstone.operators import gates as A
 from gritstone.operators import governance as G
 from gritstone.operators import retrieval as O
 from gritstone.sources import keyword_index as X
@@ -89,6 +90,37 @@ def versions(spark, sf):
     return rows.select("key", F.regexp_extract("key", "^(.*?)(v[0-9]+)?$", 1).alias("paper"), F.regexp_extract("key", "v([0-9]+)$", 1).alias("version"), (F.coalesce("n", F.lit(0)) >= 2000).alias("valid"))
 
 
+def newest_versions(spark, sf):
+    """Of each paper's manifest entries the newest."""
+    n = F.col("id") % 4
+    key = F.concat(F.lit("2401."), F.floor(F.col("id") / 3).cast("string"), F.when(n > 0, F.concat(F.lit("v"), (n * 4).cast("string"))).otherwise(""))
+    return A.newest_versions(R.documents(spark, sf).select(key.alias("key"), "id")).select("paper", "version", "id")
+
+
+def scores(spark, sf, half):
+    """Mean labels of the documents of each language as a run's metrics."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return rows.where(F.col("doc_id") % 2 == half).groupBy(F.coalesce("lang", F.lit("none")).alias("metric")).agg(F.round(F.avg("quality"), 9).alias("score"))
+
+
+def score_gate(spark, sf):
+    """One half's scores against thresholds and the other half's."""
+    thresholds = scores(spark, sf, 1).where("metric <> 'de'").select("metric", F.lit(0.5).alias("threshold"))
+    return A.gate(scores(spark, sf, 1), thresholds, scores(spark, sf, 0).where("metric <> 'fr'"))
+
+
+def gate_verdict(spark, sf):
+    return A.verdict(score_gate(spark, sf))
+
+
+def rejudged(spark, sf):
+    """Lexical verdicts of whole turns, of which a second judge has looked at the escalated ones of even conversations."""
+    first = V.judge(evidence(spark, sf).withColumn("claim", F.col("text"))).select("conv_id", "turn", "supported", "coverage", "reason", "escalate")
+    second = first.where("conv_id % 2 = 0").select("conv_id", "turn", (F.col("conv_id") % 4 == 0).alias("supported"), F.lit(0.91234).alias("score"), F.when(F.col("turn") % 2 == 1, "seen").alias("reason"))
+    found = A.judged_again(first, second, "conv_id", "turn")
+    return found.groupBy("escalate", "reason").agg(F.count("*").alias("n"), F.sum(F.col("supported").cast("long")).alias("supported"))
+
+
 def event_days(spark, sf):
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     day = F.to_date(F.substring(stamp, 1, 10))
@@ -231,7 +263,7 @@ QUERIES = {
     "q_logits": logits, "q_versions": versions, "q_event_days": event_days, "q_eligible": eligible, "q_spread_sample": spread_sample, "q_review_queue": review_queue, "q_undecided": undecided,
     "q_duplicate_members": duplicate_members, "q_first_seen": first_seen, "q_enriched": enriched, "q_category_means": category_means, "q_lowest_answerable": lowest, "q_relevance_gate": gated, "q_provenance": provenance,
     "q_first_acceptable": acceptable, "q_vectors_upsert": vectors_upsert, "q_metadata": metadata, "q_corpus_digest": corpus_digest, "q_index_manifest": index_manifest, "q_json_lines": json_lines, "q_store_ids": store_ids,
-    "q_prescreen_upsert": upserted, "q_prompts": prompts,
+    "q_prescreen_upsert": upserted, "q_newest_versions": newest_versions, "q_score_gate": score_gate, "q_gate_verdict": gate_verdict, "q_judged_again": rejudged, "q_prompts": prompts,
 }
 
 _TEXT = "coalesce(text, '')"
@@ -245,7 +277,12 @@ _SECTION = "['intro', 'References', 'Appendix A', 'Methods', ''][doc_id % 5 + 1]
 _ELIGIBLE = f"(SELECT doc_id AS id, source AS doc, {_SECTION} AS section, greatest(1, length({_TEXT}) // 4)::BIGINT AS token_count FROM documents WHERE greatest(1, length({_TEXT}) // 4) >= 150 AND NOT regexp_matches({_SECTION}, '(?i)reference|bibliograph|acknowledg|author|affiliation|appendix'))"
 _EVIDENCE = "SELECT a.conv_id, a.turn, coalesce(a.text, '') AS text, coalesce(e.evidence, '') AS evidence FROM conversations a LEFT JOIN (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn, text) AS evidence FROM conversations WHERE role = 'user' GROUP BY conv_id) e USING (conv_id) WHERE a.role = 'assistant'"
 
+_GATE = "s AS (SELECT coalesce(lang, 'none') AS metric, doc_id % 2 AS half, round(avg(quality), 9) AS score FROM labels JOIN documents USING (doc_id) GROUP BY ALL), g AS (SELECT metric, a.score, CASE WHEN metric <> 'de' THEN 0.5::DOUBLE END AS threshold, b.score AS base FROM (SELECT * FROM s WHERE half = 1) a LEFT JOIN (SELECT * FROM s WHERE half = 0 AND metric <> 'fr') b USING (metric)), t AS (SELECT metric, score, threshold, round(score - threshold, 9) AS delta, round(score - threshold, 9) >= 0 AS passes, base, round(score - base, 9) AS change, round(score - base, 9) < -0.02 AS regressed FROM g)"
+
 SQL = {
+    "q_newest_versions": "WITH k AS (SELECT '2401.' || (doc_id // 3) AS paper, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 * 4 ELSE 1 END::INT AS version, doc_id AS id FROM documents) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY paper ORDER BY version DESC, id DESC) = 1",
+    "q_score_gate": f"WITH {_GATE} SELECT * FROM t",
+    "q_gate_verdict": f"WITH {_GATE}, n AS (SELECT count(threshold) AS checked, count(base) AS compared, count(*) FILTER (NOT passes) AS below, count(*) FILTER (regressed) AS regressions FROM t) SELECT *, CASE WHEN checked = 0 THEN 'no metric has a threshold' WHEN regressions > 0 THEN 'FAIL (regression)' WHEN below > 0 THEN 'FAIL (below threshold)' ELSE 'PASS' END AS verdict, CASE WHEN checked = 0 THEN 3 WHEN regressions > 0 THEN 2 WHEN below > 0 THEN 1 ELSE 0 END AS code FROM n",
     "q_contained_claims": f"WITH e AS ({_EVIDENCE}), s AS (SELECT conv_id, turn, {R.SET_SQL.format('text')} AS w, {R.SET_SQL.format('evidence')} AS h FROM e), r AS (SELECT conv_id, turn, round(CASE WHEN len(w) > 0 THEN len(list_intersect(w, h))::DOUBLE / len(w) ELSE 0 END, 6) AS share FROM s) SELECT conv_id, turn, share, share >= 0.6 AS contained FROM r",
     "q_normal_texts": f"SELECT doc_id, md5({_SPACES}) AS spaces_md5, md5({_CODE}) AS code_md5, md5(CASE WHEN doc_id % 3 = 0 THEN {_CODE} ELSE {_SPACES} END) AS block_md5 FROM documents",
     "q_question_checks": f"""WITH a AS (SELECT conv_id, turn, {_ASKED} AS q FROM conversations), w AS (SELECT *, {_WORDS.format("(),.?:;''\"")} AS t, {_WORDS.format("(),.?:;")} AS u FROM a)

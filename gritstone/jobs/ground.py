@@ -105,7 +105,7 @@ def page_titles(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("doc"), named.alias("title"))
 
 
-def attributed(spark, sf):
+def named_pages(spark, sf):
     """Questions that name one page, two pages, a page by its short name in capitals, or none; every second pair of answers cites the page."""
     names = page_titles(spark, sf)
     then = names.select((F.col("doc") - 1).alias("qid"), F.col("title").alias("next"))
@@ -119,16 +119,26 @@ def attributed(spark, sf):
     )
     asked = q.select("qid", text.alias("question"))
     cited = asked.select("qid", F.posexplode(F.array(F.when(F.col("qid") % 8 < 4, F.col("qid")).otherwise(F.col("qid") + 1), F.col("qid"))).alias("place", "doc"))
+    return asked, cited, names
+
+
+def attributed(spark, sf):
+    """Named pages and wrongly cited ones of each question."""
+    asked, cited, names = named_pages(spark, sf)
     named = D.named_documents(asked, D.name_index(names)).groupBy("qid").agg(F.count("*").alias("named"))
     wrong = D.misattributed(asked, cited, names)
     return asked.select("qid").join(named, "qid", "left").join(wrong, "qid", "left").select("qid", F.coalesce("named", F.lit(0)).alias("named"), F.coalesce(F.size("wrong"), F.lit(0)).cast("long").alias("wrong"), "reason")
 
 
+def attribution_replay(spark, sf):
+    return D.replay(*named_pages(spark, sf))
+
+
 def title_frequency(spark, sf):
     return D.title_tokens(page_titles(spark, sf))
 
 
-QUERIES = {"q_rendered_context": rendered_context, "q_parsed_context": parsed_context, "q_answer_status": answer_status, "q_citations": citations, "q_attribution": attributed, "q_title_tokens": title_frequency}
+QUERIES = {"q_rendered_context": rendered_context, "q_parsed_context": parsed_context, "q_answer_status": answer_status, "q_citations": citations, "q_attribution": attributed, "q_title_tokens": title_frequency, "q_attribution_replay": attribution_replay}
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _TOKENS = "greatest(1, length({0}) // 4)"
@@ -178,6 +188,14 @@ tokens AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT DISTINCT f, un
 names AS MATERIALIZED (
   SELECT doc, {_FOLD.format("title")} AS phrase FROM titles
   UNION SELECT doc, head FROM (SELECT doc, {_FOLD.format("split_part(title, ':', 1)")} AS head FROM titles WHERE contains(title, ':')) LEFT JOIN tokens ON token = head WHERE contains(head, ' ') OR (length(head) >= {D.LONE} AND df = 1))"""
+_ATTRIBUTION = f"""WITH {_NAMES}, asked AS MATERIALIZED (
+  SELECT a.doc AS qid, {_FOLD.format("CASE a.doc % 4 WHEN 0 THEN 'What does ' || a.title || ' report?' WHEN 1 THEN 'How do ' || a.title || ' and ' || coalesce(b.title, 'others') || ' differ?' WHEN 2 THEN 'what does ' || split_part(a.title, ':', 1) || ' say?' ELSE 'Which pages are there?' END")} AS q
+  FROM titles a LEFT JOIN titles b ON b.doc = a.doc + 1),
+named AS (SELECT DISTINCT qid, doc FROM asked JOIN names ON phrase <> '' AND contains(' ' || q || ' ', ' ' || phrase || ' ')),
+one AS (SELECT qid, count(*) AS named, min(doc) AS target FROM named GROUP BY qid),
+cited AS (SELECT qid, 0 AS place, CASE WHEN qid % 8 < 4 THEN qid ELSE qid + 1 END AS doc FROM asked UNION ALL SELECT qid, 1, qid FROM asked),
+other AS (SELECT qid, target, title, min(place) AS place FROM cited JOIN one USING (qid) JOIN titles USING (doc) WHERE named = 1 AND cited.doc <> target GROUP BY ALL),
+reasons AS (SELECT qid, count(*) AS wrong, 'the question asks about "' || any_value(t.title) || '" but the answer cites a different document: ' || string_agg('"' || other.title || '"', '; ' ORDER BY place, other.title) AS reason FROM other JOIN titles t ON t.doc = target GROUP BY qid)"""
 
 SQL = {
     "q_rendered_context": f"WITH RECURSIVE {_RENDER} SELECT qid, md5(array_to_string(blocks, chr(10) || chr(10))) AS context_md5, total AS tokens, array_to_string(used, ',') AS used, array_to_string(dropped, ',') AS dropped FROM context",
@@ -189,14 +207,7 @@ SQL = {
   md5(CASE WHEN status = 'answered' THEN answer ELSE '{REFUSAL}' END) AS text_md5, CASE WHEN status = 'answered' AND unresolved > 0 THEN unresolved END AS unresolved_citations, NULL::BIGINT AS uncited_sentences,
   CASE WHEN status = 'answered' THEN claims END AS claims_checked, CASE WHEN status = 'answered' THEN supported END AS claims_supported FROM status""",
     "q_citations": f"WITH RECURSIVE {_CHAIN} SELECT qid, place, marker, id, known FROM cites",
-    "q_attribution": f"""WITH {_NAMES}, asked AS MATERIALIZED (
-  SELECT a.doc AS qid, {_FOLD.format("CASE a.doc % 4 WHEN 0 THEN 'What does ' || a.title || ' report?' WHEN 1 THEN 'How do ' || a.title || ' and ' || coalesce(b.title, 'others') || ' differ?' WHEN 2 THEN 'what does ' || split_part(a.title, ':', 1) || ' say?' ELSE 'Which pages are there?' END")} AS q
-  FROM titles a LEFT JOIN titles b ON b.doc = a.doc + 1),
-named AS (SELECT DISTINCT qid, doc FROM asked JOIN names ON phrase <> '' AND contains(' ' || q || ' ', ' ' || phrase || ' ')),
-one AS (SELECT qid, count(*) AS named, min(doc) AS target FROM named GROUP BY qid),
-cited AS (SELECT qid, 0 AS place, CASE WHEN qid % 8 < 4 THEN qid ELSE qid + 1 END AS doc FROM asked UNION ALL SELECT qid, 1, qid FROM asked),
-other AS (SELECT qid, target, title, min(place) AS place FROM cited JOIN one USING (qid) JOIN titles USING (doc) WHERE named = 1 AND cited.doc <> target GROUP BY ALL),
-reasons AS (SELECT qid, count(*) AS wrong, 'the question asks about "' || any_value(t.title) || '" but the answer cites a different document: ' || string_agg('"' || other.title || '"', '; ' ORDER BY place, other.title) AS reason FROM other JOIN titles t ON t.doc = target GROUP BY qid)
-SELECT qid, coalesce(named, 0) AS named, coalesce(wrong, 0) AS wrong, reason FROM asked LEFT JOIN one USING (qid) LEFT JOIN reasons USING (qid)""",
+    "q_attribution": f"{_ATTRIBUTION} SELECT qid, coalesce(named, 0) AS named, coalesce(wrong, 0) AS wrong, reason FROM asked LEFT JOIN one USING (qid) LEFT JOIN reasons USING (qid)",
+    "q_attribution_replay": f"{_ATTRIBUTION} SELECT count(*) AS answered, count(*) FILTER (named = 1) AS one_named, count(*) FILTER (named > 1) AS several_named, count(wrong) AS would_refuse FROM asked LEFT JOIN one USING (qid) LEFT JOIN reasons USING (qid)",
     "q_title_tokens": f"WITH {_NAMES} SELECT * FROM tokens",
 }

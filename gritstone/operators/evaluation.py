@@ -89,7 +89,7 @@ def bootstrap_interval(diffs: DataFrame, resamples: int = 1000, seed: int = 1337
             out = F.when(u < upto, F.lit(k)).otherwise(out)
         return out
 
-    # resamples beside each other in one row's array are summed task by task, a slice of rows at a time
+    # a row becomes a row for each resample; counts are summed in the task before anything is shuffled
     drawn = diffs.select("diff", F.transform(F.sequence(F.lit(1), F.lit(resamples)), times).alias("n"))
     sums = drawn.select("diff", F.posexplode("n").alias("resample", "n")).where("n > 0").groupBy("resample").agg(F.sum(F.col("n") * F.col("diff")).alias("s"), F.sum("n").alias("n"))
     means = sums.select((F.col("s") / F.col("n")).alias("score"))  # a resample that drew no row has no mean
