@@ -9,7 +9,8 @@ raises an error should a turn still differ.
 
 Edge cases: a null role or text is empty; turns are ordered by (turn, role, text), a null turn
 first; repeated rows are turns of their own; a null conv_id is a conversation like any other.
-A conversation is one output value, so its text must fit in one row.
+A conversation is one output value, so its text, of any length, must fit in one row; an empty table gives no rows; other
+columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

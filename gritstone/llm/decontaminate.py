@@ -8,7 +8,8 @@ a benchmark beyond that bound is passed over the documents block by block, with
 written to the shared folder in between.
 
 Edge cases: a null or empty text has no words and stays unhit; an item without words or with a
-null item_id is ignored; repeated documents are judged row by row; repeated items count once.
+null item_id is ignored; repeated documents are judged row by row; repeated items count once; an empty benchmark hits nothing, empty
+documents give no rows; texts of any length are streamed whole; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

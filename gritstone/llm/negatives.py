@@ -22,6 +22,7 @@ columns, whatever their names, take no part.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from gritstone.llm.vectors import blocks_of, matrices, slim
 
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
 ANCHOR_BLOCK = 2048
-#: Norms below this give scores that a long holds, and windows (95 times a score) that stay exact in Python's own integers.
+#: Norms below this give scores that a long holds; windows are worked out in Python's own integers.
 _NORM = 2.0**31
 _LEAST = np.iinfo(np.int64).min
 
@@ -116,7 +117,7 @@ class Forest:
         stack = [(0, np.full(len(whole_), -np.inf), np.full(len(whole_), np.inf))]
         while stack:
             at, low, high = stack.pop()
-            if self.edge[at] or self.parent[at] >= 0:
+            if self.parent[at] >= 0:
                 room = self.edge[at] * rows.norms * (1 + 1e-9) + 1e-6
                 low, high = low - room, high + room
             need = whole_ if self.parent[at] < 0 else np.flatnonzero(wanted(at, low, high))
@@ -247,7 +248,7 @@ def negatives_of(rows: DataFrame, anchors: list, positives: list, k: int = NEGAT
 def mine(vectors: DataFrame, anchors: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, block: int = ANCHOR_BLOCK) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score; both tables have vec_id, embedding, label."""
     spark = vectors.sparkSession
-    path = f"{scratch_dir(spark)}/negatives-{np.random.default_rng().integers(1 << 62):x}"
+    path = f"{scratch_dir(spark)}/negatives-{uuid.uuid4().hex}"
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     for some in blocks_of(anchors, block):
         own = _anchors(some.toArrow())

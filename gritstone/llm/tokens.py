@@ -12,7 +12,8 @@ pieces are encoded by the tokenizer together, and known ones are looked up. Text
 special token's string are encoded whole.
 
 Edge cases: null and empty texts give the end id alone; a null doc_id sorts first; equal ids are
-ordered by text; an empty table gives no block. Ids must be below 2**31.
+ordered by text, and equal rows each have their place; texts of any length are encoded whole and may make a block of their own;
+an empty table gives no block; other columns, whatever their names, take no part. Ids must be below 2**31.
 """
 
 from __future__ import annotations

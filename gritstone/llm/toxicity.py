@@ -15,7 +15,8 @@ so do clean windows in which one word is repeated over and over.
 Edge cases: null and empty texts are one empty window; a document of several labels takes the
 largest; null ids or labels aren't learned from; without labels of both classes every score is
 the share of toxic labels (0 if there are none). Repeated documents each keep their row; texts of any
-length are scored whole; an empty table gives no rows.
+length are scored whole, window by window; an empty table gives no rows; columns other than doc_id and text
+take no part, and one named like the score stays as it is.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ rows; an empty table gives none; other columns, whatever their names, take no pa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -219,7 +220,7 @@ def search(index: Index, queries: DataFrame, k: int = K, factor: float = FACTOR,
     if factor < 1:
         raise ValueError("the factor is 1 or more")
     spark, rows = index.shards.sparkSession, slim(queries)
-    path, schema = f"{scratch_dir(spark)}/vptree-found-{id(rows):x}-{np.random.default_rng().integers(1 << 62):x}", "query_id long, vec_id long, score double"
+    path, schema = f"{scratch_dir(spark)}/vptree-found-{uuid.uuid4().hex}", "query_id long, vec_id long, score double"
     for some in blocks_of(rows, block):
         asked = []
         for ids, matrix in _sound(some.toArrow()):
