@@ -68,20 +68,20 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of unseen pieces: made of the ids of their words where those are known."""
-        known, older, parts_of, unseen = self.known, self.older, [], []
-        again = pieces.intersection(older)
-        known |= {x: older[x] for x in again}
-        for p in pieces.difference(again):
-            if p[-1:] in _MARKS and p[-2:-1].isalpha() and "\n" not in p:
+        known, before, parts_of, unseen = self.known, self.older.get, [], []
+        for p in pieces:
+            ids = before(p)
+            if ids is not None:
+                known[p] = ids
+            elif p[-1:] in _MARKS and p[-2:-1].isalpha() and "\n" not in p:
                 parts_of.append((p, (p[:-1], p[-1])))
             elif "\n" in p:
                 parts_of.append((p, _PARTS.split(p)))
             else:
                 unseen.append(p)
         more = {x for _, parts in parts_of for x in parts}.difference(known)
-        again = more.intersection(older)
-        known |= {x: older[x] for x in again}
-        self._encode_unseen([*unseen, *more.difference(again).difference(unseen)])
+        known |= {x: ids for x in more if (ids := before(x)) is not None}
+        self._encode_unseen([*unseen, *more.difference(known).difference(unseen)])
         for p, parts in parts_of:
             known[p] = b"".join([known[x] for x in parts])
 
@@ -122,16 +122,16 @@ class Encoder:
         parts = pc.split_pattern(pa.array([_FIRST + texts[k] for k in plain], pa.large_string()), " ")
         coded = parts.values.dictionary_encode()
         # between blanks a piece lacks its blank; the first of a text has its mark instead
-        distinct = [p[1:] if p[:1] == _FIRST else " " + p for p in coded.dictionary.to_pylist()]
+        blank = pa.scalar(" ", pa.large_string())
+        distinct = pc.replace_substring(pc.binary_join_element_wise(blank, coded.dictionary, pa.scalar("", pa.large_string())), " " + _FIRST, "").to_pylist()
+        unseen = set(distinct).union(*split).difference(self.known)
         self.known[""] = b""
-        found = list(map(self.known.get, distinct))
-        unseen = {p for p, ids in zip(distinct, found) if ids is None}.union(*split).difference(self.known if odd else ())
-        if unseen:
+        if unseen := unseen.difference(("",)):
             self._learn(unseen)
         get = self.known.__getitem__
         for k, s in zip(odd, split):
             out[k] = np.frombuffer(b"".join(map(get, s)), self.dtype)
-        found = [get(p) if ids is None else ids for p, ids in zip(distinct, found)]
+        found = list(map(get, distinct))
         flat = np.frombuffer(b"".join(found), self.dtype)
         size = np.fromiter(map(len, found), np.int32, len(found)) // np.int32(self.dtype.itemsize)
         begin = np.cumsum(size, dtype=np.int32) - size
