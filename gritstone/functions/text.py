@@ -32,6 +32,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def trim_blanks(text: Column) -> Column:
+    """Without Unicode's blanks at both ends, as SQL engines trim; line ends stay."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def words(items: list[str]) -> Column:
     return F.array(*(F.lit(w) for w in dict.fromkeys(items)))
 
@@ -88,7 +93,8 @@ def chunk_key(doc: Column, index: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Parts that begin after ``. ! ?``, a closing quote if any, and white space, before a capital or an opening mark."""
     marked = F.regexp_replace(text, r"""([.!?])["')\]]?\s+([A-Z(\["'])""", "$1\u001e$2")
-    return F.filter(F.transform(F.split(marked, "\u001e"), F.trim), lambda s: s != "")
+    # a lambda of one argument: ``F.trim`` itself would be given the place too, as characters to take off
+    return F.filter(F.transform(F.split(marked, "\u001e"), lambda s: trim_blanks(s)), lambda s: s != "")
 
 
 def normalize_typography(text: Column) -> Column:

@@ -107,6 +107,15 @@ def test_windows_are_the_greedy_ones():
         assert list(chunking.windows(tokens, size, overlap)) == plain_windows(tokens, size, overlap)
 
 
+def test_digits_at_the_end_of_a_sentence_stay(spark):
+    text = "Call 10. Call 21\u00a0. (12 or 2) Ends in 2."
+    assert one(spark, T.sentences(F.lit("A 0. B 21. C 2"))) == ["A 0.", "B 21.", "C 2"]
+    assert one(spark, T.sentences(F.lit("\u00a0A 100 \u3000"))) == ["A 100"]
+    docs = spark.createDataFrame([(1, text)], "id long, text string")
+    units = docs.select(chunking.units(F.col("text")).alias("u")).first().u
+    assert units == ["Call 10.", "Call 21\u00a0.", "(12 or 2) Ends in 2."]
+
+
 def test_similar_pairs_are_all_pairs(spark):
     rng = random.Random(4)
     sets = {i: sorted({rng.choice("abcdefgh") for _ in range(rng.randint(0, 7))}) for i in range(80)}
