@@ -32,7 +32,7 @@ def units(text: Column, size: int = SIZE) -> Column:
 
     def cut(s: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(1), F.length(s), F.lit(step)), lambda i: F.substr(s, i, F.lit(step)))
-        return F.when(T.count_tokens(s) > size, F.filter(parts, lambda p: F.trim(p) != "")).otherwise(F.array(s))
+        return F.when(T.count_tokens(s) > size, F.filter(parts, lambda p: T.trim_blanks(p) != "")).otherwise(F.array(s))
 
     return F.flatten(F.transform(T.sentences(text), cut))
 
@@ -52,11 +52,11 @@ def windows(tokens: list[int], size: int = SIZE, overlap: int = OVERLAP) -> Iter
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(id, text) -> id, chunk_index, text, token_count, first_unit, end_unit, carried. A window of fewer than
+    """(id, text) -> id, chunk_index, text, token_count, first_unit, end_unit, carried, skipped. A window of fewer than
     ``least`` tokens is dropped unless it is the document's first; ``carried`` are the characters at a
-    chunk's beginning that the one before ends with."""
+    chunk's beginning that the one before ends with, ``skipped`` the units before it that only dropped windows held (null: none)."""
     listed = docs.select("id", units(F.coalesce("text", F.lit("")), size).alias("units"))
-    schema = pa.schema([("id", pa.int64()), ("chunk_index", pa.int64()), ("text", pa.string()), ("token_count", pa.int64()), ("first_unit", pa.int64()), ("end_unit", pa.int64()), ("carried", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("chunk_index", pa.int64()), ("text", pa.string()), ("token_count", pa.int64()), ("first_unit", pa.int64()), ("end_unit", pa.int64()), ("carried", pa.int64()), ("skipped", pa.string())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,12 +67,12 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int
                     text = " ".join(parts[a:b])
                     n = max(1, len(text) // 4)
                     if n >= least or not index:
-                        for column, value in zip(rows, (key, index, text, n, a, b, sum(len(p) + 1 for p in parts[a:last]))):
+                        for column, value in zip(rows, (key, index, text, n, a, b, sum(len(p) + 1 for p in parts[a:last]), " ".join(parts[last:a]) if index and last < a else None)):
                             column.append(value)
                         index, last = index + 1, b
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema)], schema=schema)
 
-    return listed.mapInArrow(run, "id long, chunk_index long, text string, token_count long, first_unit long, end_unit long, carried long")
+    return listed.mapInArrow(run, "id long, chunk_index long, text string, token_count long, first_unit long, end_unit long, carried long, skipped string")
 
 
 def block_units(blocks: DataFrame, size: int = SIZE) -> DataFrame:
@@ -224,11 +224,13 @@ def overlap_report(chunks: DataFrame) -> DataFrame:
 
 
 def concatenate(chunks: DataFrame) -> DataFrame:
-    """(id, chunk_index, text, carried) -> id, text: a document's units again, each once, joined by blanks.
+    """(id, chunk_index, text, carried, skipped) -> id, text: a document's units up to its last chunk again, each once, joined by blanks.
 
-    A chunk may hold nothing new (its last unit leaves no room for a long one that follows).
+    A chunk may hold nothing new (its last unit leaves no room for a long one that follows); units between two chunks
+    may be in neither (their window was dropped), and come from ``skipped``.
     """
-    own = F.when(F.col("carried") > 0, F.substr("text", (F.col("carried") + 1).cast("int"))).otherwise(F.col("text"))
+    rest = F.when(F.col("carried") > 0, F.substr("text", (F.col("carried") + 1).cast("int"))).otherwise(F.col("text"))
+    own = F.concat_ws(" ", "skipped", rest)
     listed = F.sort_array(F.collect_list(F.struct("chunk_index", own.alias("own"))))
     return chunks.where("carried <= length(text)").groupBy("id").agg(F.array_join(F.transform(listed, lambda x: x["own"]), " ").alias("text"))
 

@@ -116,6 +116,14 @@ def test_digits_at_the_end_of_a_sentence_stay(spark):
     assert units == ["Call 10.", "Call 21\u00a0.", "(12 or 2) Ends in 2."]
 
 
+def test_concatenation_holds_units_of_dropped_windows(spark):
+    parts = ["A" + "a" * 2598 + ".", "B" + "b" * 30 + ".", "C" + "c" * 2598 + "."]
+    docs = spark.createDataFrame([(1, " ".join(parts))], "id long, text string")
+    made = chunking.chunk(docs, overlap=0)
+    assert [(r.first_unit, r.end_unit, r.skipped) for r in made.orderBy("chunk_index").collect()] == [(0, 1, None), (2, 3, parts[1])]
+    assert chunking.concatenate(made).first().text == " ".join(parts)
+
+
 def test_similar_pairs_are_all_pairs(spark):
     rng = random.Random(4)
     sets = {i: sorted({rng.choice("abcdefgh") for _ in range(rng.randint(0, 7))}) for i in range(80)}
