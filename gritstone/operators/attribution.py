@@ -1,8 +1,8 @@
 """Whether an answer cites the document that its question names.
 
 A title, and the part before its first colon where that is a name rather than a topic (two tokens or more, or
-one of six characters that no other title has), are phrases of an index keyed on each phrase's rarest title
-token, so that a token of many titles never is a join key on its own account. A question that names
+one of six characters that no other title has), are phrases of an index. A question's runs of tokens, as long
+as phrases are, meet the phrases themselves, so that neither a token of many titles nor a long question grows a join. A question that names
 exactly one document must be answered from it; one that names none or several is left alone.
 
 Edge cases: null and blank titles and questions name nothing; equal titles of several documents are several
@@ -22,6 +22,8 @@ from gritstone.functions import text as T
 
 # Fixed value: characters of a single-token name at least.
 LONE = 6
+#: Tokens of a run that a phrase is met by at most; what a longer phrase goes on with is verified.
+RUN = 24
 
 
 @F.pandas_udf(StringType())
@@ -58,9 +60,26 @@ def name_index(titles: DataFrame) -> DataFrame:
 
 def named_documents(questions: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, question) -> qid, doc of each document that the question names."""
-    asked = questions.select("qid", fold(F.col("question")).alias("q"))
-    tokens = asked.select("qid", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("key"))
-    return tokens.join(index, "key").where(T.contains_phrase(F.col("q"), F.col("phrase"))).select("qid", "doc").distinct()
+    return phrases_held(questions.select("qid", fold(F.col("question")).alias("q")), index.select("doc", "phrase"))
+
+
+def phrases_held(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, q) × (doc, phrase), tokens parted by single blanks -> qid, doc where q holds the phrase's tokens in a row.
+
+    An equi-join of runs: a row holds a run and never the question. Phrases of over ``RUN`` tokens are met by their
+    first ones and verified. Runs are shuffled, whatever the files' sizes: they outgrow what they come from.
+    """
+    tokens = F.split("phrase", " ")
+    sized = names.where("phrase <> ''").distinct().select("doc", "phrase", F.size(tokens).alias("n"), F.array_join(F.slice(tokens, 1, RUN), " ").alias("run"))
+    lengths = sorted(r.n for r in sized.select(F.least("n", F.lit(RUN)).alias("n")).distinct().collect())
+    none = F.array().cast("array<string>")
+    runs = lambda words, n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+    of = F.flatten(F.transform(F.array(F.split("q", " ")), lambda words: F.concat(none, *(runs(words, n) for n in lengths))))  # a question is split once
+    asked = questions.where("q <> ''").select("qid", F.explode(F.array_distinct(of)).alias("run"))
+    phrases = sized.select("phrase", "n", "run").distinct()
+    met = asked.hint("merge").join(phrases, "run").select("qid", "phrase", "n")
+    longer = met.where(F.col("n") > RUN).join(questions, "qid").where(T.contains_phrase(F.col("q"), F.col("phrase"))).select("qid", "phrase")
+    return met.where(F.col("n") <= RUN).select("qid", "phrase").union(longer).hint("merge").join(sized.select("doc", "phrase"), "phrase").select("qid", "doc").distinct()
 
 
 def misattributed(questions: DataFrame, cited: DataFrame, titles: DataFrame) -> DataFrame:

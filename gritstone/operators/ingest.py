@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gritstone.functions import text as T
+from gritstone.operators.attribution import phrases_held
 
 
 def route(uri: Column) -> Column:
@@ -72,20 +73,9 @@ def verbatim_query(text: Column, key: Column, seed: str) -> Column:
 
 
 def named_documents(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """(qid, question) × (doc, name) -> qid, doc where the question holds the name's tokens in a row.
-
-    An equi-join on each name's rarest token among the names, so that a word that many begin with is no join key of
-    theirs; a name is matched by its full normalised form.
-    """
+    """(qid, question) × (doc, name) -> qid, doc where the question holds the name's tokens in a row."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    q = questions.select("qid", plain(F.col("question")).alias("q"))
-    n = names.select("doc", plain(F.col("name")).alias("name")).where("name <> ''").distinct()
-    tokens = n.select("name").distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    keyed = tokens.join(often, "token").groupBy("name").agg(F.min(F.struct("df", "token"))["token"].alias("token"))
-    asked = q.select("qid", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("token"))
-    met = asked.join(keyed, "token").where(T.contains_phrase(F.col("q"), F.col("name"))).select("qid", "name")
-    return met.join(n, "name").select("qid", "doc").distinct()
+    return phrases_held(questions.select("qid", plain(F.col("question")).alias("q")), names.select("doc", plain(F.col("name")).alias("phrase")))
 
 
 def parse_verdict(reply: Column, schema: str) -> Column:

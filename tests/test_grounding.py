@@ -94,6 +94,16 @@ def test_named_documents(spark, question, named):
     assert {r.doc for r in D.named_documents(spark.createDataFrame([(1, question)], "qid long, question string"), index).collect()} == named
 
 
+def test_runs_meet_phrases_of_any_length_without_the_question(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    names = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, long), (4, long + " more"), (5, ""), (6, "a b")], "doc long, phrase string")
+    asked = spark.createDataFrame([(1, "x a b y"), (2, "ab a"), (3, f"a {long} b"), (4, ""), (5, None), (6, "b")], "qid long, q string")
+    held = D.phrases_held(asked, names)
+    assert sorted((r.qid, r.doc) for r in held.collect()) == [(1, 1), (1, 6), (3, 3)]
+    joins = held.where("doc >= 0")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [run" not in joins and "SortMergeJoin [run" in joins
+
+
 def test_only_answers_from_other_documents_than_the_named_one_are_misattributed(spark):
     titles = spark.createDataFrame(TITLES, "doc long, title string")
     asked = spark.createDataFrame([(1, "Is quixotic good?"), (2, "Is quixotic good?"), (3, "Quixotic or paint anything?"), (4, "who?"), (5, "quixotic")], "qid long, question string")
