@@ -9,7 +9,6 @@ from gritstone.jobs import retrieve as R
 from gritstone.operators import answers as A
 from gritstone.operators import chunking as C
 from gritstone.operators import layout as L
-from gritstone.operators import retrieval as O
 from gritstone.sources import markup, table
 
 PAGE_LINES, WIDTH = 6, 600.0
@@ -37,7 +36,7 @@ def concatenated(spark, sf):
 
 
 def top_texts(spark, sf):
-    hits = O.ranked(R.sparse_hits(spark, sf), R.K).select("qid", "id", "rank")
+    hits = R.sparse_top(spark, sf, R.K).select("qid", "id", "rank")
     return hits.join(R.documents(spark, sf).select("id", "text"), "id")
 
 

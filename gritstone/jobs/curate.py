@@ -191,7 +191,7 @@ def lowest(spark, sf):
 
 
 def gated(spark, sf):
-    short = O.ranked(R.sparse_hits(spark, sf), R.SHORTLIST)
+    short = R.sparse_top(spark, sf, R.SHORTLIST)
     reranked = O.rerank(short, R.documents(spark, sf), R.questions(spark, sf), R.K)
     return C.relevance_gate(reranked, GATE).select("qid", F.round("best", 6).alias("best"), "status")
 
@@ -204,7 +204,7 @@ def provenance(spark, sf):
 
 def acceptable(spark, sf):
     docs = R.documents(spark, sf)
-    hits = O.ranked(R.sparse_hits(spark, sf), 10).select("qid", "id", "rank")
+    hits = R.sparse_top(spark, sf, 10).select("qid", "id", "rank")
     return C.first_acceptable(hits, docs.where("id % 3 = 0"), docs.where("lang = 'en'"))
 
 

@@ -10,7 +10,6 @@ from gritstone.jobs import retrieve as R
 from gritstone.operators import evaluation as E
 from gritstone.operators import governance as G
 from gritstone.operators import groups as S
-from gritstone.operators import retrieval as O
 from gritstone.sources import table
 
 THRESHOLDS = [100.0, 300.0, 600.0, 1200.0, 2400.0, 4800.0]
@@ -41,8 +40,7 @@ def known_items(spark, sf):
 
 
 def known_item_metrics(spark, sf):
-    hits = R.sparse_hits(spark, sf)
-    m = E.query_metrics(O.ranked(hits, 10).select("qid", "id", "rank"), known_items(spark, sf))
+    m = E.query_metrics(R.sparse_top(spark, sf, 10).select("qid", "id", "rank"), known_items(spark, sf))
     return E.mean_metrics(m.withColumn("family", F.pmod("qid", F.lit(4)).cast("string")), "family").withColumn("family", F.coalesce("family", F.lit("ALL")))
 
 

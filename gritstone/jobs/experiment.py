@@ -34,7 +34,7 @@ def decided(spark, sf):
 
 def blended(spark, sf):
     """The shortlist's own order blended with that of its reranking."""
-    short = O.ranked(O.bm25(R.keyword_index(spark, sf), R.questions(spark, sf)), R.SHORTLIST).select("qid", "id", "rank")
+    short = R.sparse_top(spark, sf, R.SHORTLIST).select("qid", "id", "rank")
     reranked = O.rerank(short, R.documents(spark, sf), R.questions(spark, sf), R.SHORTLIST)
     return O.ranked(X.blend_ranks(short, reranked, BLEND), R.K).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 

@@ -49,26 +49,30 @@ def sparse_hits(spark, sf, group=None):
     return R.bm25(keyword_index(spark, sf, group), questions(spark, sf))
 
 
+def sparse_top(spark, sf, k, group=None, only=None):
+    """The first ``k`` of each question (and group): qid, id, grp, score, rank."""
+    return R.bm25_top(keyword_index(spark, sf, group), questions(spark, sf), k, only=only)
+
+
 def index_delta(spark, sf):
     """Nine tenths of the documents are indexed first, with old texts of some of the rest; the rest follows."""
     docs = X.corpus(documents(spark, sf), "id", "text")
     old = docs.where("id % 10 <> 0").unionByName(docs.where("id % 50 = 0").withColumn("text", F.reverse("text")))
     index = X.extend(X.build(old), docs.where("id % 10 = 0"))
-    return R.ranked(R.bm25(index, questions(spark, sf)), K).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    return R.bm25_top(index, questions(spark, sf), K).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark, sf):
-    return R.min_max(R.ranked(sparse_hits(spark, sf), K)).select("qid", "id", "rank", F.round("score", 6).alias("score"), F.round("normalized", 4).alias("normalized"))
+    return R.min_max(sparse_top(spark, sf, K)).select("qid", "id", "rank", F.round("score", 6).alias("score"), F.round("normalized", 4).alias("normalized"))
 
 
 def bm25_filtered(spark, sf):
-    hits = sparse_hits(spark, sf).join(documents(spark, sf).where("lang = 'en'").select("id"), "id", "left_semi")
-    return R.ranked(hits, K).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    hits = sparse_top(spark, sf, K, only=documents(spark, sf).where("lang = 'en'").select("id"))
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_within_group(spark, sf):
-    hits = sparse_hits(spark, sf, group="source").withColumn("of", F.struct("qid", "grp"))
-    return R.ranked(hits, K, by="of").select("qid", F.col("grp").alias("source"), "id", "rank", F.round("score", 6).alias("score"))
+    return sparse_top(spark, sf, K, group="source").select("qid", F.col("grp").alias("source"), "id", "rank", F.round("score", 6).alias("score"))
 
 
 def vectors(spark, sf):
@@ -108,7 +112,7 @@ def dense_lists(spark, sf, k=SHORTLIST):
 
 
 def both_lists(spark, sf):
-    sparse = R.min_max(R.ranked(sparse_hits(spark, sf), SHORTLIST)).select("qid", "id", F.lit("sparse").alias("source"), "rank", "score", "normalized")
+    sparse = R.min_max(sparse_top(spark, sf, SHORTLIST)).select("qid", "id", F.lit("sparse").alias("source"), "rank", "score", "normalized")
     dense = dense_lists(spark, sf).select("qid", "id", F.lit("dense").alias("source"), "rank", "score", F.col("score").alias("normalized"))
     return sparse.unionByName(dense)
 
@@ -124,7 +128,7 @@ def fusion(method):
 
 def rerank_f1(least=None):
     def query(spark, sf):
-        short = R.ranked(sparse_hits(spark, sf), SHORTLIST)
+        short = sparse_top(spark, sf, SHORTLIST)
         return R.rerank(short, documents(spark, sf), questions(spark, sf), K, least).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
     return query

@@ -63,6 +63,17 @@ def test_bm25_against_a_plain_model(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("block", [1, 512])
+def test_bm25_top_is_the_head_of_all_scores(spark, tmp_path, block):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], " ".join(rng.choices(["red", "blue", "green", "gold"], k=rng.randint(0, 4)))) for i in range(60)], "id long, grp string, text string")
+    index = keyword_index.build(docs, str(tmp_path))
+    asked = spark.createDataFrame([(1, "red red blue"), (2, "gold green"), (3, "none"), (4, None)], "qid long, question string")
+    hits = retrieval.bm25(index, asked).withColumn("of", F.struct("qid", "grp"))
+    plain = lambda df: sorted((r.qid, r.grp, r["rank"], r.id, round(r.score, 6)) for r in df.collect())
+    assert plain(retrieval.bm25_top(index, asked, 7, block=block)) == plain(retrieval.ranked(hits, 7, by="of"))
+
+
 def test_fusion(spark):
     lists = spark.createDataFrame([(1, "a", "dense", 1, 0.9, 1.0), (1, "b", "dense", 2, 0.5, 0.0), (1, "b", "sparse", 1, 9.0, 1.0), (2, "c", "sparse", 1, 7.0, 1.0)], "qid long, id string, source string, rank int, score double, normalized double")
     got = {(r.qid, r.id): r.score for r in retrieval.fuse(lists).collect()}
