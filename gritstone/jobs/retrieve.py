@@ -10,6 +10,7 @@ from gritstone.functions import vectors as V
 from gritstone.operators import retrieval as R
 from gritstone.sources import keyword_index as X
 from gritstone.sources import spread, table
+from gritstone.sources.scratch import kept
 
 K, SHORTLIST = 5, 30
 TEXT_DIMENSION = 64
@@ -114,7 +115,7 @@ def dense_lists(spark, sf, k=SHORTLIST):
 def both_lists(spark, sf):
     sparse = R.min_max(sparse_top(spark, sf, SHORTLIST)).select("qid", "id", F.lit("sparse").alias("source"), "rank", "score", "normalized")
     dense = dense_lists(spark, sf).select("qid", "id", F.lit("dense").alias("source"), "rank", "score", F.col("score").alias("normalized"))
-    return sparse.unionByName(dense)
+    return kept(sparse.unionByName(dense), "lists")  # what fuses them reads them several times
 
 
 def fusion(method):
