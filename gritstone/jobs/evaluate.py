@@ -10,7 +10,9 @@ from gritstone.jobs import retrieve as R
 from gritstone.operators import evaluation as E
 from gritstone.operators import governance as G
 from gritstone.operators import groups as S
+from gritstone.operators import retrieval as O
 from gritstone.sources import table
+from gritstone.sources.scratch import kept
 
 THRESHOLDS = [100.0, 300.0, 600.0, 1200.0, 2400.0, 4800.0]
 # Fusion settings of the sweep as (label, method, k, dense weight, sparse weight).
@@ -23,20 +25,20 @@ BUDGET = 400.0
 def known_items(spark, sf):
     """(qid, id) of documents that hold a benchmark item's text.
 
-    A token inside an item is a token of every document that holds the item: documents are joined
-    on each item's rarest such token and verified. Items without one are compared with all texts.
+    A token inside an item is a token of every document that holds the item: the keyword index gives the documents
+    of each item's rarest such token, and these are verified. Items without one that is indexed are compared with all texts.
     """
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(T.TOKEN), F.lit(0))
-    items = R.questions(spark, sf).where("length(question) > 0").withColumn("terms", tokens("question"))
-    docs = R.documents(spark, sf).where("text is not null").select("id", "text")
-    held = docs.select("id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    inner = items.where(F.size("terms") > 2).select("qid", F.explode(F.slice("terms", F.lit(2), F.size("terms") - 2)).alias("term"))
-    often = held.join(inner.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rare = inner.join(often, "term").groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = held.join(rare, "term").select("qid", "id").join(items.select("qid", "question"), "qid")
-    found = near.join(docs, "id").where(F.contains("text", "question")).select("qid", "id")
-    bare = docs.crossJoin(F.broadcast(items.where(F.size("terms") <= 2))).where(F.contains("text", "question")).select("qid", "id")
-    return found.union(bare).distinct()
+    tokens = F.regexp_extract_all(F.lower("question"), F.lit(T.TOKEN), F.lit(0))
+    inner = F.when(F.size("terms") > 2, F.slice("terms", F.lit(2), F.size("terms") - 2)).otherwise(F.array().cast("array<string>"))
+    items = R.questions(spark, sf).where("length(question) > 0").withColumn("terms", tokens).withColumn("inner", F.filter(inner, lambda t: ~t.isin(T.STOPWORDS)))
+    docs, index = R.documents(spark, sf).where("text is not null").select("id", "text"), R.keyword_index(spark, sf)
+    asked = items.select("qid", F.explode(F.array_distinct("inner")).alias("term"))
+    rare = kept(asked.join(index.terms.select("term", "df"), "term").groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term")), "rare")
+    near = kept(index.postings.where("term <> ''").join(rare, "term").select("qid", "id").distinct(), "near")
+    texts = near.join(O.texts_of(near, docs), "id").join(items.select("qid", "question"), "qid")
+    found = texts.where(F.contains("text", "question")).select("qid", "id")
+    bare = docs.crossJoin(F.broadcast(items.where(F.size("inner") == 0))).where(F.contains("text", "question")).select("qid", "id")
+    return kept(found.union(bare).distinct(), "known")
 
 
 def known_item_metrics(spark, sf):
