@@ -9,7 +9,9 @@ from gritstone.jobs import retrieve as R
 from gritstone.operators import answers as A
 from gritstone.operators import chunking as C
 from gritstone.operators import layout as L
+from gritstone.operators import retrieval as O
 from gritstone.sources import markup, table
+from gritstone.sources.scratch import kept
 
 PAGE_LINES, WIDTH = 6, 600.0
 
@@ -36,8 +38,8 @@ def concatenated(spark, sf):
 
 
 def top_texts(spark, sf):
-    hits = R.sparse_top(spark, sf, R.K).select("qid", "id", "rank")
-    return hits.join(R.documents(spark, sf).select("id", "text"), "id")
+    hits = kept(R.sparse_top(spark, sf, R.K).select("qid", "id", "rank"), "hits")
+    return hits.join(O.texts_of(hits, R.documents(spark, sf).select("id", "text")), "id")
 
 
 def context_pack(spark, sf):

@@ -35,8 +35,8 @@ def hits(spark, sf, asked):
     """The first five passages of each question with locators and a rerank score."""
     docs = R.documents(spark, sf)
     where = T.locator(F.concat(F.lit("Record "), F.col("id").cast("string")), F.array_compact(F.array("source", "lang")), (F.col("id") % 9 + 1).cast("int"), (F.col("id") % 9 + 1 + F.col("id") % 3).cast("int"))
-    top = O.bm25_top(R.keyword_index(spark, sf), asked, R.K).select("qid", "id", "rank")
-    found = top.join(docs.select("id", "text", where.alias("locator")), "id").join(asked, "qid")
+    top = kept(O.bm25_top(R.keyword_index(spark, sf), asked, R.K).select("qid", "id", "rank"), "top")
+    found = top.join(O.texts_of(top, docs.select("id", "text", where.alias("locator"))), "id").join(asked, "qid")
     score = F.round(T.overlap_f1(T.token_set(F.coalesce("question", F.lit(""))), T.token_set(F.coalesce("text", F.lit("")))), 6)
     return found.select("qid", "id", "rank", "locator", "text", score.alias("rerank_score"))
 
