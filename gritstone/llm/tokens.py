@@ -36,7 +36,8 @@ from gritstone.llm.common import doc_texts, map_rows, materialize, slices, vocab
 END_ID = 2
 BLOCK_IDS = 1 << 21
 MAX_ROUNDS, RULES_A_ROUND, MIN_COUNT = 3, 4096, 64
-MEMORY_PIECES = 450_000
+#: Pieces remembered in each of two halves: a worker's memory holds some 200 bytes for each.
+MEMORY_PIECES = 250_000
 _CUT = re.compile(r"(?= [^ \s])")
 _MARKS = frozenset(".,;:!?|")
 #: Borders of the splitting pattern within a piece: a letter before a mark or line end, a line end before a
@@ -305,6 +306,7 @@ def write_blocks(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
                     size += len(enc) + 1
         if kept:
             yield done()
+        pa.default_memory_pool().release_unused()  # a worker outlives its task, and its arrays' memory would stay with it
 
     ordered = doc_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(run, BLOCKS), "token-blocks", "uncompressed")
