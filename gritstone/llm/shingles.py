@@ -1,16 +1,21 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, each link verified on the texts.
-
-Candidates are pairs of distinct shingle sets that agree in one of ``BANDS`` groups of ``ROWS``
-MinHash values. At similarity 0.8 a pair escapes all of them with a chance of
-(1 - 0.8 ** 4) ** 32, 5 in 100 million, and less above it; unlike fingerprints of 64 majority
-bits, of which some 15 % differ at 0.8, few keys reach that far.
-
-Documents with the same set are one node. In every bucket all sets are compared with the least
-one first. Then those of a bucket that are not yet in one component are compared with each other, so
-that no pair is left out that could still join two components: in buckets of at most ``PAIRED`` sets
-pair by pair; larger buckets that share sets form groups, which are cut into chunks of bounded size,
+"""Near-duplicates by the Jaccard similarity of word shingles, found by fuzzy hashing of SimHash
+fingerprints with the Golay code, each link verified on the texts.
+
+A set of shingles has ``FINGERPRINTS`` fingerprints of three Golay words each: the votes of its shingles'
+hashes for every bit, whose signs are the SimHash bits. At similarity 0.8 some 15 % of the bits differ, far more
+than the words of one fingerprint bear, so words are decoded by their votes: each goes to the codeword
+that the votes agree with most. Two sets are candidates if two of the three codewords of any fingerprint are
+the same. At 0.8 a codeword is shared with a chance of 0.26 and two of three with 0.17, so that a pair escapes all 88
+fingerprints with a chance of 1 in 10 million, and less above it. Candidates whose first 256 bits differ
+in more places than any pair of that similarity would are not verified: unlike sets share two
+codewords by accident, one in 2 ** 24 for each key.
+
+Documents with the same set are one node. First each node is compared with the least one that it meets, then
+nodes of one key that are not yet in one component are compared with each other, so
+that no pair is left out that could still join two components: pair by pair if the key has few nodes or
+few such pairs; keys with many form groups, which are cut into chunks of bounded size,
 and the sets of every two chunks are compared in one task, where a comparison is a look-up in an array
-and no more links come out than join components.
+and no more links come out than join components. What a group has compared is not paired off again.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null, empty and blank texts have
 the empty set and are alike; documents with repeated ids each take part; a null doc_id is never a
@@ -25,19 +30,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from gritstone.llm.common import doc_texts, map_rows, materialize, spread_join
 from gritstone.llm.components import connected_components
+from gritstone.llm.golay import BITS, Golay
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 4
+#: Fingerprints of a set, the Golay words of each, and the keys of a set that are sent as one row.
+FINGERPRINTS, WORDS, PACKED = 88, 3, 4
+SLICES = FINGERPRINTS * WORDS // PACKED
+#: Bits by which candidates are told from accidents.
+SKETCH = 256
 #: Pairs of one text that are compared in one task; its text is sent once for each so many.
 PAIRS_A_TASK = 256
-#: Sets of a bucket that are paired off one by one at most, and shingles of a chunk of larger ones.
+#: Sets of a key that are paired off one by one (or, of more, a quarter as many pairs for each), and shingles of a chunk of larger keys.
 PAIRED, CHUNK_SHINGLES = 16, 1 << 17
-_CHUNK = 4096
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_VOTES = FINGERPRINTS * WORDS * BITS
+_SEEDS = np.random.default_rng(5).integers(0, 1 << 64, -(-_VOTES // 64), np.uint64, endpoint=False)
+#: Less than one vote for each bit, so that even votes are alike in every set.
+_TIES = np.random.default_rng(6).uniform(-0.9, 0.9, _VOTES).astype(np.float32)
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -56,15 +68,35 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([h(plain[a:b], 43) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band of MinHash values of a set that isn't empty."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _CHUNK):
-        np.minimum(least, (_FACTORS[:, None] * hashes[None, at : at + _CHUNK]).min(axis=1), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ (keys >> np.uint64(29))) * _MIX + row
-    return keys.view(np.int64)
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of the fingerprints, how many more shingles have it than not."""
+    ones = np.zeros(64 * len(_SEEDS), np.int64)
+    for at in range(0, len(hashes), 255):
+        z = hashes[at : at + 255, None] + _SEEDS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (2 * ones[:_VOTES] - len(hashes)).astype(np.float32) + _TIES
+
+
+def codewords(found: np.ndarray, golay: Golay) -> np.ndarray:
+    """Index of the codeword of each word of the fingerprints."""
+    return golay.nearest(found.reshape(-1, BITS)).astype(np.uint16)
+
+
+def fuzzy_keys(words: np.ndarray) -> np.ndarray:
+    """For each row of codewords, every two of the three of a fingerprint: ``PACKED`` keys of each slice in turn, their
+    numbers within the slice included."""
+    of = words.reshape(len(words), FINGERPRINTS, WORDS).astype(np.int32)
+    both = (of << 12 | np.roll(of, -1, axis=2)).reshape(len(words), SLICES, PACKED)
+    return (both | np.arange(PACKED, dtype=np.int32) << 24).reshape(len(words), -1)
+
+
+def most_bits(similarity: float) -> int:
+    """Bits of ``SKETCH`` in which sets of this similarity may differ: ten standard deviations above the mean."""
+    apart = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(SKETCH * apart + 10 * (SKETCH * apart * (1 - apart)) ** 0.5)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -95,6 +127,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return materialize(map_rows(both, run, "u long, v long"), "shingles-links")
 
 
+def _plausible(pairs: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sizes and sketches allow of the similarity."""
+    of = lambda x: first.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    apart = sum(F.bit_count(F.col("u_sketch")[i].bitwiseXOR(F.col("v_sketch")[i])) for i in range(SKETCH // 64))
+    fits = F.least("u_size", "v_size") >= F.lit(similarity) * F.greatest("u_size", "v_size") - 1e-9
+    return pairs.join(of("u"), "u").join(of("v"), "v").where(fits & (apart <= most_bits(similarity))).select("u", "v")
+
+
+def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are not in one component or group."""
+    of = lambda x: rooted.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def _between_chunks(width: int, similarity: float):
     """Links (u, v) among the sets of one chunk, or between those of two."""
 
@@ -130,9 +176,9 @@ def _between_chunks(width: int, similarity: float):
     return run
 
 
-def _chunked(placed: DataFrame, large: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links among sets that meet in ``large`` buckets (key), directly or over others."""
-    members = placed.join(large, "key").select("key", "node", "size", "root")
+def _chunked(placed: DataFrame, texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Groups (node, root) of sets that meet in the keys of ``placed``, directly or over others, and links (u, v) among those of a group."""
+    members = materialize(placed.select("key", "node", "size", "root"), "shingles-large")
     least = members.groupBy("key").agg(F.min("node").alias("u"))
     groups = connected_components(members.join(least, "key").select("u", F.col("node").alias("v")))
     own = members.select("node", "size", "root").distinct().join(groups.withColumnRenamed("root", "grp"), "node")
@@ -140,46 +186,64 @@ def _chunked(placed: DataFrame, large: DataFrame, texts: DataFrame, width: int,
     dealt = own.join(sized, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "node", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     met = paired.join(texts, "node")
-    return materialize(met.groupBy("grp", "i", "j").applyInArrow(_between_chunks(width, similarity), "u long, v long").distinct(), "shingles-links")
+    return groups, materialize(met.groupBy("grp", "i", "j").applyInArrow(_between_chunks(width, similarity), "u long, v long").distinct(), "shingles-links")
+
+
+def _met(first: DataFrame) -> DataFrame:
+    """key, node, the least node of the key and their number, of every key that is shared.
+
+    A set's keys are sent as one row for each slice; there they become rows of their own, which are sorted where they are.
+    """
+    packed = map_rows(first.select("node", "words"), lambda rows: {"node": rows["node"], "keys": list(fuzzy_keys(np.frombuffer(b"".join(rows["words"]), np.uint16).reshape(len(rows["node"]), -1)))}, "node long, keys array<int>")
+    sliced = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).select("node", "slice", F.slice("keys", F.col("slice") * PACKED + 1, F.lit(PACKED)).alias("keys"))
+    keyed = sliced.repartition("slice").select("node", "slice", F.explode("keys").alias("code"))
+    here = Window.partitionBy("code", "slice")
+    counted = keyed.withColumn("n", F.count("*").over(here)).withColumn("least", F.min("node").over(here)).where("n > 1")
+    return materialize(counted.select(F.expr("shiftleft(bigint(slice), 32) | code").alias("key"), "node", "least", "n"), "shingles-met")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash (XXH64 of the text), node (its shingle set), root (the group's least node) and component_id
     (the group's smallest doc_id) of every document."""
+    made: list[Golay] = []
 
     def mark(rows: dict) -> dict:
-        out = {"doc_id": rows["doc_id"], "text": rows["text"], "node": [], "size": [], "keys": []}
+        if not made:
+            made.append(Golay())
+        out = {"doc_id": rows["doc_id"], "text": rows["text"], "node": [], "size": [], "sketch": [], "words": []}
         for text in rows["text"]:
             hashes = shingle_set(text, width)
+            found = votes(hashes)
             out["node"].append(xxhash.xxh64_intdigest(hashes.tobytes(), 7) - (1 << 63))
             out["size"].append(len(hashes))
-            out["keys"].append(band_keys(hashes) if len(hashes) else [])
+            out["sketch"].append(np.packbits(found[:SKETCH] > 0).view(np.int64))
+            out["words"].append(codewords(found, made[0]).tobytes())
         return out
 
-    marked = materialize(map_rows(doc_texts(docs), mark, "doc_id long, text string, node long, size int, keys array<long>"), "shingles-marked")
-    first = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "shingles-first")
-    keyed = first.select("node", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    met = materialize(keyed.join(shared, "key"), "shingles-met")
-    nodes = met.select("node").distinct()
+    marked = materialize(map_rows(doc_texts(docs), mark, "doc_id long, text string, node long, size int, sketch array<long>, words binary"), "shingles-marked")
+    first = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "sketch", "words"))), "shingles-first")
+    met = _met(first.where("size > 0"))
+    to_least = met.where("least <> node").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = materialize(_plausible(to_least, first, similarity), "shingles-pairs")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(met.where("n > 2").select("node")).distinct()
     texts = materialize(marked.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingles-texts")
-    fits = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-
-    to_least = met.where((F.col("node") != F.col("least.node")) & fits(F.col("size"), F.col("least.size")))
-    tried = materialize(to_least.select(F.col("least.node").alias("u"), F.col("node").alias("v")).distinct(), "shingles-pairs")
+    tried = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     found = _verified(tried, texts, width, similarity)
 
     rooted = connected_components(found)
-    placed = materialize(met.join(rooted, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "shingles-placed")
-    open_keys = materialize(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "n"), "shingles-open")
-    grouped = _chunked(placed, open_keys.where(F.col("n") > PAIRED).select("key"), texts, width, similarity)
-    placed = placed.join(open_keys.where(F.col("n") <= PAIRED).select("key"), "key")
+    placed = materialize(met.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "shingles-placed")
+    roots = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+    open_keys = roots.groupBy("key").agg(F.sum("m").alias("n"), F.expr("(sum(m) * sum(m) - sum(m * m)) div 2").alias("pairs")).where("pairs > 0")
+    open_keys = materialize(open_keys.withColumn("large", (F.col("n") > PAIRED) & (F.col("pairs") > PAIRED // 4 * F.col("n"))), "shingles-open")
+    large = placed.join(open_keys.where("large").select("key"), "key").join(first.select("node", "size"), "node")
+    groups, grouped = _chunked(large, texts, width, similarity)
+    placed = placed.join(open_keys.where("not large").select("key"), "key")
     roots = placed.select("key", "root").distinct()
     apart = roots.withColumnRenamed("root", "r").join(roots.withColumnRenamed("root", "s"), "key").where("r < s")
-    a = placed.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.col("size").alias("m"))
-    b = placed.select("key", F.col("root").alias("s"), F.col("node").alias("b"), F.col("size").alias("n"))
-    open_ = apart.join(a, ["key", "r"]).join(b, ["key", "s"]).where(fits(F.col("m"), F.col("n"))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    rest = materialize(open_.join(tried, ["u", "v"], "left_anti"), "shingles-pairs")
+    a = placed.select("key", F.col("root").alias("r"), F.col("node").alias("a"))
+    b = placed.select("key", F.col("root").alias("s"), F.col("node").alias("b"))
+    open_ = apart.join(a, ["key", "r"]).join(b, ["key", "s"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    rest = materialize(_plausible(_apart(open_, groups).join(tried, ["u", "v"], "left_anti"), first, similarity), "shingles-pairs")
     linked = connected_components(found.union(_verified(rest, texts, width, similarity)).union(grouped))
 
     joined = first.join(linked, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))

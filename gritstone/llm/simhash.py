@@ -27,12 +27,11 @@ from pyspark.sql import Window
 from gritstone.llm import shingles
 from gritstone.llm.common import doc_texts, map_rows, materialize, spread_join
 from gritstone.llm.components import connected_components
+from gritstone.llm.golay import Golay
 
 MAX_BUCKET = 256
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: The Golay code's generator polynomial (fixed value).
-GENERATOR = 0xC75
 _CHUNK = 1 << 16
 
 
@@ -57,35 +56,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _remainder(word: int) -> int:
-    for bit in range(22, 10, -1):
-        if word >> bit & 1:
-            word ^= GENERATOR << bit - 11
-    return word
-
-
-class Golay:
-    """Codeword indices near 23-bit words: the code is perfect, so each word decodes to one."""
-
-    def __init__(self):
-        self.of_high = np.array([_remainder(h << 11) for h in range(1 << 12)], np.int64)
-        self.error = np.zeros(1 << 11, np.int64)
-        bits = [1 << b for b in range(23)]
-        for a in range(23):
-            for b in range(a, 23):
-                for c in range(b, 23):
-                    e = bits[a] | bits[b] | bits[c]
-                    self.error[_remainder(e)] = e
-
-    def decode(self, words: np.ndarray) -> np.ndarray:
-        return (words ^ self.error[self.of_high[words >> 11] ^ (words & 0x7FF)]) >> 11
-
-    def near(self, words: np.ndarray, width: int) -> np.ndarray:
-        """Indices for each word and its one-bit neighbours, sorted, one row per word."""
-        flips = np.concatenate(([0], 1 << np.arange(width, dtype=np.int64)))
-        return np.sort(self.decode(words[:, None] ^ flips[None, :]), axis=1)
-
-
 def fuzzy_keys(fingerprints: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     """(row number, key) of each key of each unsigned fingerprint."""
     parts = [((fingerprints >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
@@ -149,7 +119,8 @@ def keep_one(docs: DataFrame, width: int = shingles.WIDTH, similarity: float = s
     """One row of ``docs`` of each group, that of the smallest doc_id; rows without an id stay.
 
     Groups are the components of pairs whose ``width``-word shingles have a Jaccard similarity of
-    ``similarity`` or more: fingerprints within two bits are too narrow a net for a corpus. Rows that
+    ``similarity`` or more. Candidates share two Golay codewords of one of several fingerprints, since a
+    single one at two bits is too narrow a net for a corpus; each link is verified on the texts. Rows that
     share an id but not a group are all kept; of equal rows of one id and text one stays.
     """
     leads = shingles.near_duplicates(docs, width, similarity).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("lead"))
