@@ -6,16 +6,18 @@ hashes for every bit, whose signs are the SimHash bits. At similarity 0.8 some 1
 than the words of one fingerprint bear, so words are decoded by their votes: each goes to the codeword
 that the votes agree with most. Two sets are candidates if two of the three codewords of any fingerprint are
 the same. At 0.8 a codeword is shared with a chance of 0.26 and two of three with 0.17, so that a pair escapes all 88
-fingerprints with a chance of 1 in 10 million, and less above it. Candidates whose first 256 bits differ
-in more places than any pair of that similarity would are not verified: unlike sets share two
-codewords by accident, one in 2 ** 24 for each key.
+fingerprints with a chance of 1 in 10 million, and less above it. Unlike sets share two
+codewords by accident, one in 2 ** 24 for each key, which grows with the square of the sets: where keys meet, sizes and 64 other bits of the sketch
+(one of four such parts, taken in turn by the slices of keys) tell all but one in 120 of them apart before any row is made, and what hangs together
+within a code is a key of its own. A pair at 0.8 is turned away by one part with a chance of 2 in 100,000 and has the keys of the three
+others then. Further candidates whose 256 bits differ in more places than any pair of that similarity would are not verified.
 
-Documents with the same set are one node. First each node is compared with the least one that it meets, then
+Documents with the same set are one node. First each node is compared with the least one that it meets under two keys or more, then
 nodes of one key that are not yet in one component are compared with each other, so
 that no pair is left out that could still join two components: pair by pair if the key has few nodes or
 few such pairs; keys with many form groups, which are cut into chunks of bounded size,
 and the sets of every two chunks are compared in one task, where a comparison is a look-up in an array
-and no more links come out than join components. What a group has compared is not paired off again.
+and no more links come out than join components. Nodes of one component or one group are never paired off again.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null, empty and blank texts have
 the empty set and are alike; documents with repeated ids each take part; a null doc_id is never a
@@ -25,6 +27,8 @@ table gives no rows; other columns, whatever their names, take no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,8 +44,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of a set, the Golay words of each, and the keys of a set that are sent as one row.
 FINGERPRINTS, WORDS, PACKED = 88, 3, 4
 SLICES = FINGERPRINTS * WORDS // PACKED
-#: Bits by which candidates are told from accidents.
-SKETCH = 256
+#: Bits by which candidates are told from accidents, and the standard deviations by which 64 of them may exceed the mean where keys meet.
+SKETCH, DEVIATIONS = 256, 4.5
 #: Pairs of one text that are compared in one task; its text is sent once for each so many.
 PAIRS_A_TASK = 256
 #: Sets of a key that are paired off one by one (or, of more, a quarter as many pairs for each), and shingles of a chunk of larger keys.
@@ -93,10 +97,10 @@ def fuzzy_keys(words: np.ndarray) -> np.ndarray:
     return (both | np.arange(PACKED, dtype=np.int32) << 24).reshape(len(words), -1)
 
 
-def most_bits(similarity: float) -> int:
-    """Bits of ``SKETCH`` in which sets of this similarity may differ: ten standard deviations above the mean."""
+def most_bits(similarity: float, bits: int = SKETCH, deviations: float = 10) -> int:
+    """Of so many bits those in which sets of this similarity may differ: so many standard deviations above the mean."""
     apart = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    return int(SKETCH * apart + 10 * (SKETCH * apart * (1 - apart)) ** 0.5)
+    return int(bits * apart + deviations * (bits * apart * (1 - apart)) ** 0.5)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -135,10 +139,14 @@ def _plausible(pairs: DataFrame, first: DataFrame, similarity: float) -> DataFra
     return pairs.join(of("u"), "u").join(of("v"), "v").where(fits & (apart <= most_bits(similarity))).select("u", "v")
 
 
-def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are not in one component or group."""
-    of = lambda x: rooted.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+def _unsettled(placed: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes of one key that are neither in one component (root) nor in one group (grp, null for none)."""
+    classes = placed.select("key", "root", "grp").distinct()
+    apart = classes.withColumnsRenamed({"root": "r", "grp": "g"}).join(classes.withColumnsRenamed({"root": "s", "grp": "h"}), "key").where("r < s and (g is null or h is null or g <> h)")
+    a = placed.select("key", F.col("root").alias("r"), F.col("grp").alias("a_grp"), F.col("node").alias("a"))
+    b = placed.select("key", F.col("root").alias("s"), F.col("grp").alias("b_grp"), F.col("node").alias("b"))
+    met = apart.join(a, ["key", "r"]).where("g <=> a_grp").join(b, ["key", "s"]).where("h <=> b_grp")
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def _between_chunks(width: int, similarity: float):
@@ -178,10 +186,8 @@ def _between_chunks(width: int, similarity: float):
 
 def _chunked(placed: DataFrame, texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Groups (node, root) of sets that meet in the keys of ``placed``, directly or over others, and links (u, v) among those of a group."""
-    members = materialize(placed.select("key", "node", "size", "root"), "shingles-large")
-    least = members.groupBy("key").agg(F.min("node").alias("u"))
-    groups = connected_components(members.join(least, "key").select("u", F.col("node").alias("v")))
-    own = members.select("node", "size", "root").distinct().join(groups.withColumnRenamed("root", "grp"), "node")
+    groups = connected_components(placed.select(F.col("least").alias("u"), F.col("node").alias("v")))
+    own = placed.select("node", "size", "root").distinct().join(groups.withColumnRenamed("root", "grp"), "node")
     sized = own.groupBy("grp").agg(F.ceil(F.sum("size") / CHUNK_SHINGLES).cast("int").alias("chunks"))
     dealt = own.join(sized, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "node", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
@@ -189,17 +195,83 @@ def _chunked(placed: DataFrame, texts: DataFrame, width: int, similarity: float)
     return groups, materialize(met.groupBy("grp", "i", "j").applyInArrow(_between_chunks(width, similarity), "u long, v long").distinct(), "shingles-links")
 
 
-def _met(first: DataFrame) -> DataFrame:
-    """key, node, the least node of the key and their number, of every key that is shared.
+def clusters(code: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the nodes that may be similar to another of their code, the row number of the least node of each one's
+    cluster, and the cluster's nodes: what hangs together by sizes and ``bits`` that allow of the similarity."""
+    most = most_bits(similarity, 64, DEVIATIONS)
+
+    def fits(i, j) -> np.ndarray:
+        alike = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        return alike & (np.bitwise_count(bits[i] ^ bits[j]) <= most)
+
+    order = np.lexsort((node, code))
+    begin = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+    held = np.diff(np.append(begin, len(order)))
+    least = order[np.repeat(begin, held)]
+    together = np.logical_and.reduceat(fits(order, least), begin)
+    whole = np.repeat(together & (held > 1), held)
+    rows, heads, counts = [order[whole]], [least[whole]], [np.repeat(held, held)[whole]]
+    some = ~together & (held > 2)
+    for start, n in zip(begin[some].tolist(), held[some].tolist()):
+        left = order[start : start + n]
+        while len(left) > 1:
+            head, left = left[0], left[1:]
+            found = [int(head)]
+            for i in found:
+                close = fits(left, i)
+                found.extend(left[close].tolist())
+                left = left[~close]
+                if not len(left):
+                    break
+            if len(found) > 1:
+                rows.append(np.array(found))
+                heads.append(np.full(len(found), head))
+                counts.append(np.full(len(found), len(found)))
+    return np.concatenate(rows), np.concatenate(heads), np.concatenate(counts)
+
+
+def _clustered(similarity: float):
+    """code, node, size, least, n of the clusters among rows sorted by code; a code may go on in the next batch."""
+
+    def named(rows: pa.Table) -> pa.RecordBatch:
+        code, node, size, bits = (rows[c].to_numpy() for c in ("code", "node", "size", "bits"))
+        at, least, n = clusters(code, node, size, bits, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (code[at], node[at], size[at], node[least], n)], ["code", "node", "size", "least", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            kept = now if kept is None else pa.concat_tables([kept, now])
+            code = kept["code"].to_numpy()
+            if len(code) and (last := int(np.searchsorted(code, code[-1]))):
+                yield named(kept.slice(0, last))
+                kept = kept.slice(last)
+        if kept is not None and kept.num_rows:
+            yield named(kept)
+
+    return run
+
 
-    A set's keys are sent as one row for each slice; there they become rows of their own, which are sorted where they are.
+def _met(first: DataFrame, similarity: float) -> DataFrame:
+    """key, node, size, the least node of the key and their number, of every key that is shared by nodes that may be similar.
+
+    A set's keys are sent as one row for each slice, with 64 bits of the sketch; there they become rows of their own, which are sorted
+    where they are. Nodes that share a code by accident are told apart there and then; those that hang together are one key.
     """
-    packed = map_rows(first.select("node", "words"), lambda rows: {"node": rows["node"], "keys": list(fuzzy_keys(np.frombuffer(b"".join(rows["words"]), np.uint16).reshape(len(rows["node"]), -1)))}, "node long, keys array<int>")
-    sliced = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).select("node", "slice", F.slice("keys", F.col("slice") * PACKED + 1, F.lit(PACKED)).alias("keys"))
-    keyed = sliced.repartition("slice").select("node", "slice", F.explode("keys").alias("code"))
-    here = Window.partitionBy("code", "slice")
-    counted = keyed.withColumn("n", F.count("*").over(here)).withColumn("least", F.min("node").over(here)).where("n > 1")
-    return materialize(counted.select(F.expr("shiftleft(bigint(slice), 32) | code").alias("key"), "node", "least", "n"), "shingles-met")
+
+    def pack(rows: dict) -> dict:
+        keys = fuzzy_keys(np.frombuffer(b"".join(rows["words"]), np.uint16).reshape(len(rows["node"]), -1))
+        return {"node": rows["node"], "size": rows["size"], "sketch": rows["sketch"], "keys": list(keys)}
+
+    packed = map_rows(first.select("node", "size", "sketch", "words"), pack, "node long, size int, sketch array<long>, keys array<int>")
+    sliced = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).select(
+        "node", "size", "slice", F.get("sketch", (F.col("slice") + 2) % (SKETCH // 64)).alias("bits"), F.slice("keys", F.col("slice") * PACKED + 1, F.lit(PACKED)).alias("keys")
+    )
+    keyed = sliced.repartition("slice").select("node", "size", "bits", "slice", F.explode("keys").alias("code")).withColumn("code", F.expr("shiftleft(bigint(slice), 32) | code"))
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("slice", "code"))).where("n > 1").sortWithinPartitions("slice", "code").select("code", "node", "size", "bits")
+    found = shared.mapInArrow(_clustered(similarity), "code long, node long, size int, least long, n long")
+    return materialize(found.select(F.xxhash64("code", "least").alias("key"), "node", "size", "least", "n"), "shingles-met")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -222,28 +294,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
 
     marked = materialize(map_rows(doc_texts(docs), mark, "doc_id long, text string, node long, size int, sketch array<long>, words binary"), "shingles-marked")
     first = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "sketch", "words"))), "shingles-first")
-    met = _met(first.where("size > 0"))
-    to_least = met.where("least <> node").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    pairs = materialize(_plausible(to_least, first, similarity), "shingles-pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(met.where("n > 2").select("node")).distinct()
-    texts = materialize(marked.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingles-texts")
-    tried = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    met = _met(first.where("size > 0"), similarity)
+    to_least = met.where("least <> node").groupBy(F.col("least").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("keys"))
+    tried = materialize(to_least.groupBy("v").agg(F.min(F.struct(F.col("keys") == 1, "u"))["u"].alias("u")).select("u", "v"), "shingles-pairs")
+    texts = materialize(marked.select("node", "text").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "shingles-texts")
     found = _verified(tried, texts, width, similarity)
 
     rooted = connected_components(found)
-    placed = materialize(met.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "shingles-placed")
-    roots = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-    open_keys = roots.groupBy("key").agg(F.sum("m").alias("n"), F.expr("(sum(m) * sum(m) - sum(m * m)) div 2").alias("pairs")).where("pairs > 0")
-    open_keys = materialize(open_keys.withColumn("large", (F.col("n") > PAIRED) & (F.col("pairs") > PAIRED // 4 * F.col("n"))), "shingles-open")
-    large = placed.join(open_keys.where("large").select("key"), "key").join(first.select("node", "size"), "node")
-    groups, grouped = _chunked(large, texts, width, similarity)
-    placed = placed.join(open_keys.where("not large").select("key"), "key")
-    roots = placed.select("key", "root").distinct()
-    apart = roots.withColumnRenamed("root", "r").join(roots.withColumnRenamed("root", "s"), "key").where("r < s")
-    a = placed.select("key", F.col("root").alias("r"), F.col("node").alias("a"))
-    b = placed.select("key", F.col("root").alias("s"), F.col("node").alias("b"))
-    open_ = apart.join(a, ["key", "r"]).join(b, ["key", "s"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    rest = materialize(_plausible(_apart(open_, groups).join(tried, ["u", "v"], "left_anti"), first, similarity), "shingles-pairs")
+    placed = met.join(rooted, "node", "left").select("key", "node", "size", "least", "n", F.coalesce("root", "node").alias("root"))
+    same = placed.withColumn("m", F.count("*").over(Window.partitionBy("key", "root"))).withColumn("same", F.sum("m").over(Window.partitionBy("key")))
+    open_ = same.withColumn("pairs", F.expr("(n * n - same) div 2")).where("pairs > 0").withColumn("large", (F.col("n") > PAIRED) & (F.col("pairs") > PAIRED // 4 * F.col("n")))
+    open_ = materialize(open_.select("key", "node", "size", "least", "root", "large"), "shingles-open")
+    groups, grouped = _chunked(open_.where("large"), texts, width, similarity)
+    placed = open_.where("not large").join(groups.withColumnRenamed("root", "grp"), "node", "left").select("key", "node", "root", "grp")
+    rest = _unsettled(materialize(placed, "shingles-placed")).join(tried, ["u", "v"], "left_anti")
+    rest = materialize(_plausible(rest, first, similarity), "shingles-pairs")
     linked = connected_components(found.union(_verified(rest, texts, width, similarity)).union(grouped))
 
     joined = first.join(linked, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
