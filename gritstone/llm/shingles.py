@@ -9,7 +9,7 @@ the same. At 0.8 a codeword is shared with a chance of 0.26 and two of three wit
 fingerprints with a chance of 1 in 10 million, and less above it. Unlike sets share two
 codewords by accident, one in 2 ** 24 for each key, which grows with the square of the sets: where keys meet, sizes and 64 other bits of the sketch
 (one of four such parts, taken in turn by the slices of keys) tell all but one in 120 of them apart before any row is made, and what hangs together
-within a code is a key of its own. A pair at 0.8 is turned away by one part with a chance of 2 in 100,000 and has the keys of the three
+within a code is a key of its own. A pair at 0.8 is turned away by one part with a chance of 3 in 100,000 and has the keys of the three
 others then. Further candidates whose 256 bits differ in more places than any pair of that similarity would are not verified.
 
 Documents with the same set are one node. First each node is compared with the least one that it meets under two keys or more, then
