@@ -107,7 +107,7 @@ def page_titles(spark, sf):
 
 def named_pages(spark, sf):
     """Questions that name one page, two pages, a page by its short name in capitals, or none; every second pair of answers cites the page."""
-    names = page_titles(spark, sf)
+    names = kept(page_titles(spark, sf), "titles")
     then = names.select((F.col("doc") - 1).alias("qid"), F.col("title").alias("next"))
     q = names.select(F.col("doc").alias("qid"), "title").join(then, "qid", "left")
     kind = F.col("qid") % 4
@@ -125,9 +125,9 @@ def named_pages(spark, sf):
 def attributed(spark, sf):
     """Named pages and wrongly cited ones of each question."""
     asked, cited, names = named_pages(spark, sf)
-    named = D.named_documents(asked, D.name_index(names)).groupBy("qid").agg(F.count("*").alias("named"))
-    wrong = D.misattributed(asked, cited, names)
-    return asked.select("qid").join(named, "qid", "left").join(wrong, "qid", "left").select("qid", F.coalesce("named", F.lit(0)).alias("named"), F.coalesce(F.size("wrong"), F.lit(0)).cast("long").alias("wrong"), "reason")
+    named = kept(D.named_counts(asked, D.name_index(names)), "named")
+    wrong = D.misattributed(asked, cited, names, named)
+    return asked.select("qid").join(named.select("qid", F.col("n").alias("named")), "qid", "left").join(wrong, "qid", "left").select("qid", F.coalesce("named", F.lit(0)).alias("named"), F.coalesce(F.size("wrong"), F.lit(0)).cast("long").alias("wrong"), "reason")
 
 
 def attribution_replay(spark, sf):

@@ -73,6 +73,24 @@ def named_documents(questions: DataFrame, index: DataFrame) -> DataFrame:
     return phrases_held(questions.select("qid", fold(F.col("question")).alias("q")), index.select("doc", "phrase"))
 
 
+def named_counts(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, question) -> qid, n, target: how many documents a question names, if any, and the least of them.
+
+    ``named_documents`` counted without its pairs, which grow with the square of documents alike: a phrase stands for
+    the number of its documents, and those that a question names by both of their two phrases are taken off once.
+    Only documents of more phrases are listed.
+    """
+    names = kept(_by_document(index), "names")
+    met = phrases_met(questions.select("qid", fold(F.col("question")).alias("q")), names.select("phrase").distinct())
+    each = met.join(names.where("of <= 2").groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc").alias("target")), "phrase").select("qid", "n", "target")
+    pair = F.sort_array(F.array(*(F.struct(F.length(c), F.col(c).alias("phrase")) for c in ("first", "last"))), asc=False)
+    two = names.where("of = 2 and phrase = first").groupBy(pair[0]["phrase"].alias("phrase"), pair[1]["phrase"].alias("other")).agg(F.count("*").alias("n"))
+    both = met.join(two, "phrase").join(met.select("qid", F.col("phrase").alias("other")), ["qid", "other"], "left_semi")
+    listed = met.join(names.where("of > 2").select("doc", "phrase"), "phrase").select("qid", "doc").distinct()
+    found = each.union(both.select("qid", -F.col("n"), F.lit(None))).union(listed.select("qid", F.lit(1), "doc"))
+    return found.groupBy("qid").agg(F.sum("n").alias("n"), F.min("target").alias("target"))
+
+
 def phrases_held(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(qid, q) × (doc, phrase), tokens parted by single blanks -> qid, doc where q holds the phrase's tokens in a row.
 
@@ -197,10 +215,11 @@ def _places(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return (h % np.uint64(BITS)).astype(np.int64), (h >> np.uint64(38)).astype(np.int64)
 
 
-def misattributed(questions: DataFrame, cited: DataFrame, titles: DataFrame) -> DataFrame:
+def misattributed(questions: DataFrame, cited: DataFrame, titles: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """(qid, question), (qid, place, doc), (doc, title) -> qid, doc, wrong, reason of the questions that name
-    exactly one document and whose answers cite others: their distinct titles in the order cited."""
-    found = named_documents(questions, name_index(titles)).groupBy("qid").agg(F.count("*").alias("n"), F.min("doc").alias("target")).where("n = 1")
+    exactly one document and whose answers cite others: their distinct titles in the order cited. ``named`` are the
+    questions' ``named_counts``, where these are known."""
+    found = (named if named is not None else named_counts(questions, name_index(titles))).where("n = 1")
     other = cited.join(found, "qid").where("doc <> target")
     of = titles.groupBy("doc").agg(F.min("title").alias("title"))
     first = other.join(of, "doc").groupBy("qid", "target", "title").agg(F.min("place").alias("place"))
