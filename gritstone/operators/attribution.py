@@ -233,8 +233,8 @@ def misattributed(questions: DataFrame, cited: DataFrame, titles: DataFrame, nam
 def replay(answers: DataFrame, cited: DataFrame, titles: DataFrame) -> DataFrame:
     """What the check would do to answers given (qid, question) with their citations: one row of answered, one_named,
     several_named, would_refuse."""
-    named = named_documents(answers, name_index(titles)).groupBy("qid").agg(F.count("*").alias("n"))
-    refused = misattributed(answers, cited, titles).select("qid", F.lit(1).alias("refused"))
-    joined = answers.select("qid").join(named, "qid", "left").join(refused, "qid", "left")
+    named = kept(named_counts(answers, name_index(titles)), "named")
+    refused = misattributed(answers, cited, titles, named).select("qid", F.lit(1).alias("refused"))
+    joined = answers.select("qid").join(named.select("qid", "n"), "qid", "left").join(refused, "qid", "left")
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return joined.agg(F.count("*").alias("answered"), count(F.col("n") == 1).alias("one_named"), count(F.col("n") > 1).alias("several_named"), count(F.col("refused") == 1).alias("would_refuse"))
