@@ -18,8 +18,8 @@ smaller id. The work is dealt out so that no task sees the corpus:
    pairs so kept are the matching statistics; a length of LENGTH or more marks the window, the
    sample names a document that had it earlier. (A number in place of the anchor's first bytes,
    which all windows of a context hold, keeps matches within their own two halves.)
-5. Windows that some document of a block has from an earlier one return to the block, where they
-   are laid over the documents they concern.
+5. Windows that some document of a block has from an earlier one return to the block with the places
+   of its entries, where they are laid over the documents they concern.
 
 Steps 1 to 3 only find candidates (a hash collision adds work, never a removal); the comparison
 of step 4 is of bytes.
@@ -51,7 +51,9 @@ HOT_BLOCKS = 512
 SHARD_SYMBOLS = 3 << 19
 #: Bytes of all texts for each shard, and for each bucket of blocks.
 SHARD_BYTES, BUCKET_BYTES, MAX_BUCKETS = 4 << 20, 16 << 20, 1 << 16
-_STEP = 1 << 20
+#: From so many shards on they hold more, up to four times ``SHARD_BYTES``: a block has a row for each shard.
+SHARDS = 512
+_STEP = 1 << 16
 _POS = np.uint64((1 << 21) - 1)
 _LAST = np.iinfo(np.int64).max
 
@@ -108,10 +110,10 @@ class Block:
     def _part(self, at: int):
         """Contexts that begin with one of ``_STEP`` windows; a stretch over the border gives two."""
         part = self.bytes[at : at + _STEP + LENGTH - 1]
-        x = part.astype(np.uint64)
-        for n in (1, 2, 4):
-            x = x[:-n] << np.uint64(8 * n) | x[n:]
-        g = (x[: len(part) - K + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[8 : len(part) - K + 9] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[K - 8 :] * np.uint64(0x165667B19E3779F9))
+        x = np.ndarray((len(part) - 7,), ">u8", part, 0, (1,)).astype(np.uint64)  # the 8 bytes from each place on
+        g = x[: len(part) - K + 1] * np.uint64(0x9E3779B97F4A7C15)
+        g ^= x[8 : len(part) - K + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
+        g ^= x[K - 8 :] * np.uint64(0x165667B19E3779F9)
         g ^= g >> np.uint64(29)
         g *= np.uint64(0xBF58476D1CE4E5B9)
         g ^= g >> np.uint64(32)
@@ -120,14 +122,16 @@ class Block:
             v = np.minimum(v[:-n], v[n:])
         m = np.minimum(v[: len(part) - LENGTH + 1], v[SPAN - 16 :])
         anchor = (m & _POS).astype(np.int64)
-        start = np.arange(at, at + len(anchor))
-        doc = np.searchsorted(self.ends, start, side="right")
-        fits = self.ends[doc] - start >= LENGTH
+        fits = np.ones(len(anchor), bool)  # windows that no text ends in
+        ends = self.ends[np.searchsorted(self.ends, at, side="right") : np.searchsorted(self.ends, at + len(part))] - at
+        over = (ends[:, None] - np.arange(1, LENGTH)).ravel()
+        fits[over[(over >= 0) & (over < len(anchor))]] = False
         fresh = np.ones(len(anchor), bool)
-        fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~fits[:-1]
+        fresh[1:] = (anchor[1:] != anchor[:-1]) | ~fits[:-1]
         edge = np.flatnonzero(fresh & fits)
-        stop = np.minimum(np.append(edge[1:], len(anchor)), self.ends[doc[edge]] - LENGTH + 1 - at)
-        return start[edge], stop - edge, g[anchor[edge]], doc[edge], anchor[edge] - edge
+        doc = np.searchsorted(self.ends, edge + at, side="right")
+        stop = np.minimum(np.append(edge[1:], len(anchor)), self.ends[doc] - LENGTH + 1 - at)
+        return edge + at, stop - edge, g[anchor[edge]], doc, anchor[edge] - edge
 
 
 def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +139,15 @@ def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _key(part: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return part.astype(np.uint64) << np.uint64(32) | low
+
+
+def _side_by_side(rows: list[bytes], kind=np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """What lies in all rows and the row of each."""
+    return np.frombuffer(b"".join(rows), kind), np.repeat(np.arange(len(rows)), [len(r) // np.dtype(kind).itemsize for r in rows])
+
+
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, np.int64)
     return edge, np.diff(np.append(edge, len(sorted_keys)))
@@ -150,41 +163,38 @@ def shared_anchors(blocks: DataFrame, parts: int, hot_blocks: int) -> DataFrame:
         out = {"part": [], "block": [], "twice": [], "once": []}
         for number, ids, sizes, data in zip(rows["block"], rows["doc_ids"], rows["sizes"], rows["data"]):
             _, _, hashes, doc, _ = Block(ids, sizes, data).contexts()
-            order = np.lexsort((doc, hashes))
-            h, d = hashes[order], doc[order]
-            edge, size = _runs(h)
-            several = d[edge] != d[edge + size - 1] if len(edge) else np.zeros(0, bool)
-            part, low = _dealt(h[edge], parts)
-            order = np.lexsort((low, part))
-            part, low, several = part[order], low[order], several[order]
+            key = _key(*_dealt(hashes, parts))
+            order = np.argsort(key)
+            key, doc = key[order], doc[order]
+            edge, size = _runs(key)
+            several = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge) if len(edge) else np.zeros(0, bool)
+            part, low = (key[edge] >> np.uint64(32)).astype(np.int64), key[edge].astype(np.uint32)
+            twos = np.concatenate(([0], np.cumsum(several)))
+            twice, once = low[several].tobytes(), low[~several].tobytes()
             edge, size = _runs(part)
-            for a, n in zip(edge.tolist(), size.tolist()):
-                own, two = low[a : a + n], several[a : a + n]
-                out["part"].append(int(part[a]))
+            for p, a, b, c, d in zip(part[edge].tolist(), edge.tolist(), (edge + size).tolist(), twos[edge].tolist(), twos[edge + size].tolist()):
+                out["part"].append(p)
                 out["block"].append(number)
-                out["twice"].append(np.unique(own[two]).tobytes())
-                out["once"].append(np.setdiff1d(own[~two], own[two]).tobytes())
+                out["twice"].append(twice[4 * c : 4 * d])
+                out["once"].append(once[4 * (a - c) : 4 * (b - d)])
         return out
 
     def count(table: pa.Table) -> pa.Table:
         part, block = table["part"][0].as_py(), table["block"].to_pylist()
-        twice = [np.frombuffer(x, np.uint32) for x in table["twice"].to_pylist()]
-        once = [np.frombuffer(x, np.uint32) for x in table["once"].to_pylist()]
-        low = np.sort(np.concatenate(twice + once))
-        edge, n = _runs(low)
-        known = np.unique(np.concatenate(twice))
-        values = low[edge]
-        many = n > hot_blocks
-        shared = np.union1d(values[(n > 1) & ~many], np.setdiff1d(known, values[many]))
-        hot = values[many]
-        out = {"block": [], "part": [], "shared": [], "hot": []}
-        for b, two, one in zip(block, twice, once):
-            own = np.union1d(two, one)
-            s, h = own[_isin(own, shared)], own[_isin(own, hot)]
-            if len(s) or len(h):
-                for name, x in zip(out, (b, part, s.tobytes(), h.tobytes())):
-                    out[name].append(x)
-        return pa.table({"block": pa.array(out["block"], pa.int64()), "part": pa.array(out["part"], pa.int32()), "shared": pa.array(out["shared"], pa.binary()), "hot": pa.array(out["hot"], pa.binary())})
+        (twice, of_twice), (once, of_once) = (_side_by_side(table[c].to_pylist()) for c in ("twice", "once"))
+        own, of = np.concatenate((twice, once)), np.concatenate((of_twice, of_once))
+        edge, n = _runs(np.sort(own))
+        values, many = np.sort(own)[edge], n > hot_blocks
+        shared, hot = np.union1d(values[(n > 1) & ~many], np.setdiff1d(np.unique(twice), values[many])), values[many]
+        order = np.argsort(of, kind="stable")
+        own, of = own[order], of[order]
+        out = {}
+        for name, some in (("shared", shared), ("hot", hot)):
+            which = _isin(own, some)
+            raw, ends = own[which].tobytes(), 4 * np.cumsum(np.bincount(of[which], minlength=len(block)))
+            out[name] = [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        used = [k for k in range(len(block)) if out["shared"][k] or out["hot"][k]]
+        return pa.table({"block": pa.array([block[k] for k in used], pa.int64()), "part": pa.array([part] * len(used), pa.int32()), **{c: pa.array([out[c][k] for k in used], pa.binary()) for c in ("shared", "hot")}})
 
     found = map_rows(blocks, anchors, "part int, block long, twice binary, once binary")
     return found.groupBy("part").applyInArrow(count, "block long, part int, shared binary, hot binary")
@@ -207,8 +217,12 @@ class Entries:
     def __init__(self, block: Block, parts: int, shared: list[tuple[int, bytes, bytes]]):
         first, count, hashes, doc, anchor = block.contexts()
         part, low = _dealt(hashes, parts)
-        key = part.astype(np.uint64) << np.uint64(32) | low
-        mine = lambda k: np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.uint64(s[0]) << np.uint64(32) | np.frombuffer(s[k], np.uint32).astype(np.uint64) for s in shared)]))
+        key, of_row = _key(part, low), np.array([s[0] for s in shared], np.int64)
+
+        def mine(k: int) -> np.ndarray:
+            lows, row = _side_by_side([s[k] for s in shared])
+            return np.sort(_key(of_row[row], lows))
+
         cold, hot = _isin(key, mine(1)), _isin(key, mine(2))
         # a hot anchor's windows, one by one, dealt by their content
         n = count[hot]
@@ -232,6 +246,8 @@ class Entries:
         np.maximum.at(self.high_id, self.entry, block.ids[self.doc])
 
 
+#: Shards that only pass the places of entries on.
+PLACES = 1 << 16
 ENTRIES = "part int, block long, numbers binary, lows binary, anchors binary, sizes binary, texts binary, low_ids binary, high_ids binary"
 
 
@@ -243,13 +259,20 @@ def send_contexts(joined: DataFrame, parts: int) -> DataFrame:
             e = Entries(Block(ids, sizes, data), parts, [(s["part"], s["shared"], s["hot"]) for s in shared])
             part = np.array([c[0] for c in e.contexts], np.int64)
             order = np.argsort(part, kind="stable")
+            texts = [e.contexts[k][2] for k in order.tolist()]
+            lows = np.array([e.contexts[k][1] for k in order.tolist()], np.uint32)
+            flat = {"numbers": order.astype(np.int32), "lows": lows, "anchors": e.anchor[order], "sizes": np.fromiter(map(len, texts), np.uint8, len(texts)), "low_ids": e.low_id[order], "high_ids": e.high_id[order]}
             edge, size = _runs(part[order])
-            for a, n in zip(edge.tolist(), size.tolist()):
-                own = order[a : a + n]
-                texts = [e.contexts[k] for k in own.tolist()]
-                row = (int(part[own[0]]), number, own.astype(np.int32).tobytes(), np.array([t[1] for t in texts], np.uint32).tobytes(), e.anchor[own].tobytes(), np.array([len(t[2]) for t in texts], np.uint8).tobytes(), squeeze.compress(b"".join(t[2] for t in texts)), e.low_id[own].tobytes(), e.high_id[own].tobytes())
-                for name, x in zip(out, row):
-                    out[name].append(x)
+            out["part"] += part[order[edge]].tolist()
+            out["block"] += [number] * len(edge)
+            for a, b in zip(edge.tolist(), (edge + size).tolist()):
+                for name, x in flat.items():
+                    out[name].append(x[a:b].tobytes())
+                out["texts"].append(squeeze.compress(b"".join(texts[a:b])))
+            # where the block's entries are returns to it with what is found
+            place = np.argsort(e.first)
+            for name in out:
+                out[name].append({"part": -1 - (number + 7919 * (number >> 24)) % PLACES, "block": number, "texts": squeeze.compress(np.concatenate((np.diff(e.first[place], prepend=0), e.entry[place])).astype(np.int32).tobytes())}.get(name))
         return out
 
     return map_rows(joined.select("block", "doc_ids", "sizes", "data", "shared"), run, ENTRIES)
@@ -258,12 +281,47 @@ def send_contexts(joined: DataFrame, parts: int) -> DataFrame:
 # ---- the index of a shard ----------------------------------------------------------------------
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    s = keys[order]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], (s[1:] != s[:-1]).astype(np.int64))))
-    return rank
+def _begins(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the run of equals begins that each place lies in."""
+    fresh = np.ones(len(sorted_keys), bool)
+    fresh[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return np.maximum.accumulate(np.where(fresh, np.arange(len(sorted_keys)), 0))
+
+
+def _tied(begins: np.ndarray) -> np.ndarray:
+    """Whether a run has more than this place."""
+    same = begins[1:] == begins[:-1]
+    return np.append(same, False) | np.append(False, same)
+
+
+def _suffix_order(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffixes by their symbols, then by place. A rank is the number of lesser suffixes: by 8 symbols, then by twice as
+    many again and again for those alone that are tied and go on."""
+    bits = len(words).bit_length()
+    order = np.argsort(words)
+    begins = _begins(words[order])
+    rank = np.empty(len(words), np.int64)
+    rank[order] = begins
+    go, k = order[_tied(begins)], 8
+    while len(go := go[left[go] >= k]):
+        if 3 * bits <= 63:  # values are sorted faster than places
+            key = np.sort(rank[go] << 2 * bits | rank[go + k] << bits | go)
+            go, key = key & (1 << bits) - 1, key >> bits
+            own, of = _begins(key), _begins(key >> bits)
+        else:
+            key = rank[go] << 32 | rank[go + k]
+            o = np.argsort(key)
+            go, key = go[o], key[o]
+            own, of = _begins(key), _begins(key >> 32)
+        rank[go] += own - of
+        go, k = go[_tied(own)], 2 * k
+    alone = np.bincount(rank, minlength=len(rank))[rank] == 1
+    order[rank[alone]] = np.flatnonzero(alone)
+    same = np.flatnonzero(~alone)
+    key = np.sort(rank[same] << bits | same)
+    begins = _begins(key >> bits)
+    order[(key >> bits) + np.arange(len(key)) - begins] = key & (1 << bits) - 1
+    return order
 
 
 class Texts:
@@ -296,15 +354,8 @@ class RunLengthIndex:
     """
 
     def __init__(self, texts: Texts):
-        self.texts, t, left = texts, texts.symbols, texts.left
-        rank = _dense(texts.words)
-        for k in (8, 16, 32):
-            rank = _dense(rank << 32 | _shifted(rank, k, left))
-        bits = len(t).bit_length()
-        if 3 * bits <= 63:  # the place breaks ties
-            order = np.argsort(rank << 2 * bits | _shifted(rank, 64, left) << bits | np.arange(len(t)))
-        else:
-            order = np.argsort(rank << 32 | _shifted(rank, 64, left), kind="stable")
+        self.texts, t = texts, texts.symbols
+        order = _suffix_order(texts.words, texts.left)
         before = t[order - 1]
         self.run_start, self.run_size = _runs(before)
         self.run_symbol = before[self.run_start].astype(np.int64)
@@ -372,13 +423,6 @@ class RunLengthIndex:
         return out
 
 
-def _shifted(rank: np.ndarray, by: int, left: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rank), np.int64)
-    ok = np.flatnonzero(left >= by)
-    out[ok] = rank[ok + by]
-    return out
-
-
 def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places begin, begin + 1, ... of each stretch of ``sizes``."""
     return np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
@@ -442,19 +486,21 @@ def earlier_ids(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, ids
     return found, first
 
 
-MARKS = "block long, numbers binary, sizes binary, ids binary"
+MARKS = "block long, numbers binary, sizes binary, ids binary, places binary"
 
 
 def match_shard(table: pa.Table) -> pa.Table:
     """For entries of each block: ids of earlier documents with their windows, where an entry has use for them."""
+    if table["part"][0].as_py() < 0:
+        nothing = pa.array([b""] * len(table), pa.binary())
+        return pa.table({"block": table["block"], "numbers": nothing, "sizes": nothing, "ids": nothing, "places": table["texts"]})
     rows = table.select(["block", "numbers", "lows", "anchors", "sizes", "texts", "low_ids", "high_ids"]).to_pydict()
-    blocks, texts = rows["block"], []
+    blocks = rows["block"]
     wide = zstandard.ZstdDecompressor()
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
-    for size, raw in zip(rows["sizes"], rows["texts"]):
-        size, raw = np.frombuffer(size, np.uint8).astype(np.int64), wide.decompress(raw)
-        ends = np.cumsum(size)
-        texts += [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())]
+    read = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
+    raw, ends = b"".join(map(wide.decompress, rows["texts"])), np.cumsum(read("sizes", np.uint8).astype(np.int64)).tolist()
+    texts = [raw[a:b] for a, b in zip([0, *ends], ends)]
+    del raw
     number, low, anchor, low_id, high_id = read("numbers", np.int32), read("lows", np.uint32), read("anchors", np.uint8), read("low_ids", np.int64), read("high_ids", np.int64)
     of = np.repeat(np.arange(len(blocks)), [len(x) for x in rows["sizes"]])
     order = np.argsort(low, kind="stable")
@@ -472,9 +518,9 @@ def match_shard(table: pa.Table) -> pa.Table:
         a = b
     for k, (n, s, i) in enumerate(kept):
         if n:
-            for name, x in zip(out, (blocks[k], np.concatenate(n).astype(np.int32).tobytes(), np.concatenate(s).astype(np.uint8).tobytes(), np.concatenate(i).tobytes())):
+            for name, x in zip(out, (blocks[k], b"".join(n), b"".join(s), b"".join(i))):
                 out[name].append(x)
-    return pa.table({"block": pa.array(out["block"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("numbers", "sizes", "ids")}})
+    return pa.table({"block": pa.array(out["block"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("numbers", "sizes", "ids")}, "places": pa.nulls(len(out["block"]), pa.binary())})
 
 
 def _match(own: np.ndarray, texts, low, anchor, number, low_id, high_id, of, kept) -> None:
@@ -494,12 +540,12 @@ def _match(own: np.ndarray, texts, low, anchor, number, low_id, high_id, of, kep
     block_order = np.argsort(of[which], kind="stable")
     useful, which = useful[block_order], which[block_order]
     edge, size = _runs(of[which])
-    for a, n in zip(edge.tolist(), size.tolist()):
-        e, t = which[a : a + n], text_of[useful[a : a + n]]
-        k = int(of[e[0]])
-        kept[k][0].append(number[e])
-        kept[k][1].append(windows[t])
-        kept[k][2].append(found[_spread(begin[t], windows[t])])
+    t = text_of[useful]
+    ends = np.cumsum(windows[t])
+    numbers, sizes, ids = number[which].astype(np.int32), windows[t].astype(np.uint8), found[_spread(begin[t], windows[t])]
+    for k, a, b, c, d in zip(of[which[edge]].tolist(), edge.tolist(), (edge + size).tolist(), (ends[edge] - windows[t[edge]]).tolist(), ends[edge + size - 1].tolist()):
+        for kind, x in zip(kept[k], (numbers[a:b], sizes[a:b], ids[c:d])):
+            kind.append(x.tobytes())
 
 
 # ---- back in the blocks ------------------------------------------------------------------------
@@ -508,14 +554,14 @@ def _match(own: np.ndarray, texts, low, anchor, number, low_id, high_id, of, kep
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
 
 
-def lay_marks(joined: DataFrame, parts: int) -> DataFrame:
+def lay_marks(joined: DataFrame) -> DataFrame:
     """Every document with the byte spans removed and the bytes kept (columns RESULT)."""
 
     def run(rows: dict) -> dict:
         out = {"doc_id": [], "n_bytes": [], "spans": [], "kept": []}
-        for ids, sizes, data, shared, marks in zip(rows["doc_ids"], rows["sizes"], rows["data"], rows["shared"], rows["marks"]):
+        for ids, sizes, data, marks in zip(rows["doc_ids"], rows["sizes"], rows["data"], rows["marks"]):
             block = Block(ids, sizes, data)
-            gone = _gone(block, parts, shared, marks) if marks else np.zeros(len(block.bytes), bool)
+            gone = _gone(block, marks) if marks else np.zeros(len(block.bytes), bool)
             for doc, a, b in zip(ids, (block.ends - sizes).tolist(), block.ends.tolist()):
                 own = gone[a:b]
                 flips = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
@@ -525,27 +571,23 @@ def lay_marks(joined: DataFrame, parts: int) -> DataFrame:
                 out["kept"].append(block.bytes[a:b][~own].tobytes() if len(flips) else block.raw[a:b])
         return out
 
-    return map_rows(joined.select("doc_ids", "sizes", "data", "shared", "marks"), run, RESULT)
-
-
-def _gone(block: Block, parts: int, shared, marks) -> np.ndarray:
-    e = Entries(block, parts, [(s["part"], s["shared"], s["hot"]) for s in shared or ()])
-    n = np.zeros(len(e.contexts), np.int64)
-    at = np.zeros(len(e.contexts), np.int64)
-    ids, total = [], 0
-    for m in marks:
-        number, size = np.frombuffer(m["numbers"], np.int32), np.frombuffer(m["sizes"], np.uint8).astype(np.int64)
-        n[number] = size
-        at[number] = total + np.cumsum(size) - size
-        ids.append(np.frombuffer(m["ids"], np.int64))
-        total += len(ids[-1])
-    ids = np.concatenate(ids)
-    w = n[e.entry]
-    before = np.cumsum(w) - w
-    place = np.arange(w.sum()) - np.repeat(before, w)
-    earliest = ids[np.repeat(at[e.entry], w) + place]
-    hit = earliest < np.repeat(block.ids[e.doc], w)
-    start = (np.repeat(e.first, w) + place)[hit]
+    return map_rows(joined.select("doc_ids", "sizes", "data", "marks"), run, RESULT)
+
+
+def _gone(block: Block, marks) -> np.ndarray:
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(next(m["places"] for m in marks if m["places"] is not None)), np.int32)
+    first, entry = np.cumsum(places[: len(places) // 2].astype(np.int64)), places[len(places) // 2 :].astype(np.int64)
+    number, size, ids = (np.frombuffer(b"".join(m[c] for m in marks), kind) for c, kind in (("numbers", np.int32), ("sizes", np.uint8), ("ids", np.int64)))
+    n, at = np.zeros(int(entry.max(initial=0)) + 1, np.int64), np.zeros(int(entry.max(initial=0)) + 1, np.int64)
+    n[number] = size
+    at[number] = np.cumsum(n[number]) - n[number]
+    own = n[entry] > 0
+    first, entry = first[own], entry[own]
+    w = n[entry]
+    place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    earliest = ids[np.repeat(at[entry], w) + place]
+    hit = earliest < np.repeat(block.ids[np.searchsorted(block.ends, first, side="right")], w)
+    start = (np.repeat(first, w) + place)[hit]
     cover = np.bincount(start, minlength=len(block.bytes) + LENGTH + 1)
     return (np.cumsum(cover[: len(block.bytes)] - np.concatenate((np.zeros(LENGTH, np.int64), cover[: max(0, len(block.bytes) - LENGTH)]))[: len(block.bytes)])) > 0
 
@@ -555,20 +597,25 @@ def buckets_of(size: int, least: int) -> int:
     return min(MAX_BUCKETS, max(least, size // BUCKET_BYTES))
 
 
+def shards_of(size: int) -> int:
+    """Shards for texts of ``size`` bytes."""
+    return 1 + size // min(4 * SHARD_BYTES, max(SHARD_BYTES, size // SHARDS))
+
+
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS, parts: int | None = None) -> DataFrame:
     """doc_id, n_bytes, removed spans and kept bytes of every document (columns RESULT).
 
     Shards and buckets are as many as the bytes of all texts ask for, so that each stays of one size.
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    parts, buckets = parts or 1 + size // SHARD_BYTES, buckets_of(size, shuffle_parts(docs.sparkSession))
+    parts, buckets = parts or shards_of(size), buckets_of(size, shuffle_parts(docs.sparkSession))
     blocks = pack_blocks(docs, block_bytes, buckets)
     shared = shared_anchors(blocks, parts, hot_blocks)
     of_block = bucketed(shared.groupBy("block").agg(F.collect_list(F.struct("part", "shared", "hot")).alias("shared")), "block", buckets, "runindex_shared")
     entries = send_contexts(blocks.join(of_block, "block"), parts)
     marks = materialize(entries.groupBy("part").applyInArrow(match_shard, MARKS), "runindex-marks")
-    found = marks.groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("marks"))
-    return lay_marks(blocks.join(of_block, "block", "left").join(found, "block", "left"), parts)
+    found = marks.groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", "ids", "places")).alias("marks"))
+    return lay_marks(blocks.join(found, "block", "left"))
 
 
 def op2_runindex(spark, sf_dir: str) -> DataFrame:

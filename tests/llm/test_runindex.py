@@ -127,3 +127,50 @@ def test_empty_table(spark):
 
 def test_buckets_stay_below_what_spark_allows():
     assert ri.buckets_of(0, 8) == 8 and ri.buckets_of(10**10, 8) == 10**10 // ri.BUCKET_BYTES and ri.buckets_of(10**14, 200) == ri.MAX_BUCKETS < 100_000
+
+
+def test_contexts_cover_each_window_once_where_texts_are_short(monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(ri, "_STEP", 64)
+    rng = np.random.default_rng(5)
+    sizes = [0, 0, *rng.integers(0, 120, 80).tolist(), 50, 49, 0, 51]
+    block = ri.Block(list(range(len(sizes))), sizes, zstandard.ZstdCompressor().compress(bytes(rng.integers(97, 123, sum(sizes)).astype(np.uint8))))
+    first, count, hashes, doc, anchor = block.contexts()
+    seen = sorted(np.concatenate([np.arange(a, a + n) for a, n in zip(first, count)]).tolist())
+    begin = block.ends - np.array(sizes)
+    assert seen == [w for b, e in zip(begin.tolist(), block.ends.tolist()) for w in range(b, e - 49)]
+    assert ((first >= begin[doc]) & (first + count + 49 <= block.ends[doc]) & (anchor >= count - 1)).all()
+    grams = {}
+    for h, a in zip(hashes.tolist(), (first + anchor).tolist()):
+        assert grams.setdefault(h, block.raw[a : a + ri.K]) == block.raw[a : a + ri.K]
+
+
+def test_marks_are_laid_without_contexts(monkeypatch):
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor().compress
+    monkeypatch.setattr(ri.Block, "contexts", lambda self: 1 / 0)
+    block = ri.Block([3, 7], [100, 100], squeeze(bytes(200)))
+    places = squeeze(np.array([10, 110, 1, 0, 0, 1], np.int32).tobytes())  # entry 0 at 10 and 120, entry 1 at 121
+    rows = [{"numbers": b"", "sizes": b"", "ids": b"", "places": places}, {"numbers": np.array([0], np.int32).tobytes(), "sizes": b"\x02", "ids": np.array([3, 9], np.int64).tobytes(), "places": None}]
+    assert np.flatnonzero(ri._gone(block, rows)).tolist() == list(range(120, 170))
+
+
+def test_shards_grow_before_their_rows_outgrow_the_texts():
+    assert ri.shards_of(0) == 1 and ri.shards_of(1 << 30) == 257 and ri.shards_of(4 << 30) == 513 and ri.shards_of(10 << 30) == 641
+
+
+def test_suffix_order_by_sorted_suffixes(monkeypatch):
+    rng = random.Random(6)
+    texts = texts_of([bytes(rng.choices(b"ab", k=rng.randint(1, 90))) for _ in range(80)] + [b"a" * 80] * 3 + [b"a" * 7, b"", b"a" * 8, b"a" * 9])
+    raw, ends = texts.symbols.tobytes(), texts.ends.tolist()
+    want = sorted(range(len(raw)), key=lambda p: (raw[p : next(e for e in ends if e >= p)], p))
+    assert ri._suffix_order(texts.words, texts.left).tolist() == want
+
+    class Long(int):
+        def bit_length(self):
+            return 32
+
+    monkeypatch.setattr(ri, "len", lambda x: Long(x.__len__()), raising=False)  # as if a place took 32 bits
+    assert ri._suffix_order(texts.words, texts.left).tolist() == want
